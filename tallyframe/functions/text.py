@@ -67,7 +67,7 @@ def fingerprint(account_id, tx_date, amount, description) -> Column:
 
 def norm_tags(tags) -> Column:
     """Trim each tag, drop empties, keep the first occurrence of each."""
-    trimmed = F.transform(F.coalesce(_col(tags), F.array().cast("array<string>")), F.trim)
+    trimmed = F.transform(F.coalesce(_col(tags), F.array().cast("array<string>")), lambda t: F.trim(t))
     return F.array_distinct(F.filter(trimmed, lambda t: t != ""))
 
 
@@ -76,7 +76,7 @@ def split_list(text) -> Column:
     newline, else comma-separated; items trimmed, empties dropped."""
     t = _col(text)
     parts = F.when(F.instr(t, "\n") > 0, F.split(t, "\r?\n")).otherwise(F.split(t, ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def norm_currency(code) -> Column:

@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when it has at most this many rows; beyond it the
+# join is left to a shuffled plan (AQE may still pick a broadcast from the
+# measured size at run time).
+BROADCAST_MAX_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast only if the side has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (a limit, stopped early),
+    so it is cheap even when the side turns out to be large.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

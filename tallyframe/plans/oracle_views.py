@@ -112,7 +112,7 @@ FROM events WHERE event_type IN ('view', 'click')
 """
 
 VIEWS["logs"] = """
-SELECT event_id AS id, epoch_ms(ts) AS "timestamp",
+SELECT event_id AS id, epoch_us(ts) // 1000 AS "timestamp",
   CASE WHEN event_type IN ('view', 'click') THEN 'app' ELSE 'cli' END AS entry_point,
   '1.0.0' AS app_version, 'linux' AS platform, event_type AS event,
   CASE WHEN event_type = 'signup' THEN 'provider_a' WHEN event_type = 'error' THEN 'provider_b' END
@@ -161,3 +161,23 @@ def with_views(body: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     return f"WITH {ctes}\n{body}" if ctes else body
+
+
+def _config_views():
+    from ..operators.budget import CATEGORY_SCHEMA, OVERRIDE_SCHEMA, ROLLOVER_SCHEMA
+    from ..sources import config
+    VIEWS["categories"] = config.values_sql(config.category_rows(), CATEGORY_SCHEMA)
+    VIEWS["rollovers"] = config.values_sql(config.rollover_rows(), ROLLOVER_SCHEMA)
+    VIEWS["overrides"] = config.values_sql(config.OVERRIDE_ROWS, OVERRIDE_SCHEMA)
+    VIEWS["rules"] = config.values_sql(config.RULE_ROWS, config.RULE_SCHEMA)
+
+
+_config_views()
+
+
+def with_views_ctes(extra_ctes: str, body: str, *names: str) -> str:
+    """Like ``with_views`` with more CTEs (text 'a AS (...), b AS (...)') after
+    the views and before the body."""
+    base = with_views("SELECT 1", *names)
+    ctes = base[len("WITH "):-len("\nSELECT 1")]
+    return f"WITH {ctes},\n{extra_ctes.strip().rstrip(',')}\n{body}"

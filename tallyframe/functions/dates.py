@@ -26,7 +26,7 @@ def _col(c) -> Column:
 def parse_date(s, layouts=None) -> Column:
     """First layout that parses, else null (never 'today')."""
     c = _col(s)
-    return F.coalesce(*[F.try_to_date(c, F.lit(fmt)) for fmt in (layouts or DATE_LAYOUTS)])
+    return F.coalesce(*[F.try_to_date(c, fmt) for fmt in (layouts or DATE_LAYOUTS)])
 
 
 def parse_timestamp(s) -> Column:

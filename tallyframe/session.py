@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # local mode: the driver JVM is the executor; size it before it starts
+    "spark.driver.memory": "16g",
 }
 
 

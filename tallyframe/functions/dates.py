@@ -23,10 +23,29 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _shape(layout: str) -> str:
+    """A regex that every text the layout can parse must match."""
+    out = []
+    for ch in layout:
+        if ch == "y":
+            if not out or out[-1] != r"\d{4}":
+                out.append(r"\d{4}")
+        elif ch in "Md":
+            out.append(r"\d{1,2}")
+        else:
+            out.append("\\" + ch if ch in "/-." else ch)
+    return "^" + "".join(out) + "$"
+
+
 def parse_date(s, layouts=None) -> Column:
-    """First layout that parses, else null (never 'today')."""
+    """First layout that parses, else null (never 'today').
+
+    A layout is only tried on text of its shape: a failed parse is costly (the
+    formatter signals it by an exception), a regex test is not.
+    """
     c = _col(s)
-    return F.coalesce(*[F.try_to_date(c, fmt) for fmt in (layouts or DATE_LAYOUTS)])
+    return F.coalesce(*[F.when(c.rlike(_shape(fmt)), F.try_to_date(c, fmt))
+                        for fmt in (layouts or DATE_LAYOUTS)])
 
 
 def parse_timestamp(s) -> Column:

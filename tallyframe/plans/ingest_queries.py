@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, text
+from ..session import materialize
 from ..sources import ledger, statements
 from .oracle_views import sql_fingerprint, sql_norm_description, with_views_ctes
 from .registry import query
@@ -32,9 +33,12 @@ def _stmt(spark, d):
     return lines, man
 
 
-def _rows(spark, d):
+def _rows(spark, d, shared: bool = False):
+    """Typed statement rows; ``shared`` writes them once (checkpoint) for
+    queries that read them several times."""
     lines, man = _stmt(spark, d)
-    return statements.parse_rows(lines, man)
+    rows = statements.parse_rows(lines, man)
+    return materialize(rows) if shared else rows
 
 
 def _existing(spark, d, rows):
@@ -151,7 +155,7 @@ SELECT file_id, pos, fingerprint FROM ex
 WHERE status = 'ok' AND fingerprint IN (SELECT fingerprint FROM prior_fp)"""))
 def dedup_fingerprint(spark, d):
     """Rows of this import already in the ledger by fingerprint."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, shared=True)
     existing, _ = _existing(spark, d, rows)
     fps = existing.where(F.col("csv_fingerprint").isNotNull()).select(
         F.col("csv_fingerprint").alias("fingerprint"))
@@ -165,7 +169,7 @@ SELECT substr(sha256(file_id || '|' || CAST(pos AS VARCHAR) || '|{BATCH}'), 1, 3
   '{BATCH}' AS csv_batch_id FROM newrows"""))
 def stmt_ingest(spark, d):
     """The ledger rows this import appends (after J7)."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, shared=True)
     existing, _ = _existing(spark, d, rows)
     new = statements.new_rows(rows, existing)
     return statements.to_transactions(new, BATCH).select(
@@ -178,7 +182,7 @@ SELECT file_id, account_id, day, CAST(balance AS DECIMAL(15,2)) AS balance,
   CAST(day AS TIMESTAMP) + to_microseconds(86399999999) AS snapshot_time FROM eod_new"""))
 def stmt_eod_snapshots(spark, d):
     """A8 + N14 + J9: end-of-day snapshots from the balance column."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, shared=True)
     snaps = _existing_snapshots(spark, d, rows)
     return statements.end_of_day_snapshots(rows, snaps).select(
         "file_id", "account_id", "day", "balance", "snapshot_time")
@@ -197,7 +201,7 @@ LEFT JOIN (SELECT file_id, count(*) AS created FROM eod_new GROUP BY file_id) s
 GROUP BY e.file_id"""))
 def stmt_counts(spark, d):
     """I8: per-file counters of one import."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, shared=True)
     existing, _ = _existing(spark, d, rows)
     new = statements.new_rows(rows, existing)
     snaps = statements.end_of_day_snapshots(rows, _existing_snapshots(spark, d, rows)) \
@@ -216,7 +220,7 @@ SELECT file_id, pos, transaction_date, amount,
 FROM elig""".lstrip()))
 def stmt_running_balance(spark, d):
     """Per-row running balance from the anchor (files without balances)."""
-    return statements.running_balance(_rows(spark, d))
+    return statements.running_balance(_rows(spark, d, shared=True))
 
 
 @query("stmt_preview", _stmt_sql("""

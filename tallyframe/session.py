@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # local mode: the driver JVM is the executor; size it before it starts
     "spark.driver.memory": "16g",
 }
@@ -66,3 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tallyframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate read by several consumers.
+
+    A reliable checkpoint: the rows are written once under the cluster's
+    shared ``spark.checkpoint.dir`` and read back, so later stages neither
+    recompute the upstream work nor depend on the executors that produced it
+    (never a local checkpoint, which dies with its executor).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

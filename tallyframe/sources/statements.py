@@ -66,7 +66,8 @@ def split_fields(line: Column, delim: Column) -> Column:
     raw = (F.when(delim == ";", F.regexp_extract_all(line, F.lit(_PATTERNS[";"]), 1))
            .when(delim == "\t", F.regexp_extract_all(line, F.lit(_PATTERNS["\t"]), 1))
            .otherwise(F.regexp_extract_all(line, F.lit(_PATTERNS[","]), 1)))
-    return F.transform(raw, _unquote)
+    # the lambda is interpreted per element: only run it on lines with a quote
+    return F.when(F.instr(line, '"') > 0, F.transform(raw, _unquote)).otherwise(raw)
 
 
 def _unquote(f: Column) -> Column:

@@ -348,3 +348,34 @@ def norm_tags_q(spark, d):
         "transaction_id",
         F.array_join(norm_tags(F.concat(t, F.array(F.lit(" extra "), F.lit(""), F.lit("  open")), t)),
                      "|").alias("tags"))
+
+
+MATCH_RANGE = ("1996-06-01", "1996-06-30")
+
+
+def _rules_match_sql() -> str:
+    parts = []
+    for rid, _name, cond, _tags, enabled, _order in config.RULE_ROWS:
+        if not enabled or "no_such_column" in cond:
+            continue
+        parts.append(f"SELECT transaction_id, '{rid}' AS rule_id FROM ids WHERE coalesce(({cond}), false)")
+    body = "\nUNION ALL\n".join(parts)
+    return with_views_ctes(f"""ids AS (SELECT * FROM tx_view
+  WHERE transaction_date BETWEEN DATE '{MATCH_RANGE[0]}' AND DATE '{MATCH_RANGE[1]}')""", body, "tx_view")
+
+
+@query("rules_match", _rules_match_sql())
+def rules_match(spark, d):
+    """Which enabled rules match which of a set of transactions."""
+    tx = _tx(spark, d)
+    view = views.transactions_view(tx, ledger.accounts(spark, d))
+    ids = views.transactions_in_range(tx, *MATCH_RANGE).select("transaction_id")
+    return tagging.rules_match(view, ids, tagging.load_rules(config.rules(spark)))
+
+
+@query("dq_uncategorized", with_views("""
+SELECT count(*) AS uncategorized_expenses FROM transactions
+WHERE deleted_at IS NULL AND amount < 0 AND (tags IS NULL OR len(tags) = 0)""", "transactions"))
+def dq_uncategorized(spark, d):
+    """A10: expenses without tags."""
+    return quality.untagged_stats(_tx(spark, d)).select("uncategorized_expenses")

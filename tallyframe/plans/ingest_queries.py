@@ -333,3 +333,26 @@ def debit_credit_q(spark, d):
     return staged.select("l_orderkey", "l_linenumber",
                          amt.cast("decimal(15,2)").alias("amount"),
                          amounts.flip_sign(amt, True).cast("decimal(15,2)").alias("flipped"))
+
+
+@query("stmt_skip_rows", _stmt_sql("""
+SELECT DISTINCT file_id, CASE fmt WHEN 'us' THEN 0 WHEN 'eu' THEN 1 ELSE 2 END AS header_pos,
+  CASE fmt WHEN 'us' THEN 'Date,Description,Amount' WHEN 'eu' THEN 'Buchungstag;Verwendungszweck;Debit;Credit'
+    ELSE '#Posted Date' || chr(9) || 'Memo' || chr(9) || 'Amt' || chr(9) || 'Balance' END AS header_line
+FROM li"""))
+def stmt_skip_rows(spark, d):
+    """The header is the line right after the skipped preamble."""
+    lines, man = _stmt(spark, d)
+    return (lines.join(man.select("file_id", "skip_rows"), "file_id")
+            .where(F.col("pos") == F.col("skip_rows"))
+            .select("file_id", F.col("pos").alias("header_pos"), F.col("line").alias("header_line")))
+
+
+@query("stmt_delimiter", _stmt_sql("""
+SELECT fmt_delim AS delimiter, count(*) AS n_files FROM (
+  SELECT DISTINCT file_id, CASE fmt WHEN 'us' THEN ',' WHEN 'eu' THEN ';' ELSE chr(9) END AS fmt_delim FROM li)
+GROUP BY fmt_delim"""))
+def stmt_delimiter(spark, d):
+    """Files per detected delimiter."""
+    lines, man = _stmt(spark, d)
+    return statements.headers(lines, man).groupBy("delimiter").agg(F.count(F.lit(1)).alias("n_files"))

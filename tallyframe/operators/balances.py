@@ -34,24 +34,32 @@ def daily_totals(transactions: DataFrame) -> DataFrame:
 
 def _anchored_days(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame) -> DataFrame:
     """U1 + W3: every (account, day) on or before the anchor date that has a
-    transaction or a snapshot, with the day's total and its earliest snapshot."""
+    transaction or a snapshot, with the day's total and its earliest snapshot.
+
+    Both sides group on exactly (account_id, day) - the anchor values ride
+    along as aggregates - so the full outer join reuses the aggregates' hash
+    partitioning instead of shuffling again.
+    """
     anc = anchors.select("account_id", "known_balance", "known_date")
     tx = (active(transactions).select("account_id", "transaction_date", "amount")
           .join(anc, "account_id")
           .where(F.col("transaction_date") <= F.col("known_date"))
-          .groupBy("account_id", "known_balance", "known_date",
-                   F.col("transaction_date").alias("day"))
+          .groupBy("account_id", F.col("transaction_date").alias("day"))
           .agg(F.sum("amount").alias("daily_change"),
-               F.count(F.lit(1)).alias("n_transactions")))
+               F.count(F.lit(1)).alias("n_transactions"),
+               F.max("known_balance").alias("kb_t"), F.max("known_date").alias("kd_t")))
     sday = F.to_date(F.col("snapshot_time"))
     snap = (snapshots.select("account_id", "snapshot_time", "snapshot_id", "balance", "source")
             .join(anc, "account_id")
             .where(sday <= F.col("known_date"))
-            .groupBy("account_id", "known_balance", "known_date", sday.alias("day"))
+            .groupBy("account_id", sday.alias("day"))
             .agg(F.min_by(F.struct(F.col("balance").alias("b"), F.col("source").alias("s")),
-                          F.struct("snapshot_time", "snapshot_id")).alias("first_snap")))
-    keys = ["account_id", "known_balance", "known_date", "day"]
-    return tx.join(snap, keys, "full_outer")
+                          F.struct("snapshot_time", "snapshot_id")).alias("first_snap"),
+                 F.max("known_balance").alias("kb_s"), F.max("known_date").alias("kd_s")))
+    return (tx.join(snap, ["account_id", "day"], "full_outer")
+            .withColumn("known_balance", F.coalesce("kb_t", "kb_s"))
+            .withColumn("known_date", F.coalesce("kd_t", "kd_s"))
+            .drop("kb_t", "kb_s", "kd_t", "kd_s"))
 
 
 def backfill_balances(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 # Tables that grow with the data (the rest are dimensions).
-FACT_TABLES = {"orders", "lineitem", "events", "customer", "documents", "pages", "conversations"}
+FACT_TABLES = {"orders", "lineitem", "events", "documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

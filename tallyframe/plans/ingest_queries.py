@@ -66,8 +66,8 @@ files AS (SELECT s_suppkey, s_acctbal,
   WHERE CAST(s_suppkey AS VARCHAR) IN (SELECT account_id FROM accounts)),
 li AS (SELECT l.*, f.fmt, f.s_acctbal, 'stmt-' || CAST(l.l_suppkey AS VARCHAR) || '-'
     || CAST(year(l.l_shipdate) AS VARCHAR) AS file_id, year(l.l_shipdate) AS yr,
-    row_number() OVER (PARTITION BY l.l_suppkey, year(l.l_shipdate)
-      ORDER BY l.l_shipdate, l.l_orderkey, l.l_linenumber)
+    date_diff('day', DATE '1990-01-01', CAST(l.l_shipdate AS DATE)) * 10000000000000
+      + l.l_orderkey * 8 + l.l_linenumber + 1
       + CASE f.fmt WHEN 'us' THEN 0 WHEN 'eu' THEN 1 ELSE 2 END AS pos,
     CAST(CASE WHEN l.l_returnflag = 'R' THEN l.l_extendedprice ELSE -l.l_extendedprice END
       AS DECIMAL(15,2)) AS base

@@ -44,7 +44,10 @@ def norm_description(desc) -> Column:
         return F.concat(gap, repl)
 
     joined = F.array_join(F.zip_with(gaps, runs, glue), "")
-    return F.regexp_replace(joined, "[^a-z0-9]", "")
+    # the lambda runs interpreted per element: only take that path when the
+    # text has a run at all
+    shortened = F.when(a.rlike(ACCOUNT_RUN), joined).otherwise(a)
+    return F.regexp_replace(shortened, "[^a-z0-9]", "")
 
 
 def amount_text(amount) -> Column:

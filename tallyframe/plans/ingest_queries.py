@@ -27,10 +27,14 @@ def _file_year():
 
 
 def _stmt(spark, d):
-    """(lines, manifest of files whose account exists) - I1 rejects the rest."""
+    """(lines, manifest of files whose account exists) - I1 rejects the rest.
+
+    The rendered lines are written once to the shared checkpoint folder: they
+    stand for the landed statement files, which the ingest then reads like
+    files (and rendering them is not part of the ingest)."""
     lines, man = statements.fixture_lines(spark, d)
     man = man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_semi")
-    return lines, man
+    return materialize(lines), materialize(man)
 
 
 def _rows(spark, d, shared: bool = False):

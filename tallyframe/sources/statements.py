@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import flip_sign, parse_amount, resolve_debit_credit
 from ..functions.dates import end_of_day, parse_date
 from ..functions.text import fingerprint
+from ..operators.joins import BROADCAST_MAX_ROWS
 from .tables import table
 
 # Header patterns for column auto-detection (lower-case
@@ -81,6 +82,17 @@ def clean_header(fields: Column) -> Column:
     return F.transform(fields, lambda h: F.regexp_replace(F.trim(h), "^#+", ""))
 
 
+def _few_files(manifest: DataFrame) -> bool:
+    """Whether the manifest (one row per file) is small enough to broadcast.
+    Header facts have at most one row per manifest file, so the same bound
+    covers them. Checked by counting at most N+1 rows."""
+    return manifest.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+
+
+def _dim(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def read_statement_files(spark: SparkSession, paths) -> DataFrame:
     """I1 source: statement files -> (file_id, pos, line)."""
     raw = spark.read.text(paths, wholetext=True).select(
@@ -91,7 +103,7 @@ def read_statement_files(spark: SparkSession, paths) -> DataFrame:
 def headers(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """The header line of each file (after skip_rows lines), its
     delimiter, cleaned names and width. One row per file."""
-    m = manifest.select("file_id", "skip_rows")
+    m = _dim(manifest.select("file_id", "skip_rows"), _few_files(manifest))
     h = (lines.join(m, "file_id")
          .where(F.col("pos") == F.coalesce(F.col("skip_rows"), F.lit(0)))
          .select("file_id", F.col("line").alias("header_line")))
@@ -118,6 +130,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     ``status`` is ok / bad_date / bad_amount; ragged rows (field count differs
     from the header's) are dropped without being counted, as in the reference.
     """
+    small = _few_files(manifest)
     hdr = headers(lines, manifest)
     man = manifest.join(hdr, "file_id")
     h = F.col("header")
@@ -131,7 +144,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
         _idx(h, "description_col").alias("i_desc"),
         _idx(h, "balance_col").alias("i_balance"),
     )
-    data = (lines.join(man, "file_id")
+    data = (lines.join(_dim(man, small), "file_id")
             .where((F.col("pos") > F.coalesce(F.col("skip_rows"), F.lit(0)))
                    & (F.trim(F.col("line")) != ""))
             .withColumn("fields", split_fields(F.col("line"), F.col("delimiter")))
@@ -180,7 +193,7 @@ def ragged_counts(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """Data lines whose field count differs from the header width."""
     hdr = headers(lines, manifest)
     man = manifest.select("file_id", "skip_rows").join(hdr, "file_id")
-    return (lines.join(man, "file_id")
+    return (lines.join(_dim(man, _few_files(manifest)), "file_id")
             .where((F.col("pos") > F.coalesce(F.col("skip_rows"), F.lit(0)))
                    & (F.trim(F.col("line")) != ""))
             .where(F.size(split_fields(F.col("line"), F.col("delimiter"))) != F.col("width"))

@@ -123,3 +123,13 @@ def split_check(transactions: DataFrame) -> DataFrame:
     return (kids.join(parents, "transaction_id", "left")
             .withColumn("balanced", F.coalesce(F.col("children_total") == F.col("parent_amount"),
                                                F.lit(False))))
+
+
+def update_snapshots(snapshots: DataFrame, changes: DataFrame) -> DataFrame:
+    """M8: new balance and / or source for listed snapshot ids (a null in the
+    change keeps the current value)."""
+    ch = changes.select("snapshot_id", F.col("balance").alias("_b"), F.col("source").alias("_s"))
+    return (snapshots.join(ch, "snapshot_id", "left")
+            .withColumn("balance", F.coalesce(F.col("_b"), F.col("balance")))
+            .withColumn("source", F.coalesce(F.col("_s"), F.col("source")))
+            .drop("_b", "_s"))

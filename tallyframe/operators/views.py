@@ -9,7 +9,7 @@ join otherwise; no unchecked broadcast hint on a table that grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_currency
@@ -125,3 +125,22 @@ def json_id_backfill(transactions: DataFrame) -> DataFrame:
         F.coalesce(F.get_json_object(j, "$.manual").cast("boolean"), F.lit(False))
          .alias("is_manual_json"),
     )
+
+
+def rank_newest_first(tx: DataFrame) -> DataFrame:
+    """O1: position of each transaction in its account, newest date first.
+
+    A window over a whole account would put a hot account (a third of all
+    rows) in one task. Instead: rows per (account, day) are counted (an
+    aggregate), a window over an account's days gives the rows of newer days
+    (one row per day), and only a day's rows are ranked together.
+    """
+    per_day = tx.groupBy("account_id", "transaction_date").agg(F.count(F.lit(1)).alias("_n"))
+    newer = (Window.partitionBy("account_id").orderBy(F.col("transaction_date").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per_day.select("account_id", "transaction_date",
+                             F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    in_day = Window.partitionBy("account_id", "transaction_date").orderBy(F.col("transaction_id").desc())
+    return (tx.join(offsets, ["account_id", "transaction_date"])
+            .withColumn("rank_in_account", (F.col("_before") + F.row_number().over(in_day)).cast("bigint"))
+            .drop("_before"))

@@ -340,7 +340,7 @@ def debit_credit_q(spark, d):
 
 
 @query("stmt_skip_rows", _stmt_sql("""
-SELECT DISTINCT file_id, CASE fmt WHEN 'us' THEN 0 WHEN 'eu' THEN 1 ELSE 2 END AS header_pos,
+SELECT DISTINCT file_id, CAST(CASE fmt WHEN 'us' THEN 0 WHEN 'eu' THEN 1 ELSE 2 END AS BIGINT) AS header_pos,
   CASE fmt WHEN 'us' THEN 'Date,Description,Amount' WHEN 'eu' THEN 'Buchungstag;Verwendungszweck;Debit;Credit'
     ELSE '#Posted Date' || chr(9) || 'Memo' || chr(9) || 'Amt' || chr(9) || 'Balance' END AS header_line
 FROM li"""))

@@ -52,14 +52,10 @@ SELECT account_id, transaction_id, transaction_date, amount,
     AS rank_in_account
 FROM transactions WHERE deleted_at IS NULL""", "transactions"))
 def tx_by_account(spark, d):
-    """O1 for every account at once: newest first, as a rank per account (a
-    global sort would be one range shuffle; the rank keeps it per account)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("account_id").orderBy(F.col("transaction_date").desc(),
-                                                 F.col("transaction_id").desc())
-    return (views.active(ledger.transactions(spark, d))
-            .select("account_id", "transaction_id", "transaction_date", "amount")
-            .withColumn("rank_in_account", F.row_number().over(w)))
+    """O1 for every account at once: the newest-first position of each
+    transaction in its account (ties by id)."""
+    return views.rank_newest_first(views.active(ledger.transactions(spark, d)).select(
+        "account_id", "transaction_id", "transaction_date", "amount"))
 
 
 @query("tx_date_range_scan", with_views(f"""

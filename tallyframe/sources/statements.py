@@ -290,7 +290,8 @@ def running_balance(rows: DataFrame) -> DataFrame:
 def preview_order(rows: DataFrame) -> DataFrame:
     """O3: newest day first, file order reversed within a day (as a rank)."""
     w = Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc(), F.col("pos").desc())
-    return rows.where(F.col("status") == "ok").withColumn("preview_rank", F.row_number().over(w))
+    return rows.where(F.col("status") == "ok").withColumn(
+        "preview_rank", F.row_number().over(w).cast("bigint"))
 
 
 def _any_contains(h: Column, patterns) -> Column:

@@ -110,3 +110,10 @@ def test_debit_credit(spark):
 def test_end_of_day(spark):
     v = one(spark, dates.end_of_day(F.lit("2024-03-01").cast("date")))
     assert (v.hour, v.minute, v.second, v.microsecond) == (23, 59, 59, 999999)
+
+
+def test_parse_timestamp(spark):
+    got = many(spark, ["2024-01-15T10:20:30Z", "2024-01-15 10:20:30.123456", "2024-01-15T10:20:30",
+                       "garbage"], dates.parse_timestamp)
+    assert got[0] is not None and got[1] is not None and got[2] is not None
+    assert got[3] is None

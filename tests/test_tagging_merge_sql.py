@@ -148,3 +148,11 @@ def test_params_bind_values(spark, sf_small):
         .where((F.col("amount") > 0) & (F.col("source") == "manual")).count()
     assert n == want
     assert sql.table_exists(spark, "transactions")
+
+
+def test_update_snapshots(spark):
+    sn = spark.createDataFrame([("s1", Decimal("1.00"), "sync"), ("s2", Decimal("2.00"), "manual")],
+                               "snapshot_id string, balance decimal(15,2), source string")
+    ch = spark.createDataFrame([("s1", Decimal("5.00"), None)], "snapshot_id string, balance decimal(15,2), source string")
+    out = {r.snapshot_id: (r.balance, r.source) for r in merge.update_snapshots(sn, ch).collect()}
+    assert out == {"s1": (Decimal("5.00"), "sync"), "s2": (Decimal("2.00"), "manual")}

@@ -308,10 +308,36 @@ def auto_tag(spark, d):
         "transaction_id", F.array_join("tags", "|").alias("tags"), "tags_auto_applied")
 
 
-@query("auto_tag_stats")
+def _rule_stats_sql() -> str:
+    """Per-rule counters of the fold, in DuckDB text (oracle only): each level
+    flags its matches on the tags as they stand before the rule."""
+    sql = ("SELECT transaction_id, account_id, amount, description, account_type, source, "
+           "coalesce(tags, CAST([] AS VARCHAR[])) AS tags FROM tx_view")
+    valid, invalid = [], []
+    for rid, _name, cond, tags, enabled, order in sorted(config.RULE_ROWS, key=lambda r: r[5]):
+        if not enabled:
+            continue
+        if "no_such_column" in cond:
+            invalid.append((rid, order))
+            continue
+        valid.append((rid, order))
+        arr = "CAST([" + ", ".join(f"'{t}'" for t in tags) + "] AS VARCHAR[])"
+        missing = f"list_filter({arr}, lambda x: NOT list_contains(tags, x))"
+        sql = (f"SELECT * REPLACE (CASE WHEN m_{rid} THEN tags || {missing} ELSE tags END AS tags) "
+               f"FROM (SELECT *, coalesce(({cond}), false) AS m_{rid}, "
+               f"coalesce(({cond}), false) AND len({missing}) > 0 AS a_{rid} FROM ({sql}) p_{rid}) q_{rid}")
+    parts = [f"SELECT '{rid}' AS rule_id, {order} AS sort_order, true AS valid, "
+             f"count(*) FILTER (WHERE m_{rid}) AS matched, count(*) FILTER (WHERE a_{rid}) AS tagged "
+             f"FROM folded" for rid, order in valid]
+    parts += [f"SELECT '{rid}', {order}, false, CAST(0 AS BIGINT), CAST(0 AS BIGINT)"
+              for rid, order in invalid]
+    return with_views_ctes(f"folded AS ({sql})", "\nUNION ALL\n".join(parts), "tx_view")
+
+
+@query("auto_tag_stats", _rule_stats_sql())
 def auto_tag_stats(spark, d):
     """Per rule matched / tagged counts; the broken rule is reported
-    invalid. Checked against a brute-force loop in tests/."""
+    invalid (also checked against a brute-force loop in tests/)."""
     view = views.transactions_view(_tx(spark, d), ledger.accounts(spark, d))
     return tagging.rule_stats(view, tagging.load_rules(config.rules(spark)))
 

@@ -91,4 +91,4 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"auto_tag_stats"}
+    assert set(q) == set(o)

@@ -60,43 +60,71 @@ def untagged_stats(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _check(name: str, df: DataFrame, fail_status: str, message: str, pass_message: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    return df.agg(
-        F.lit(name).alias("check"),
-        F.when(n == 0, F.lit("pass")).otherwise(F.lit(fail_status)).alias("status"),
-        n.alias("n"),
-        F.when(n == 0, F.lit(pass_message))
-         .otherwise(F.format_string(message, n)).alias("message"),
-    )
+# Per check, its failing status and its messages.
+CHECKS = {
+    "orphaned_transactions": ("error", "%d transaction(s) reference missing accounts",
+                              "No orphaned transactions found"),
+    "orphaned_snapshots": ("error", "%d snapshot(s) reference missing accounts",
+                           "No orphaned snapshots found"),
+    "date_sanity": ("error", "%d transaction(s) have unreasonable dates",
+                    "All transaction dates are valid"),
+    "untagged_transactions": ("warning", "%d transaction(s) have no tags",
+                              "All transactions are tagged"),
+    "budget_double_counting": ("warning", "%d transaction(s) counted in several categories",
+                               "No double-counted transactions found"),
+    "uncategorized_expenses": ("warning", "%d expense(s) in no budget category",
+                               "All expenses are categorized in budget"),
+}
+
+
+def _long(df: DataFrame, names: list[str]) -> DataFrame:
+    """One aggregate row with a count column per check -> (check, n) rows."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(n).cast("bigint").alias("n")) for n in names]))
+        .alias("c")).select("c.*")
 
 
 def all_checks(transactions: DataFrame, snapshots: DataFrame, accounts: DataFrame,
                as_of: str, double_counted: DataFrame | None = None,
                uncovered: DataFrame | None = None) -> DataFrame:
-    """D1-D7 as rows (check, status, n, message)."""
+    """D1-D7 as rows (check, status, n, message).
+
+    The three transaction checks share one scan: the transactions are left
+    joined to the account ids once and every condition is a count_if of the
+    same aggregate.
+    """
+    d = F.col("transaction_date")
+    acc = accounts.select("account_id", F.lit(True).alias("_known"))
+    tx = active(transactions).select("account_id", "transaction_date", "tags") \
+        .join(acc, "account_id", "left")
+    tx_counts = tx.agg(
+        F.count_if(F.col("_known").isNull()).alias("orphaned_transactions"),
+        F.count_if((d > F.date_add(F.lit(as_of).cast("date"), 365)) |
+                   (d < F.lit("1970-01-01").cast("date"))).alias("date_sanity"),
+        F.count_if(untagged()).alias("untagged_transactions"))
     frames = [
-        _check("orphaned_transactions", orphan_transactions(transactions, accounts), "error",
-               "%d transaction(s) reference missing accounts", "No orphaned transactions found"),
-        _check("orphaned_snapshots", orphan_snapshots(snapshots, accounts), "error",
-               "%d snapshot(s) reference missing accounts", "No orphaned snapshots found"),
-        _check("date_sanity", insane_dates(transactions, as_of), "error",
-               "%d transaction(s) have unreasonable dates", "All transaction dates are valid"),
-        _check("untagged_transactions", active(transactions).where(untagged()), "warning",
-               "%d transaction(s) have no tags", "All transactions are tagged"),
+        _long(tx_counts, ["orphaned_transactions", "date_sanity", "untagged_transactions"]),
+        _long(orphan_snapshots(snapshots, accounts).agg(
+            F.count(F.lit(1)).alias("orphaned_snapshots")), ["orphaned_snapshots"]),
     ]
     if double_counted is not None:
-        frames.append(_check("budget_double_counting", double_counted, "warning",
-                             "%d transaction(s) counted in several categories",
-                             "No double-counted transactions found"))
+        frames.append(_long(double_counted.agg(F.count(F.lit(1)).alias("budget_double_counting")),
+                            ["budget_double_counting"]))
     if uncovered is not None:
-        frames.append(_check("uncategorized_expenses", uncovered, "warning",
-                             "%d expense(s) in no budget category",
-                             "All expenses are categorized in budget"))
+        frames.append(_long(uncovered.agg(F.count(F.lit(1)).alias("uncategorized_expenses")),
+                            ["uncategorized_expenses"]))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    status = F.lit("pass")
+    message = None
+    for name, (fail, msg, ok) in CHECKS.items():
+        is_it = F.col("check") == name
+        st = F.when(F.col("n") == 0, F.lit("pass")).otherwise(F.lit(fail))
+        mg = F.when(F.col("n") == 0, F.lit(ok)).otherwise(F.format_string(msg, F.col("n")))
+        status = F.when(is_it, st).otherwise(status)
+        message = F.when(is_it, mg) if message is None else message.when(is_it, mg)
+    return out.select("check", status.alias("status"), "n", message.alias("message"))
 
 
 def check_summary(checks: DataFrame) -> DataFrame:

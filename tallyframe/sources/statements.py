@@ -93,11 +93,21 @@ def _dim(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+# One CSV record: runs of anything but quote / line break, or quoted text
+# (which may span lines), up to a line break or the end of the file.
+RECORD = r'((?:[^"\r\n]++|"[^"]*+")*+)(?:\r?\n|$)'
+
+
 def read_statement_files(spark: SparkSession, paths) -> DataFrame:
-    """I1 source: statement files -> (file_id, pos, line)."""
+    """I1 source: statement files -> (file_id, pos, line).
+
+    Records are cut with a CSV record pattern rather than at every line break,
+    so a quoted field with an embedded newline stays one record.
+    """
     raw = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_id"), "value")
-    return raw.select("file_id", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return raw.select("file_id", F.posexplode(
+        F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("pos", "line"))
 
 
 def headers(lines: DataFrame, manifest: DataFrame) -> DataFrame:

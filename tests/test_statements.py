@@ -86,3 +86,13 @@ def test_debit_credit_balance_and_eod_snapshot(spark):
     det = statements.detect_columns(statements.headers(lines, man)).first()
     assert (det.date, det.amount, det.debit, det.credit, det.description) == \
         ("Date", None, "Debit", "Credit", "Memo")
+
+
+def test_quoted_newline_stays_one_record(spark):
+    d = tempfile.mkdtemp(prefix="stmt-")
+    p = _write(d, "m.csv", 'date,amount,description\r\n2024-03-01,1.00,"two\nlines"\r\n'
+                           '2024-03-02,2.00,plain\n')
+    lines = statements.read_statement_files(spark, p)
+    rows = statements.parse_rows(lines, _manifest(spark, p)).orderBy("pos").collect()
+    assert [(r.description, r.amount, r.status) for r in rows] == \
+        [("two\nlines", Decimal("1.00"), "ok"), ("plain", Decimal("2.00"), "ok")]

@@ -228,13 +228,32 @@ def stmt_running_balance(spark, d):
 
 
 @query("stmt_preview", _stmt_sql("""
-SELECT file_id, pos, transaction_date, amount,
-  row_number() OVER (PARTITION BY file_id ORDER BY transaction_date DESC, pos DESC) AS preview_rank
-FROM ex WHERE status = 'ok'"""))
+, elig AS (SELECT * FROM ex WHERE status = 'ok' AND file_id NOT IN (
+    SELECT file_id FROM ex WHERE status = 'ok' AND balance IS NOT NULL)),
+rb AS (SELECT file_id, pos, CASE WHEN transaction_date <= anchor_date THEN CAST(anchor_balance
+    - coalesce(sum(CASE WHEN transaction_date <= anchor_date THEN amount END) OVER (
+      PARTITION BY file_id ORDER BY transaction_date DESC, pos DESC
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(18,2)) END AS running_balance
+  FROM elig)
+SELECT e.file_id, e.pos, e.transaction_date, e.amount,
+  row_number() OVER (PARTITION BY e.file_id ORDER BY e.transaction_date DESC, e.pos DESC) AS preview_rank,
+  coalesce(CAST(e.balance AS DECIMAL(18,2)), rb.running_balance) AS balance
+FROM ex e LEFT JOIN rb USING (file_id, pos) WHERE e.status = 'ok'""".lstrip()))
 def stmt_preview(spark, d):
-    """O3: preview order, newest day first."""
-    return statements.preview_order(_rows(spark, d)).select(
-        "file_id", "pos", "transaction_date", "amount", "preview_rank")
+    """I1 preview / O3: rows newest day first, with the balance shown for each."""
+    return statements.preview(_rows(spark, d, shared=True)).select(
+        "file_id", "pos", "transaction_date", "amount", "preview_rank", "balance")
+
+
+@query("stmt_rejected_files", _stmt_sql("""
+SELECT DISTINCT 'stmt-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(year(l_shipdate) AS VARCHAR) AS file_id,
+  CAST(l_suppkey AS VARCHAR) AS account_id, 'account not found' AS reason
+FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) NOT IN (SELECT account_id FROM accounts)"""))
+def stmt_rejected_files(spark, d):
+    """Files whose account does not exist are not imported; reported."""
+    _, man = statements.fixture_lines(spark, d)
+    return (man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_anti")
+            .select("file_id", "account_id", F.lit("account not found").alias("reason")))
 
 
 # --- scalar parsers over data -------------------------------------------------

@@ -304,6 +304,17 @@ def preview_order(rows: DataFrame) -> DataFrame:
         "preview_rank", F.row_number().over(w).cast("bigint"))
 
 
+def preview(rows: DataFrame) -> DataFrame:
+    """I1 preview: every ok row in preview order with the balance shown for it,
+    the row's own balance, or - for files without any - the running balance
+    from the anchor (W4)."""
+    rb = running_balance(rows).select("file_id", "pos", "running_balance")
+    return (preview_order(rows).join(rb, ["file_id", "pos"], "left")
+            .withColumn("balance", F.coalesce(F.col("balance").cast("decimal(18,2)"),
+                                              F.col("running_balance")))
+            .drop("running_balance"))
+
+
 def _any_contains(h: Column, patterns) -> Column:
     out = None
     for p in patterns:

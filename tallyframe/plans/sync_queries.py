@@ -424,3 +424,41 @@ FROM g WHERE CASE WHEN monthly THEN day(date) = dom ELSE ago % n = 0 END""")
 def schedule_expand(spark, d):
     """Recurring schedules expanded over 180 days."""
     return schedule.expand(schedule.fixture_rules(spark, d), AS_OF)
+
+
+@query("sync_snapshots", _sql(f"""
+, inc AS (SELECT m.account_id, CAST(c_acctbal AS DECIMAL(15,2)) AS balance,
+    CASE WHEN o_orderpriority = '5-LOW' THEN TIMESTAMP '{AS_OF_TS}' ELSE o_orderdate END AS snapshot_time,
+    o_orderkey AS payload_id
+  FROM oc JOIN mapping m ON m.ext_id = 'cust-' || CAST(c_custkey AS VARCHAR)
+  WHERE o_orderstatus <> 'O' AND c_mktsegment <> 'AUTOMOBILE')
+SELECT i.payload_id, i.account_id, i.balance, i.snapshot_time FROM inc i
+WHERE NOT EXISTS (SELECT 1 FROM balance_snapshots s WHERE s.account_id = i.account_id
+  AND CAST(s.snapshot_time AS DATE) = CAST(i.snapshot_time AS DATE) AND abs(s.balance - i.balance) < 0.01)
+""", "balance_snapshots"))
+def sync_snapshots(spark, d):
+    """S2 snapshot branch: provider balances mapped to ledger accounts (J8),
+    minus same-day snapshots within 0.01 (J9)."""
+    snaps = providers.a_snapshots(_pa(spark, d), AS_OF_TS)
+    mapped = sync.map_accounts(snaps, "sf_account_id", _mapping(spark, d))
+    return dedup.new_snapshots(mapped, ledger.balance_snapshots(spark, d)).select(
+        "payload_id", "account_id", "balance", "snapshot_time")
+
+
+@query("sync_b_transactions", _sql("""
+, b AS (SELECT o_orderkey AS payload_id, 0 AS tx_pos, 'lf-' || CAST(o_orderkey AS VARCHAR) AS lf_id,
+    CAST(c_custkey AS VARCHAR) AS lf_account_id FROM oc
+  WHERE o_orderstatus = 'O' AND c_mktsegment <> 'FURNITURE')
+SELECT b.lf_id, b.payload_id, a.account_id FROM b JOIN accounts a ON a.account_id = b.lf_account_id
+WHERE b.lf_id NOT IN (SELECT lf_id FROM transactions WHERE lf_id IS NOT NULL)"""))
+def sync_b_transactions(spark, d):
+    """S2 for provider B: transactions of active accounts, mapped by the
+    provider's account id, first per id, minus ids the ledger has (J6)."""
+    pb = _pb(spark, d)
+    active_ids = providers.b_accounts(pb).select(F.col("lf_id").alias("lf_account_id"))
+    tx = providers.b_transactions(pb).join(active_ids, "lf_account_id", "left_semi")
+    mapping = ledger.accounts(spark, d).select(F.col("account_id").alias("ext_id"), "account_id")
+    mapped = sync.map_accounts(tx, "lf_account_id", mapping)
+    new = sync.new_transactions(mapped, ledger.transactions(spark, d), id_col="lf_id",
+                                ext_col="lf_account_id")
+    return new.select("lf_id", "payload_id", "account_id")

@@ -52,8 +52,7 @@ def norm_description(desc) -> Column:
 
 def amount_text(amount) -> Column:
     """Amount as the fingerprint renders it: two decimals, plain notation."""
-    return F.col(amount).cast("decimal(15,2)").cast("string") if isinstance(amount, str) \
-        else amount.cast("decimal(15,2)").cast("string")
+    return _col(amount).cast("decimal(15,2)").cast("string")
 
 
 def fingerprint(account_id, tx_date, amount, description) -> Column:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .views import active
 
-CHECK_SCHEMA = "check string, status string, n bigint, message string"
-
-
 def orphan_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Non-deleted transactions whose account does not exist."""
     return (active(transactions).select("transaction_id", "account_id")

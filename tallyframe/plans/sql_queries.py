@@ -3,7 +3,6 @@ extension sessions, and the two streaming jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import ledger

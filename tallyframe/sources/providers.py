@@ -68,8 +68,12 @@ def a_accounts(parsed: DataFrame) -> DataFrame:
     """Account columns; the newest payload's view of each account wins
     (a map-side partial max_by, so repeated accounts cost one row per task)."""
     a = a_accounts_raw(parsed)
+    # carry only the account's own fields through the aggregate, not its
+    # transaction list
+    fields = F.struct("a.name", "a.currency", "a.org", "a.balance", "a.`available-balance`",
+                      "a.`balance-date`")
     latest = a.groupBy(F.col("a.id").alias("sf_id")).agg(
-        F.max_by(F.col("a"), F.col("payload_id")).alias("a"))
+        F.max_by(fields, F.col("payload_id")).alias("a"))
     return latest.select(
         "sf_id",
         F.col("a.name").alias("name"),

@@ -156,3 +156,14 @@ def test_update_snapshots(spark):
     ch = spark.createDataFrame([("s1", Decimal("5.00"), None)], "snapshot_id string, balance decimal(15,2), source string")
     out = {r.snapshot_id: (r.balance, r.source) for r in merge.update_snapshots(sn, ch).collect()}
     assert out == {"s1": (Decimal("5.00"), "sync"), "s2": (Decimal("2.00"), "manual")}
+
+
+def test_rule_with_failing_cast_is_skipped(spark):
+    view = spark.createDataFrame([("t1", "abc", ["x"]), ("t2", "12", [])],
+                                 "transaction_id string, description string, tags array<string>")
+    rules = [tagging.Rule("a", "bad cast", "CAST(description AS INT) > 5", ("n",), True, 1),
+             tagging.Rule("b", "safe", "try_cast(description AS INT) > 5", ("big",), True, 2)]
+    ok, bad = tagging.valid_rules(view, rules)
+    assert [r.rule_id for r in ok] == ["b"] and [r.rule_id for r in bad] == ["a"]
+    out = {r.transaction_id: r.tags for r in tagging.apply_rules(view, rules).collect()}
+    assert out == {"t1": ["x"], "t2": ["big"]}

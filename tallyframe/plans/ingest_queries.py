@@ -26,15 +26,22 @@ def _file_year():
     return F.substring_index(F.col("file_id"), "-", -1).cast("int")
 
 
+_LANDED: dict = {}
+
+
 def _stmt(spark, d):
     """(lines, manifest of files whose account exists) - I1 rejects the rest.
 
-    The rendered lines are written once to the shared checkpoint folder: they
-    stand for the landed statement files, which the ingest then reads like
-    files (and rendering them is not part of the ingest)."""
-    lines, man = statements.fixture_lines(spark, d)
-    man = man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_semi")
-    return materialize(lines), materialize(man)
+    The rendered lines are written once per session and folder to the shared
+    checkpoint folder: they stand for the landed statement files, which every
+    ingest query then reads like files (rendering them is not part of the
+    ingest). Parsing is never shared: each query parses the lines itself."""
+    key = (spark._jsparkSession.hashCode(), d)
+    if key not in _LANDED:
+        lines, man = statements.fixture_lines(spark, d)
+        man = man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_semi")
+        _LANDED[key] = (materialize(lines), materialize(man))
+    return _LANDED[key]
 
 
 def _rows(spark, d, shared: bool = False):

@@ -92,3 +92,25 @@ def test_entry_and_registry(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) == set(o)
+
+
+def test_api_workflows_on_fixture(spark, sf_small):
+    from tallyframe import api
+    from tallyframe.sources import config
+    tx, acc = ledger.transactions(spark, sf_small), ledger.accounts(spark, sf_small)
+    snaps = ledger.balance_snapshots(spark, sf_small)
+    checks, summary = api.doctor(tx, snaps, acc, ledger.AS_OF, config.categories(spark))
+    s = summary.first()
+    assert s.passed + s.warnings + s.errors == checks.count() == 6
+    assert api.status(tx, snaps, acc).first().total_accounts == acc.count()
+    pv = api.backfill(tx, snaps, ledger.anchors(spark, sf_small), start="2024-01-05")
+    assert pv.count() > 0
+    mapping = acc.select(F.concat(F.lit("cust-"), F.col("account_id")).alias("ext_id"), "account_id")
+    out = api.sync_provider_a(providers.fixture_payloads_a(spark, sf_small), tx,
+                              acc.select("account_id", "name", "currency"), mapping,
+                              providers.fixture_settings(spark, sf_small))
+    st = out["stats"].first()
+    assert st.discovered == st.new + st.skipped and out["new_transactions"].count() == st.new
+    assert out["accounts"].count() >= acc.count()
+    n = api.query(spark, sf_small, "SELECT count(*) AS n FROM transactions WHERE amount < ?", [0]).first().n
+    assert n > 0

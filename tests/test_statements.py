@@ -96,3 +96,27 @@ def test_quoted_newline_stays_one_record(spark):
     rows = statements.parse_rows(lines, _manifest(spark, p)).orderBy("pos").collect()
     assert [(r.description, r.amount, r.status) for r in rows] == \
         [("two\nlines", Decimal("1.00"), "ok"), ("plain", Decimal("2.00"), "ok")]
+
+
+def test_import_workflow_end_to_end(spark):
+    from tallyframe import api
+    from tallyframe.sources import config
+    d = tempfile.mkdtemp(prefix="stmt-")
+    p = _write(d, "w.csv", "date,amount,description,balance\n2024-01-15,-12.34,URGENT Coffee,100.00\n"
+                           "2024-01-15,50.00,Refund,150.00\n2024-01-16,-5.00,Tea,145.00\n")
+    man = _manifest(spark, p, balance_col="balance")
+    accounts = spark.createDataFrame([("acc-1", "Main", "credit", "usd", "Bank")],
+                                     "account_id string, name string, account_type string, currency string, institution_name string")
+    ledger_tx = spark.createDataFrame([], "transaction_id string, account_id string, amount decimal(15,2), "
+                                          "csv_fingerprint string")
+    snaps = spark.createDataFrame([], "snapshot_id string, account_id string, balance decimal(15,2), "
+                                      "snapshot_time timestamp_ntz, source string")
+    res = api.import_statements(spark, p, man, ledger_tx, snaps, accounts, "import_1", config.rules(spark))
+    c = res.counts.first()
+    assert (c.discovered, c.imported, c.skipped, c.snapshots_created) == (3, 3, 0, 2)
+    tags = {r.description: r.tags for r in res.new_rows.collect()}
+    assert "priority" in tags["URGENT Coffee"] and "card" in tags["Tea"]
+    again = api.import_statements(spark, p, man, res.transactions, res.snapshots, accounts, "import_2")
+    c = again.counts.first()
+    assert (c.imported, c.skipped, c.snapshots_created) == (0, 3, 0)
+    assert again.transactions.count() == 3 and again.snapshots.count() == 2

@@ -42,9 +42,11 @@ MANIFEST_SCHEMA = ("file_id string, account_id string, skip_rows int, number_for
 
 
 def _field_pattern(d: str) -> str:
-    """One CSV field after a delimiter (or at the start): a quoted field with
-    doubled quotes inside, or a run without delimiter and quote."""
-    return f'(?:^|{d})("[^"]*(?:""[^"]*)*"|[^{d}"]*)'
+    """One CSV field starting at the line start or right after a delimiter: a
+    quoted field with doubled quotes inside, or a run without delimiter and
+    quote. The start is a lookbehind, not a consumed delimiter, so an empty
+    first field cannot make the search resume inside a quoted field."""
+    return f'(?:^|(?<={d}))("[^"]*(?:""[^"]*)*"|[^{d}"]*)'
 
 
 _PATTERNS = {",": _field_pattern(","), ";": _field_pattern(";"), "\t": _field_pattern("\t")}

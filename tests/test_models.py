@@ -85,3 +85,24 @@ def test_norm_description_matches_model(spark):
     got = [r.x for r in df.select(text.norm_description(F.col("s")).alias("x")).collect()]
     for v, g in zip(vals, got):
         assert g == model_description(v), (v, g)
+
+
+def test_split_fields_round_trips_csv_writer(spark):
+    import csv
+    import io
+    from tallyframe.sources import statements
+    rng = random.Random(3)
+    alphabet = ['a', 'B', ' ', ',', ';', '"', '1', '.', '\t', 'é', '']
+    lines, want = [], []
+    for i in range(300):
+        delim = [",", ";", "\t"][i % 3]
+        fields = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 6)))
+                  for _ in range(rng.randint(1, 5))]
+        buf = io.StringIO()
+        csv.writer(buf, delimiter=delim, lineterminator="", quoting=csv.QUOTE_MINIMAL).writerow(fields)
+        lines.append((buf.getvalue(), delim))
+        want.append(fields)
+    df = spark.createDataFrame(lines, "line string, d string")
+    got = [r.f for r in df.select(statements.split_fields(F.col("line"), F.col("d")).alias("f")).collect()]
+    for (line, _), w, g in zip(lines, want, got):
+        assert g == w, (line, w, g)

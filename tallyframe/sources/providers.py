@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
 from ..functions.text import first_non_blank
 from .tables import table
 
@@ -157,7 +158,7 @@ def b_transactions(parsed: DataFrame) -> DataFrame:
         F.col("t.accountId").alias("lf_account_id"),
         F.col("t.amount").try_cast("decimal(15,2)").alias("amount"),
         first_non_blank(F.col("t.description"), F.col("t.merchant")).alias("description"),
-        F.try_to_date(F.col("t.date"), "yyyy-MM-dd").alias("transaction_date"),
+        parse_date(F.col("t.date"), ["yyyy-M-d"]).alias("transaction_date"),
         F.col("t.currency").alias("lf_currency"),
         F.col("t.merchant").alias("lf_merchant"),
         F.col("t.description").alias("lf_description"),

@@ -92,8 +92,11 @@ def backfill(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame,
 def doctor(transactions: DataFrame, snapshots: DataFrame, accounts: DataFrame, as_of: str,
            categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(check rows, summary row)."""
-    dc = budget.double_counted(transactions, categories) if categories is not None else None
-    un = budget.uncovered_expenses(transactions, categories) if categories is not None else None
+    dc = un = None
+    if categories is not None:
+        matches = budget.category_matches(transactions, categories)
+        dc = budget.double_counted(transactions, categories, matches)
+        un = budget.uncovered_expenses(transactions, categories, matches)
     checks = quality.all_checks(transactions, snapshots, accounts, as_of, dc, un)
     return checks, quality.check_summary(checks)
 

@@ -88,22 +88,29 @@ def net_worth(accounts: DataFrame, snapshots: DataFrame, overrides: DataFrame) -
                  F.count(F.lit(1)).alias("n_accounts")))
 
 
-def double_counted(transactions: DataFrame, categories: DataFrame) -> DataFrame:
-    """D6 (intent of the reference's stub): transactions in more than one category."""
-    return (category_matches(transactions, categories)
+def double_counted(transactions: DataFrame, categories: DataFrame,
+                   matches: DataFrame | None = None) -> DataFrame:
+    """D6 (intent of the reference's stub): transactions in more than one
+    category. ``matches`` (B1 output) can be passed in when already built."""
+    if matches is None:
+        matches = category_matches(transactions, categories)
+    return (matches
             .groupBy("transaction_id", "month")
             .agg(F.count(F.lit(1)).alias("n_categories"),
                  F.array_join(F.array_sort(F.collect_set("category_id")), "|").alias("categories"))
             .where(F.col("n_categories") > 1))
 
 
-def uncovered_expenses(transactions: DataFrame, categories: DataFrame) -> DataFrame:
+def uncovered_expenses(transactions: DataFrame, categories: DataFrame,
+                       matches: DataFrame | None = None) -> DataFrame:
     """D7 (intent of the reference's stub): expenses in a budgeted month that
-    match no category."""
+    match no category. ``matches`` (B1 output) can be passed in."""
     months = bounded_broadcast(categories.select("month").distinct())
     exp = (active(transactions).where(F.col("amount") < 0)
            .withColumn("month", F.date_format("transaction_date", "yyyy-MM"))
            .join(months, "month", "left_semi"))
-    matched = category_matches(transactions, categories).select("transaction_id")
+    if matches is None:
+        matches = category_matches(transactions, categories)
+    matched = matches.select("transaction_id")
     return exp.join(matched, "transaction_id", "left_anti").select(
         "transaction_id", "account_id", "amount", "transaction_date", "month")

@@ -146,9 +146,10 @@ checked AS (
 
 def _checks_df(spark, d):
     tx, cats = _tx(spark, d), config.categories(spark)
+    matches = budget.category_matches(tx, cats)   # B1 once, read by D6 and D7
     return quality.all_checks(tx, ledger.balance_snapshots(spark, d), ledger.accounts(spark, d),
-                              AS_OF, budget.double_counted(tx, cats),
-                              budget.uncovered_expenses(tx, cats))
+                              AS_OF, budget.double_counted(tx, cats, matches),
+                              budget.uncovered_expenses(tx, cats, matches))
 
 
 @query("dq_checks", _budget_sql(", " + _CHECKS_SQL.strip() + "\nSELECT * FROM checked",

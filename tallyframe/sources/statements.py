@@ -112,10 +112,13 @@ def read_statement_files(spark: SparkSession, paths) -> DataFrame:
         F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("pos", "line"))
 
 
-def headers(lines: DataFrame, manifest: DataFrame) -> DataFrame:
+def headers(lines: DataFrame, manifest: DataFrame, small: bool | None = None) -> DataFrame:
     """The header line of each file (after skip_rows lines), its
-    delimiter, cleaned names and width. One row per file."""
-    m = _dim(manifest.select("file_id", "skip_rows"), _few_files(manifest))
+    delimiter, cleaned names and width. One row per file. ``small`` is the
+    manifest size check when the caller already made it."""
+    if small is None:
+        small = _few_files(manifest)
+    m = _dim(manifest.select("file_id", "skip_rows"), small)
     h = (lines.join(m, "file_id")
          .where(F.col("pos") == F.coalesce(F.col("skip_rows"), F.lit(0)))
          .select("file_id", F.col("line").alias("header_line")))
@@ -143,7 +146,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     from the header's) are dropped without being counted, as in the reference.
     """
     small = _few_files(manifest)
-    hdr = headers(lines, manifest)
+    hdr = headers(lines, manifest, small)
     man = manifest.join(hdr, "file_id")
     h = F.col("header")
     man = man.select(
@@ -203,9 +206,10 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def ragged_counts(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """Data lines whose field count differs from the header width."""
-    hdr = headers(lines, manifest)
+    small = _few_files(manifest)
+    hdr = headers(lines, manifest, small)
     man = manifest.select("file_id", "skip_rows").join(hdr, "file_id")
-    return (lines.join(_dim(man, _few_files(manifest)), "file_id")
+    return (lines.join(_dim(man, small), "file_id")
             .where((F.col("pos") > F.coalesce(F.col("skip_rows"), F.lit(0)))
                    & (F.trim(F.col("line")) != ""))
             .where(F.size(split_fields(F.col("line"), F.col("delimiter"))) != F.col("width"))

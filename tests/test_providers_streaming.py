@@ -114,3 +114,12 @@ def test_api_workflows_on_fixture(spark, sf_small):
     assert out["accounts"].count() >= acc.count()
     n = api.query(spark, sf_small, "SELECT count(*) AS n FROM transactions WHERE amount < ?", [0]).first().n
     assert n > 0
+
+
+def test_streaming_log_counts_match_batch(spark, sf_small):
+    got = {(str(r.day), r.event_type): r.n for r in jobs.stream_log_counts(spark, sf_small).collect()}
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    want = {(str(r.day), r.event_type): r.n for r in
+            ev.groupBy(F.to_date("ts").alias("day"), "event_type").count()
+              .withColumnRenamed("count", "n").collect()}
+    assert got == want and len(got) > 0

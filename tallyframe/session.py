@@ -48,8 +48,9 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only set our own when it
-    is unset (local tests), never a machine-local folder on a real cluster.
+    The cluster names it in ``spark.checkpoint.dir``. A folder of our own is set only
+    where it is unset and the master is local; elsewhere that is an error, as a
+    machine-local folder cannot be read by other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = os.path.join("/tmp", "tallyframe-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -22,8 +22,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -75,10 +75,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
+        for k, base in enumerate((BASE, INVERSE)):
             step = np.full(size, base, np.uint64)
             step[0] = 1
             _tables[k] = np.multiply.accumulate(step)
@@ -103,7 +103,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
         base, top = int(starts[i]), int(ends[i:j].max())
         piece = data[base:top].astype(np.uint64) + np.uint64(1)
-        power, inverse = _powers(len(piece) + 1)
+        power, inverse = powers(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(piece * power[:-1], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base

@@ -9,12 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, quality, tokens
-from .text import set_batch_size
+from . import fingerprints, language, packing, quality, tokens, vectors
+from .text import set_up
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    set_batch_size(spark)
+    set_up(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +53,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.fingerprint(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality": op4_quality,
     "op7_packing": op7_packing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,9 @@ moves the rows. A null text counts as empty.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,13 @@ INVERSE = pow(BASE, -1, 1 << 64)
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def set_batch_size(spark, rows: int = 256) -> None:
-    """Small Arrow batches: texts can be long, and two Python workers share an executor."""
+def set_up(spark, rows: int = 256) -> None:
+    """Small Arrow batches, as texts can be long and two Python workers share an executor;
+    and this package's folder on the workers' path, for sessions started elsewhere."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    here, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in given.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [given, here]))
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .tables import components, written
+from .tables import components, may_be_in, written
 from .vectors import _forest
 
 WORDS = 5
@@ -190,11 +190,10 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
                                                  names=["sig", "key"])
 
     rows = written(docs.select("text").mapInArrow(second_pass, "sig long, key long"), "signatures")
-    shared = (rows.where(F.col("sig") != int(MIXED)).groupBy("sig")
-              .agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("sig"))
+    shared = written(rows.where(F.col("sig") != int(MIXED)).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "shared")
     # one class for equal sets, named by its smallest doc_id; its size and the bound its prefix gives
     sets = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    hits = written(rows.join(shared.hint("shuffle_hash"), "sig").distinct().join(sets.where("rep is not null"), "key")
+    hits = written(may_be_in(rows, "sig", shared).join(shared.hint("shuffle_hash"), "sig").distinct().join(sets.where("rep is not null"), "key")
                    .select("sig", "key", "n"), "hits")
     counts = hits.groupBy("sig").agg(F.count("*").alias("sets"))
     hits = hits.join(counts.where("sets > 1"), "sig")
@@ -229,7 +228,7 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_key(s) for s in found], pa.int64()),
                                               pa.array([s.tobytes() for s in found], pa.binary())], names=["want", "key", "tokens"])
 
-    tokens = (docs.join(wanted, "doc_id").select(F.col("key").alias("want"), "text").mapInArrow(whole_sets, "want long, key long, tokens binary")
+    tokens = (may_be_in(docs, "doc_id", wanted).join(wanted, "doc_id").select(F.col("key").alias("want"), "text").mapInArrow(whole_sets, "want long, key long, tokens binary")
               .where("want = key").dropDuplicates(["key"]).select("key", "tokens"))
     tokens = written(tokens, "tokens")
 

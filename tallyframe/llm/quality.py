@@ -136,7 +136,7 @@ def fit(rows: DataFrame, shrinkage: float = SHRINKAGE) -> Model:
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
     found = rows.mapInArrow(measure, "y int, x array<double>").toPandas()
-    x = np.array(found["x"].tolist(), float).reshape(len(found), -1)
+    x = np.array(found["x"].tolist(), float).reshape(len(found), -1 if len(found) else 0)
     return fit_rows(x, found["y"].to_numpy(int), shrinkage)
 
 

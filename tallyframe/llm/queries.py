@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, packing, quality, tokens, vectors
+from . import fingerprints, jaccard, katz, language, licences, packing, quality, repeats, tokens, vectors
 from .text import set_up
 
 
@@ -53,6 +53,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.passages(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a document is a file of its source, in folders of a thousand
+    files = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string")).alias("path"))
+    return licences.scan(files).select("doc_id", "path", "notice_license", "notice_score", "file_license", "inherited_license", "license")
+
+
+def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
@@ -71,7 +87,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_quality": op4_quality,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_katz_lm": op6_katz_lm,
     "op7_packing": op7_packing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,

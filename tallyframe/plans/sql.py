@@ -3,41 +3,65 @@ result encodings and sinks, and extension sessions limited to chosen views."""
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import views
 from ..sources import config, ledger
 
-# Statement keywords a read-only query may not contain.
-WRITE_KEYWORDS = ["INSERT", "UPDATE", "DELETE", "MERGE", "DROP", "CREATE", "ALTER", "TRUNCATE",
-                  "GRANT", "REVOKE", "CACHE", "UNCACHE", "REFRESH", "MSCK"]
-READ_FIRST_WORDS = ["SELECT", "WITH"]
-
-_LITERALS = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
-_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_WRITE_RE = re.compile(r"\b(" + "|".join(WRITE_KEYWORDS) + r")\b", re.I)
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+# kinds of parsed nodes that do more than read: commands, writes, scripts
+_NOT_READING = ["Command", "ParsedStatement", "ScriptTransformation"]
+# leaves of an analysed plan that read no table
+_NO_TABLE = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "EmptyRelation"}
 
 
 class ReadOnlyViolation(ValueError):
     pass
 
 
-def check_readonly(sql: str) -> None:
-    """Q1: a single SELECT / WITH statement with no write keyword outside
-    string literals, quoted names and comments (so ``select ' UPDATE '`` is
-    accepted, ``WITH x AS (...) INSERT ...`` is not)."""
-    body = _LITERALS.sub("''", _COMMENTS.sub(" ", sql)).strip().rstrip(";").strip()
-    if ";" in body:
-        raise ReadOnlyViolation("only one statement is allowed")
-    first = body.split(None, 1)[0].upper() if body else ""
-    if first not in READ_FIRST_WORDS:
-        raise ReadOnlyViolation(f"only SELECT or WITH queries are allowed, got {first or 'nothing'}")
-    m = _WRITE_RE.search(body)
-    if m:
-        raise ReadOnlyViolation(f"write keyword {m.group(1).upper()} is not allowed")
+def _seq(items) -> list:
+    out, it = [], items.iterator()
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def check_readonly(spark: SparkSession, sql: str) -> None:
+    """Q1: one statement that Spark's parser reads as a query, with no command, write
+    or script anywhere in it (so ``select ' UPDATE '`` is accepted, and
+    ``WITH x AS (...) INSERT ...`` is not)."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise ReadOnlyViolation(f"not one valid query: {e}") from e
+    kinds = [(name, spark._jvm.java.lang.Class.forName(_LOGICAL + name)) for name in _NOT_READING]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        for name, kind in kinds:
+            if kind.isInstance(node):
+                raise ReadOnlyViolation(f"only queries are allowed, got {node.nodeName()} ({name})")
+        todo += _seq(node.children()) + [x for x in _seq(node.innerChildren()) if hasattr(x, "innerChildren")]
+        todo += _seq(node.subqueries())
+
+
+def check_relations(df: DataFrame, allowed: list[str]) -> None:
+    """Q7: every relation that the analysed query reads is one of the allowed views."""
+    allowed = {a.lower() for a in allowed}
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "View" and node.isTempView():
+            name = node.desc().identifier().table()
+            if name.lower() not in allowed:
+                raise ReadOnlyViolation(f"the view {name} is not allowed")
+            continue  # what an allowed view reads is its own matter
+        children = _seq(node.children())
+        if not children and node.nodeName() not in _NO_TABLE:
+            raise ReadOnlyViolation(f"only {', '.join(sorted(allowed))} can be read")
+        todo += children + _seq(node.subqueries())
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> list[str]:
@@ -59,16 +83,27 @@ def register_views(spark: SparkSession, sf_dir: str, names=None) -> list[str]:
 def run_readonly(spark: SparkSession, sql: str, args=None) -> DataFrame:
     """Q1/Q3: guarded read-only SQL; ``args`` binds positional ``?`` markers
     (lists bind as arrays)."""
-    check_readonly(sql)
+    check_readonly(spark, sql)
     return spark.sql(sql, args=args) if args is not None else spark.sql(sql)
 
 
-def extension_session(spark: SparkSession, sf_dir: str, allowed: list[str]) -> SparkSession:
-    """Q7: an isolated session (same cluster, own temp views) in which only the
-    allowed views exist; anything else fails to resolve."""
-    ext = spark.newSession()
-    register_views(ext, sf_dir, allowed)
-    return ext
+class Extension:
+    """Q7: queries of one extension, over the views it was allowed and nothing else."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, allowed: list[str]):
+        self._session = spark.newSession()
+        self.allowed = register_views(self._session, sf_dir, allowed)
+
+    def query(self, sql: str, args=None) -> DataFrame:
+        df = run_readonly(self._session, sql, args)
+        check_relations(df, self.allowed)
+        return df
+
+
+def extension_session(spark: SparkSession, sf_dir: str, allowed: list[str]) -> Extension:
+    """Q7: an isolated session (same cluster, own temp views) that reads only the
+    allowed views; any other view, table or path is refused."""
+    return Extension(spark, sf_dir, allowed)
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

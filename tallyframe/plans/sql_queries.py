@@ -88,7 +88,7 @@ def result_csv(spark, d):
 def ext_read_allowlist(spark, d):
     """Q7: an extension session that sees only transactions and accounts."""
     ext = sql.extension_session(spark, d, ["transactions", "accounts"])
-    return sql.run_readonly(ext, EXT_SQL.format(tx="transactions"))
+    return ext.query(EXT_SQL.format(tx="transactions"))
 
 
 # --- streaming ---------------------------------------------------------------
@@ -99,7 +99,7 @@ SELECT DISTINCT pid AS provider_id FROM (
     ELSE 'ev-' || CAST(user_id AS VARCHAR) || '-' || event_type || '-' || strftime(ts, '%Y%m%d') END AS pid
   FROM events) WHERE pid NOT IN (SELECT transaction_id FROM transactions)""", "transactions"))
 def stream_dedup(spark, d):
-    """Structured Streaming: watermark dedup + per-batch anti join."""
+    """Structured Streaming: each batch against the ledger and the earlier batches."""
     return jobs.stream_dedup(spark, d, ledger.transactions(spark, d)).select("provider_id")
 
 

@@ -1,12 +1,11 @@
 """Structured Streaming forms of the sync dedup and of log counting.
 
-The reference pulls provider data with a 7-day overlap; here the overlap is a
-watermark: ``dropDuplicatesWithinWatermark`` keeps state for each provider id
-for 7 days of event time, and each micro-batch is checked exactly against the
-ledger with an anti join in ``foreachBatch`` (so a late row past the watermark
-is still caught). Sinks are parquet tables under the cluster's shared
-checkpoint folder, as are the streaming checkpoints: a restarted job resumes
-from its offsets, and every micro-batch write is idempotent per batch id.
+Files may land in any order and hold rows of any age, so no watermark drops rows:
+each micro-batch is checked in ``foreachBatch`` against the ledger and against what
+earlier batches wrote, and counts are kept as partial counts of each batch, which add
+up whatever the order. Sinks are Parquet tables under the cluster's shared checkpoint
+folder, as are the streaming checkpoints: a restarted job resumes from its offsets, and
+a repeated micro-batch overwrites its own folder.
 """
 
 from __future__ import annotations
@@ -15,71 +14,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import table
 
-OVERLAP = "7 days"
 
-
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A file stream over one driver table (its files in ``sf_dir``)."""
-    schema = table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(sf_dir))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1) -> DataFrame:
+    """A file stream over one driver table, stored as a file or as a folder of files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    stream = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("maxFilesPerTrigger", files_per_batch))
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def event_provider_ids(events: DataFrame) -> DataFrame:
     """Provider ids of landed events: cash events carry their own id, the
     others one id per user, type and day (re-sent during the overlap)."""
     et = F.col("event_type")
-    ts = F.col("ts").cast("timestamp")   # watermarks need timestamp, not timestamp_ntz
+    ts = F.col("ts").cast("timestamp")
     pid = (F.when(et.isin("signup", "purchase"), F.concat(F.lit("ev-"), F.col("event_id").cast("string")))
            .otherwise(F.concat_ws("-", F.lit("ev"), F.col("user_id").cast("string"), et,
                                   F.date_format(ts, "yyyyMMdd"))))
     return events.select(pid.alias("provider_id"), ts.alias("ts"))
 
 
-def _run(query_builder, out: str, ckpt: str) -> None:
-    q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+def _run(stream: DataFrame, write_batch, checkpoint: str) -> None:
+    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
+def _sink(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The rows written so far, with the number of their batch; none before the first batch."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], f"{schema}, batch_id long")
+    return spark.read.schema(f"{schema}, batch_id long").parquet(out)
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str, ledger_ids: DataFrame) -> DataFrame:
-    """New provider ids: de-duplicated within the 7-day watermark, then
-    anti-joined with the ledger per micro-batch. Returns the sink table."""
-    out, ckpt = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ckpt")
-    ids = (event_provider_ids(table_stream(spark, sf_dir, "events"))
-           .withWatermark("ts", OVERLAP)
-           .dropDuplicatesWithinWatermark(["provider_id"]))
+    """New provider ids: each is written once, by the first batch that has it, unless the
+    ledger has it. Returns the sink table.
+
+    The ids of a batch are few: they are looked up in the ledger and in the sink (semi
+    joins, where Spark broadcasts them by their measured size), so neither is shuffled.
+    """
+    out, checkpoint = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-dedup-ckpt")
+    schema = "provider_id string, ts timestamp"
     known = ledger_ids.select(F.col("transaction_id").alias("provider_id"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.join(known, "provider_id", "left_anti")
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+        session = batch.sparkSession
+        ids = batch.groupBy("provider_id").agg(F.min("ts").alias("ts"))
+        earlier = _sink(session, out, schema).where(F.col("batch_id") < batch_id).select("provider_id")
+        seen = known.union(earlier).join(ids.select("provider_id"), "provider_id", "left_semi").distinct()
+        ids.join(seen, "provider_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(ids.writeStream.foreachBatch(write_batch), out, ckpt)
-    return spark.read.schema("provider_id string, ts timestamp").parquet(out)
+    _run(event_provider_ids(table_stream(spark, sf_dir, "events")), write_batch, checkpoint)
+    return _sink(spark, out, schema).drop("batch_id")
 
 
 def stream_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling one-day windows of log events per type, update mode; the sink
-    keeps each batch's updates and the read takes the latest per window."""
-    out, ckpt = scratch_path(spark, "stream-logs"), scratch_path(spark, "stream-logs-ckpt")
-    ev = table_stream(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = (ev.withWatermark("ts", "1 hour")
-              .groupBy(F.window("ts", "1 day"), "event_type")
-              .agg(F.count(F.lit(1)).alias("n")))
+    """One-day counts of log events per type: partial counts of each batch, added up on read."""
+    out, checkpoint = scratch_path(spark, "stream-logs"), scratch_path(spark, "stream-logs-ckpt")
+    events = table_stream(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.to_date(F.col("window.start")).alias("day"), "event_type", "n",
-                      F.lit(batch_id).alias("batch_id"))
-         .write.mode("overwrite").parquet(f"{out}/b={batch_id}"))
+        (batch.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
-    _run(counts.writeStream.outputMode("update").foreachBatch(write_batch), out, ckpt)
-    res = spark.read.schema("day date, event_type string, n bigint, batch_id bigint").parquet(out)
-    return res.groupBy("day", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+    _run(events, write_batch, checkpoint)
+    return (_sink(spark, out, "day date, event_type string, n bigint")
+            .groupBy("day", "event_type").agg(F.sum("n").alias("n")))

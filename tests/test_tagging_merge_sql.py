@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException, ArithmeticException
 from pyspark.sql import functions as F
 
 from tallyframe.operators import merge, tagging, views
@@ -116,27 +117,39 @@ def test_cascade_delete(spark):
 
 @pytest.mark.parametrize("text", [
     "SELECT * FROM transactions", "with x as (select 1) select * from x",
-    "select ' UPDATE ' as word", "SELECT 1 -- DROP TABLE x\n",
+    "select ' UPDATE ' as word", "SELECT 1 -- DROP TABLE x\n", "SELECT update FROM t", "SELECT '--' AS c, 1 AS \"drop\"",
+    "VALUES (1)", "SELECT * FROM t WHERE a IN (SELECT delete FROM u);",
 ])
-def test_readonly_accepts(text):
-    sql.check_readonly(text)
+def test_readonly_accepts(spark, text):
+    sql.check_readonly(spark, text)
 
 
 @pytest.mark.parametrize("text", [
     "INSERT INTO t VALUES (1)", "UPDATE t SET a = 1", "DROP TABLE t", "CREATE TABLE t (a int)",
     "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT 1; DROP TABLE t", "",
     "ALTER TABLE t ADD COLUMN b int", "TRUNCATE TABLE t",
+    "WITH x AS (SELECT '--' AS c) INSERT INTO t SELECT c FROM x", "FROM x INSERT INTO t SELECT * INSERT INTO u SELECT *",
+    "CREATE TABLE t AS SELECT 1", "SET a = 1", "CACHE TABLE t", "SELECT TRANSFORM(a) USING 'cat' AS b FROM t",
+    "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT 1",
 ])
-def test_readonly_rejects(text):
+def test_readonly_rejects(spark, text):
     with pytest.raises(sql.ReadOnlyViolation):
-        sql.check_readonly(text)
+        sql.check_readonly(spark, text)
 
 
 def test_extension_session_sees_only_allowed_views(spark, sf_small):
     ext = sql.extension_session(spark, sf_small, ["accounts"])
-    assert ext.sql("SELECT count(*) AS n FROM accounts").first().n > 0
-    with pytest.raises(Exception):
-        ext.sql("SELECT * FROM balance_snapshots").collect()
+    assert ext.query("SELECT count(*) AS n FROM accounts").first().n > 0
+    assert ext.query("WITH a AS (SELECT account_id FROM accounts) SELECT count(*) AS n FROM a, (SELECT 1) x "
+                     "WHERE account_id IN (SELECT account_id FROM accounts)").first().n > 0
+    spark.range(3).write.mode("overwrite").saveAsTable("other_table")
+    for text in ["SELECT * FROM balance_snapshots", f"SELECT count(*) FROM parquet.`{sf_small}/customer.parquet`",
+                 "SELECT * FROM other_table", "SELECT 1 WHERE 1 IN (SELECT id FROM other_table)",
+                 "SELECT (SELECT max(id) FROM other_table) FROM accounts", "WITH accounts AS (SELECT * FROM other_table) SELECT * FROM accounts",
+                 "INSERT INTO other_table SELECT 1"]:
+        with pytest.raises((sql.ReadOnlyViolation, AnalysisException)):
+            ext.query(text)
+    spark.sql("DROP TABLE other_table")
 
 
 def test_params_bind_values(spark, sf_small):
@@ -167,3 +180,32 @@ def test_rule_with_failing_cast_is_skipped(spark):
     assert [r.rule_id for r in ok] == ["b"] and [r.rule_id for r in bad] == ["a"]
     out = {r.transaction_id: r.tags for r in tagging.apply_rules(view, rules).collect()}
     assert out == {"t1": ["x"], "t2": ["big"]}
+
+
+def test_rules_with_bad_values_are_skipped_whole(spark):
+    view = spark.createDataFrame([("t1", "abc", 0, ["x"]), ("t2", "12", 3, None)],
+                                 "transaction_id string, description string, n int, tags array<string>")
+    conditions = {"implicit": "description > 5", "division": "10 / n > 1", "element": "tags[3] = 'x'", "missing": "nothing = 1",
+                  "syntax": "n >", "safe": "n > 1", "after": "array_contains(tags, 'safe')"}
+    rules = [tagging.Rule(k, k, c, (k,), True, i) for i, (k, c) in enumerate(conditions.items())]
+    ok, bad = tagging.valid_rules(view, rules)
+    assert [r.rule_id for r in ok] == ["safe", "after"] and len(bad) == 5
+    out = {r.transaction_id: r.tags for r in tagging.apply_rules(view, rules).collect()}
+    assert out == {"t1": ["x"], "t2": ["safe", "after"]}
+    stats = {r.rule_id: (r.valid, r.matched, r.tagged) for r in tagging.rule_stats(view, rules).collect()}
+    assert stats["safe"] == (True, 1, 1) and stats["after"] == (True, 1, 1) and stats["division"] == (False, 0, 0)
+
+
+def test_long_rule_lists(spark):
+    view = spark.createDataFrame([("t1", 7, ["x", "x"]), ("t2", 120, [])], "transaction_id string, n int, tags array<string>")
+    rules = [tagging.Rule(f"r{i:03}", "", f"n >= {i}" if i % 40 else f"array_contains(tags, 'g{i - 1}')", (f"g{i}", "x"), True, i)
+             for i in range(1, 121)]
+    out = {r.transaction_id: r.tags for r in tagging.apply_rules(view, rules).collect()}
+    assert out["t1"] == ["x", "x", *[f"g{i}" for i in range(1, 8)]]
+    assert sorted(out["t2"]) == sorted(["x", *[f"g{i}" for i in range(1, 121)]])
+
+
+def test_errors_of_the_session_stay_readable(spark):
+    tagging.valid_rules(spark.range(1).selectExpr("id", "array('a') AS tags"), [tagging.Rule("a", "a", "nope = 1", ("n",), True, 1)])
+    with pytest.raises(ArithmeticException):
+        spark.sql("SELECT 1 / id FROM range(2)").collect()

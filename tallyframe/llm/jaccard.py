@@ -3,7 +3,7 @@
 A document's set has its distinct k-word shingles, as 64-bit hashes. Equal sets form one
 class first, whatever their number. All sets share one order of tokens: rare ones first
 (by hash), then frequent ones. Tokens are frequent by counts over all documents in a
-table of 2**20 cells. A set's prefix is so long that two sets over the threshold must share
+table of 2**22 cells. A set's prefix is so long that two sets over the threshold must share
 a signature in it: a single rare token, or a pair of frequent tokens of one token group.
 
   With e tokens of a set at most outside its partner, a prefix of r rare tokens and
@@ -13,10 +13,11 @@ a signature in it: a single rare token, or a pair of frequent tokens of one toke
   whose sizes allow a link have a class in common.
 
 Signatures with up to MANY sets give pairs; what two sets share of their prefixes bounds
-their overlap, and pairs that may pass are verified on the whole sets. Sets that share
-signatures with more are compared in blocks: candidates from shared signatures, verified by
-bit sets; a block pair returns a spanning forest of its links. So no link is missed, but
-for equal hashes of different shingles (64 bits).
+their overlap, and most pairs go by that. The pairs left, and the sets of larger signatures,
+make clusters; the texts of a cluster meet in one task, or in one for each pair of its blocks
+of BLOCK sets, and all its pairs are verified on the whole sets as bit sets. A task returns
+a spanning forest of its links, never all pairs. So no link is missed, but for equal hashes
+of different shingles (64 bits).
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; fewer
 than k words make one shingle of the whole sequence; equal sets link; repeated rows are
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .katz import pack, unpack
 from .tables import components, may_be_in, written
 from .vectors import _forest
 
 WORDS = 5
-SKETCH_BITS, CHUNK_BITS = 20, 12
-MANY = 48  # sets of a signature that are paired one by one
+SKETCH_BITS, CHUNK_BITS = 22, 12
+MANY = 96  # sets of a signature that are paired one by one
 BLOCK = 512  # sets on each side of a block pair
 GROUP = 3  # frequent tokens of a group, as expected
 MIXED = np.uint64(0)
@@ -91,7 +93,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.nd
     found = [rare]
     for c in {own, max(own - 1, 0)}:
         groups = int(classes[c]) // GROUP
-        salted = X.mix(rest ^ (_SALT * np.uint64(c + 1)))
+        salted = X.mix(rest ^ np.uint64((int(_SALT) * (c + 1)) & ((1 << 64) - 1)))
         if groups < 4:  # small sets: single tokens
             found.append(np.sort(salted)[:need])
             continue
@@ -132,10 +134,6 @@ def _linked(bits: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, p
     return out
 
 
-def _as_sets(blobs) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in blobs]
-
-
 def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
@@ -144,10 +142,10 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     chunk = 1 << CHUNK_BITS
 
     def first_pass(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for part in X.slices(batches):
             sets = shingles(part.column(1), k)
-            cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+            np.add.at(cells, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -157,7 +155,7 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
-                 pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], names=["doc_id", "key", "n", "chunk", "cells"])
+                 pa.array([pack(p) for p in parts], pa.binary())], names=["doc_id", "key", "n", "chunk", "cells"])
 
     first = written(docs.mapInArrow(first_pass, "doc_id long, key long, n long, chunk int, cells binary"), "sets")
     members = first.where("chunk is null").select("doc_id", "key", "n")
@@ -168,13 +166,13 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     def over(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = np.zeros(chunk, np.int64)
         for blob in pdf["cells"]:
-            cells += np.frombuffer(blob, np.int32)
+            cells += unpack(blob)
         return pd.DataFrame({"chunk": [key[0]], "flags": [np.packbits(cells > limit).tobytes()]})
 
     flags = np.zeros((1 << SKETCH_BITS) // chunk * (chunk // 8), np.uint8)
     for r in first.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInPandas(over, "chunk int, flags binary").collect():
         flags[r["chunk"] * (chunk // 8):(r["chunk"] + 1) * (chunk // 8)] = np.frombuffer(r["flags"], np.uint8)
-    frequent = spark.sparkContext.broadcast(flags)  # 128 KB, whatever the input
+    frequent = spark.sparkContext.broadcast(flags)  # 512 KB, whatever the input
 
     def second_pass(batches):
         flag = np.unpackbits(frequent.value).astype(bool)
@@ -204,10 +202,6 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
         filter(slice(of, i + 2, size(of)), y -> 100 * x.n >= {percent} * y.n), y -> struct(x.key AS a, x.n AS n, y.key AS b, y.n AS m))))""")
     pairs = (lists.select("shared", F.explode(pairs).alias("p")).groupBy("p.a", "p.n", "p.b", "p.m").agg(F.sum("shared").alias("shared")))
     crowds = hits.where(F.col("sets") > many).select("sig", "key")
-    clusters = written(components(
-        crowds.join(crowds.groupBy("sig").agg(F.min("key").alias("low")), "sig").select(F.col("key").alias("a"), F.col("low").alias("b")))
-        .select(F.col("id").alias("key"), F.col("component").alias("cluster")), "clusters")
-
     # two prefixes of single rare tokens hold all that the sets share up to the end of one of
     # them, so this and what lies beyond bounds the overlap; crowds and pairs of tokens
     # give no such bound
@@ -215,63 +209,56 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     beyond = F.greatest(*[F.expr(f"cast(ceil({percent} * {c} / 100) as bigint) - 1") for c in ("n", "m")])
     unbound = written(crowds.select("key").union(rows.where(F.col("sig") == int(MIXED)).select("key")).distinct(), "unbound")
     free = lambda c: unbound.select(F.col("key").alias(c), F.lit(True).alias(f"free_{c}"))
-    pairs = written(
-        pairs.join(free("a"), "a", "left").join(free("b"), "b", "left")
-        .where(F.coalesce("free_a", "free_b", F.col("shared") + beyond >= least)).select("a", "b"), "pairs")
-
-    wanted = (pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(clusters.select("key")).distinct())
-    wanted = written(wanted.join(sets, "key").select("key", F.col("rep").alias("doc_id")), "wanted")
-
-    def whole_sets(batches):
-        for part in X.slices(batches):
-            found = shingles(part.column(1), k)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_key(s) for s in found], pa.int64()),
-                                              pa.array([s.tobytes() for s in found], pa.binary())], names=["want", "key", "tokens"])
-
-    tokens = (may_be_in(docs, "doc_id", wanted).join(wanted, "doc_id").select(F.col("key").alias("want"), "text").mapInArrow(whole_sets, "want long, key long, tokens binary")
-              .where("want = key").dropDuplicates(["key"]).select("key", "tokens"))
-    tokens = written(tokens, "tokens")
-
-    def verify(batches):
-        for batch in batches:
-            left, right = _as_sets(batch.column(1).to_pylist()), _as_sets(batch.column(3).to_pylist())
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-            ok = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(both, left, right)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    own = lambda c: tokens.select(F.col("key").alias(c), F.col("tokens").alias(f"tokens_{c}"))
-    few = (pairs.join(own("a"), "a").join(own("b"), "b").select("a", "tokens_a", "b", "tokens_b").mapInArrow(verify, "a long, b long"))
-
+    pairs = (pairs.join(free("a"), "a", "left").join(free("b"), "b", "left")
+             .where(F.coalesce("free_a", "free_b", F.col("shared") + beyond >= least)).select("a", "b"))
+    ties = crowds.join(crowds.groupBy("sig").agg(F.min("key").alias("low")), "sig").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    clusters = components(pairs.union(ties)).withColumnsRenamed({"id": "key", "component": "cluster"})
     size = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = (clusters.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-              .join(crowds.groupBy("key").agg(F.collect_list("sig").alias("sigs")), "key").join(tokens, "key")
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("cluster", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "sigs", "tokens"))
-
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, left, right = key
-        keys, own = pdf["key"].to_numpy(), pdf["own"].to_numpy()
-        bits, sizes = _bits(_as_sets(pdf["tokens"]))
-        sig_bits, _ = _bits([np.unique(np.asarray(s)).astype(np.int64).view(np.uint64) for s in pdf["sigs"]])
+    wanted = written(clusters.join(size, "cluster").join(sets, "key")
+                     .select("key", F.col("rep").alias("doc_id"), "cluster",
+                             F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"), "blocks"), "wanted")
+    tasks = (may_be_in(docs, "doc_id", wanted).join(wanted, "doc_id")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("cluster", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "doc_id", "text"))
+
+    def linked(left: int, right: int, own: np.ndarray, docs_: np.ndarray, sets_: list[np.ndarray]) -> pa.RecordBatch:
+        """Forest of the links between two blocks of a cluster (or within one)."""
+        bits, sizes = _bits(sets_)
         a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
         links = []
         for p in a.tolist():
             q = b[b > p] if left == right else b
             q = q[(100 * sizes[q] >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes[q])]
-            q = q[(sig_bits[q] & sig_bits[p]).any(axis=1)]
             if len(q):
                 p = np.full(len(q), p)
                 ok = _linked(bits, sizes, p, q, percent)
                 links.append((p[ok], q[ok]))
-        if not links:
-            return pd.DataFrame({"a": keys[:0], "b": keys[:0]})
-        root = _forest(len(keys), np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
-        some = np.flatnonzero(root != np.arange(len(keys)))
-        return pd.DataFrame({"a": keys[some], "b": keys[root[some]]})
-
-    crowded = placed.groupBy("cluster", "left", "right").applyInPandas(compare, "a long, b long")
-    rep = lambda c: wanted.select(F.col("key").alias(c), F.col("doc_id").alias(f"doc_{c}"))
-    groups = components(few.union(crowded).join(rep("a"), "a").join(rep("b"), "b").select("doc_a", "doc_b"), "doc_a", "doc_b")
+        i = np.concatenate([x for x, _ in links]) if links else np.empty(0, np.int64)
+        j = np.concatenate([y for _, y in links]) if links else np.empty(0, np.int64)
+        root = _forest(len(own), i, j) if len(i) else np.arange(len(own))
+        some = np.flatnonzero(root != np.arange(len(own)))
+        return pa.RecordBatch.from_arrays([pa.array(docs_[some]), pa.array(docs_[root[some]])], names=["a", "b"])
+
+    def compare(batches):
+        """Rows sorted by (cluster, left, right): one task's texts after the other's."""
+        at, held = None, [[], [], []]
+        for part in X.slices(batches):
+            keys = list(zip(*(part.column(i).to_pylist() for i in range(3))))
+            found = shingles(part.column(6), k)
+            for to, own, key, doc_id, s in zip(keys, *(part.column(i).to_pylist() for i in (3, 4, 5)), found):
+                if to != at:
+                    if len(held[0]) > 1:
+                        yield linked(at[1], at[2], *map(np.array, held[:2]), held[2])
+                    at, held = to, [[], [], []]
+                if class_key(s) == key:  # else another text of the same number
+                    for x, y in zip(held, (own, doc_id, s)):
+                        x.append(y)
+        if len(held[0]) > 1:
+            yield linked(at[1], at[2], *map(np.array, held[:2]), held[2])
+
+    by = ["cluster", "left", "right"]
+    links = tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    groups = components(links)
     named = (sets.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
     out = members.join(named, "key", "left")

@@ -26,22 +26,13 @@ def _file_year():
     return F.substring_index(F.col("file_id"), "-", -1).cast("int")
 
 
-_LANDED: dict = {}
-
-
 def _stmt(spark, d):
     """(lines, manifest of files whose account exists) - I1 rejects the rest.
 
-    The rendered lines are written once per session and folder to the shared
-    checkpoint folder: they stand for the landed statement files, which every
-    ingest query then reads like files (rendering them is not part of the
-    ingest). Parsing is never shared: each query parses the lines itself."""
-    key = (spark._jsparkSession.hashCode(), d)
-    if key not in _LANDED:
-        lines, man = statements.fixture_lines(spark, d)
-        man = man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_semi")
-        _LANDED[key] = (materialize(lines), materialize(man))
-    return _LANDED[key]
+    The rendered lines stand for landed statement files; every query renders and
+    parses them itself."""
+    lines, man = statements.fixture_lines(spark, d)
+    return lines, man.join(ledger.accounts(spark, d).select("account_id"), "account_id", "left_semi")
 
 
 def _rows(spark, d, shared: bool = False):
@@ -231,7 +222,7 @@ SELECT file_id, pos, transaction_date, amount,
 FROM elig""".lstrip()))
 def stmt_running_balance(spark, d):
     """Per-row running balance from the anchor (files without balances)."""
-    return statements.running_balance(_rows(spark, d, shared=True))
+    return statements.running_balance(_rows(spark, d))
 
 
 @query("stmt_preview", _stmt_sql("""
@@ -248,7 +239,7 @@ SELECT e.file_id, e.pos, e.transaction_date, e.amount,
 FROM ex e LEFT JOIN rb USING (file_id, pos) WHERE e.status = 'ok'""".lstrip()))
 def stmt_preview(spark, d):
     """I1 preview / O3: rows newest day first, with the balance shown for each."""
-    return statements.preview(_rows(spark, d, shared=True)).select(
+    return statements.preview(_rows(spark, d)).select(
         "file_id", "pos", "transaction_date", "amount", "preview_rank", "balance")
 
 

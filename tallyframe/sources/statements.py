@@ -8,8 +8,8 @@ or from any DataFrame with the same shape (``fixture_lines`` derives them from
 ``lineitem``).
 
 Everything per row is a built-in expression: the delimiter is detected on the
-header line, fields are cut by a CSV field pattern (quotes respected) for that
-delimiter, columns are found by name in the header, and N5/N8/N9 parse the
+header line, fields are cut at that delimiter (by a CSV field pattern where the line
+has quotes), columns are found by name in the header, and N5/N8/N9 parse the
 values. Header facts are one row per file, joined back to the data lines.
 """
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..functions.amounts import flip_sign, parse_amount, resolve_debit_credit
 from ..functions.dates import end_of_day, parse_date
 from ..functions.text import fingerprint
-from ..operators.joins import BROADCAST_MAX_ROWS
 from .tables import table
 
 # Header patterns for column auto-detection (lower-case
@@ -42,11 +41,12 @@ MANIFEST_SCHEMA = ("file_id string, account_id string, skip_rows int, number_for
 
 
 def _field_pattern(d: str) -> str:
-    """One CSV field starting at the line start or right after a delimiter: a
-    quoted field with doubled quotes inside, or a run without delimiter and
-    quote. The start is a lookbehind, not a consumed delimiter, so an empty
-    first field cannot make the search resume inside a quoted field."""
-    return f'(?:^|(?<={d}))("[^"]*(?:""[^"]*)*"|[^{d}"]*)'
+    """One CSV field starting at the line start or right after a delimiter: a quoted
+    field with doubled quotes inside (and what follows it), or a run without the
+    delimiter, in which a quote is ordinary text. The start is a lookbehind, not a
+    consumed delimiter, so an empty first field cannot make the search resume inside a
+    quoted field."""
+    return f'(?:^|(?<={d}))("(?:[^"]++|"")*+"[^{d}]*+|[^{d}]*+)'
 
 
 _PATTERNS = {",": _field_pattern(","), ";": _field_pattern(";"), "\t": _field_pattern("\t")}
@@ -65,18 +65,19 @@ def detect_delimiter(header: Column) -> Column:
 
 
 def split_fields(line: Column, delim: Column) -> Column:
-    """Cut a CSV record into fields; quoted fields are unquoted."""
-    raw = (F.when(delim == ";", F.regexp_extract_all(line, F.lit(_PATTERNS[";"]), 1))
-           .when(delim == "\t", F.regexp_extract_all(line, F.lit(_PATTERNS["\t"]), 1))
-           .otherwise(F.regexp_extract_all(line, F.lit(_PATTERNS[","]), 1)))
-    # the lambda is interpreted per element: only run it on lines with a quote
-    return F.when(F.instr(line, '"') > 0, F.transform(raw, _unquote)).otherwise(raw)
+    """Cut a CSV record into fields; quoted fields are unquoted. Records without a quote,
+    nearly all of them, are split at the delimiter."""
+    plain = F.when(delim == ";", F.split(line, ";", -1)).when(delim == "\t", F.split(line, "\t", -1)).otherwise(F.split(line, ",", -1))
+    quoted = (F.when(delim == ";", F.regexp_extract_all(line, F.lit(_PATTERNS[";"]), 1))
+              .when(delim == "\t", F.regexp_extract_all(line, F.lit(_PATTERNS["\t"]), 1))
+              .otherwise(F.regexp_extract_all(line, F.lit(_PATTERNS[","]), 1)))
+    return F.when(F.instr(line, '"') > 0, F.transform(quoted, _unquote)).otherwise(plain)
 
 
 def _unquote(f: Column) -> Column:
-    inner = F.regexp_extract(f, '(?s)^"(.*)"$', 1)
-    return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) >= 2),
-                  F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
+    parts = '(?s)^"((?:[^"]++|"")*+)"(.*)$'
+    inner = F.replace(F.regexp_extract(f, parts, 1), F.lit('""'), F.lit('"'))
+    return F.when(f.rlike(parts), F.concat(inner, F.regexp_extract(f, parts, 2))).otherwise(f)
 
 
 def clean_header(fields: Column) -> Column:
@@ -84,20 +85,10 @@ def clean_header(fields: Column) -> Column:
     return F.transform(fields, lambda h: F.regexp_replace(F.trim(h), "^#+", ""))
 
 
-def _few_files(manifest: DataFrame) -> bool:
-    """Whether the manifest (one row per file) is small enough to broadcast.
-    Header facts have at most one row per manifest file, so the same bound
-    covers them. Checked by counting at most N+1 rows."""
-    return manifest.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-
-
-def _dim(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
-# One CSV record: runs of anything but quote / line break, or quoted text
-# (which may span lines), up to a line break or the end of the file.
-RECORD = r'((?:[^"\r\n]++|"[^"]*+")*+)(?:\r?\n|$)'
+# One CSV record: fields up to a line break or the end of the file. A quote opens a quoted
+# field (which may span lines) only where a field starts; elsewhere it is ordinary text.
+_FILE_FIELD = r'(?:"(?:[^"]++|"")*+"[^,;\t\r\n]*+|[^,;\t\r\n]*+)'
+RECORD = rf'({_FILE_FIELD}(?:[,;\t]{_FILE_FIELD})*+)(?:\r?\n|$)'
 
 
 def read_statement_files(spark: SparkSession, paths) -> DataFrame:
@@ -112,14 +103,10 @@ def read_statement_files(spark: SparkSession, paths) -> DataFrame:
         F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("pos", "line"))
 
 
-def headers(lines: DataFrame, manifest: DataFrame, small: bool | None = None) -> DataFrame:
+def headers(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """The header line of each file (after skip_rows lines), its
-    delimiter, cleaned names and width. One row per file. ``small`` is the
-    manifest size check when the caller already made it."""
-    if small is None:
-        small = _few_files(manifest)
-    m = _dim(manifest.select("file_id", "skip_rows"), small)
-    h = (lines.join(m, "file_id")
+    delimiter, cleaned names and width. One row per file."""
+    h = (lines.join(manifest.select("file_id", "skip_rows"), "file_id")
          .where(F.col("pos") == F.coalesce(F.col("skip_rows"), F.lit(0)))
          .select("file_id", F.col("line").alias("header_line")))
     delim = detect_delimiter(F.col("header_line"))
@@ -145,8 +132,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     ``status`` is ok / bad_date / bad_amount; ragged rows (field count differs
     from the header's) are dropped without being counted, as in the reference.
     """
-    small = _few_files(manifest)
-    hdr = headers(lines, manifest, small)
+    hdr = headers(lines, manifest)
     man = manifest.join(hdr, "file_id")
     h = F.col("header")
     man = man.select(
@@ -159,7 +145,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
         _idx(h, "description_col").alias("i_desc"),
         _idx(h, "balance_col").alias("i_balance"),
     )
-    data = (lines.join(_dim(man, small), "file_id")
+    data = (lines.join(man, "file_id")
             .where((F.col("pos") > F.coalesce(F.col("skip_rows"), F.lit(0)))
                    & (F.trim(F.col("line")) != ""))
             .withColumn("fields", split_fields(F.col("line"), F.col("delimiter")))
@@ -184,7 +170,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
         parse_amount(F.coalesce(F.col("s_amount"), F.lit("")), fmt).alias("p_amount"),
         parse_amount(F.col("s_debit"), fmt).alias("p_debit"),
         parse_amount(F.col("s_credit"), fmt).alias("p_credit"),
-        parse_amount(F.col("s_balance"), fmt).cast("decimal(15,2)").alias("balance"))
+        parse_amount(F.col("s_balance"), fmt).try_cast("decimal(15,2)").alias("balance"))
     # Stage 3: debit / credit resolution (N9) and sign flip.
     amount = F.when(F.col("use_dc"),
                     resolve_debit_credit("p_debit", "p_credit",
@@ -193,7 +179,7 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     typed = parsed.select(
         "file_id", "pos", "account_id", "anchor_balance", "anchor_date", "transaction_date",
         flip_sign(amount, F.coalesce(F.col("flip_signs"), F.lit(False)))
-        .cast("decimal(15,2)").alias("amount"),
+        .try_cast("decimal(15,2)").alias("amount"),
         "description", "balance")
     status = (F.when(F.col("transaction_date").isNull(), F.lit("bad_date"))
               .when(F.col("amount").isNull(), F.lit("bad_amount"))
@@ -206,22 +192,38 @@ def parse_rows(lines: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def ragged_counts(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """Data lines whose field count differs from the header width."""
-    small = _few_files(manifest)
-    hdr = headers(lines, manifest, small)
+    hdr = headers(lines, manifest)
     man = manifest.select("file_id", "skip_rows").join(hdr, "file_id")
-    return (lines.join(_dim(man, small), "file_id")
+    return (lines.join(man, "file_id")
             .where((F.col("pos") > F.coalesce(F.col("skip_rows"), F.lit(0)))
                    & (F.trim(F.col("line")) != ""))
             .where(F.size(split_fields(F.col("line"), F.col("delimiter"))) != F.col("width"))
             .groupBy("file_id").agg(F.count(F.lit(1)).alias("ragged")))
 
 
+def file_errors(lines: DataFrame, manifest: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Files that cannot be imported: (file_id, account_id, error)."""
+    h = F.col("header")
+    has = lambda c: F.coalesce(F.array_contains(h, F.col(c)), F.lit(False))
+    known = accounts.select("account_id", F.lit(True).alias("_known"))
+    error = (F.when(F.col("_known").isNull(), F.lit("account not found"))
+             .when(h.isNull(), F.lit("no header line"))
+             .when(~has("date_col"), F.lit("date column not found"))
+             .when(~has("amount_col") & ~has("debit_col") & ~has("credit_col"), F.lit("amount column not found")))
+    return (manifest.join(known, "account_id", "left").join(headers(lines, manifest), "file_id", "left")
+            .select("file_id", "account_id", error.alias("error")).where("error is not null"))
+
+
 def new_rows(rows: DataFrame, ledger_transactions: DataFrame) -> DataFrame:
     """Ok rows whose fingerprint is not yet in the ledger (any batch,
-    deleted rows included). Duplicates inside the same file are all kept."""
+    deleted rows included) nor in an earlier file of this import, in file order.
+    Duplicates inside the same file are all kept."""
     existing = ledger_transactions.where(F.col("csv_fingerprint").isNotNull()) \
-        .select(F.col("csv_fingerprint").alias("fingerprint"))
-    return rows.where(F.col("status") == "ok").join(existing, "fingerprint", "left_anti")
+        .select(F.col("csv_fingerprint").alias("fingerprint")).distinct()
+    ok = rows.where(F.col("status") == "ok")
+    first = ok.groupBy("fingerprint").agg(F.min("file_id").alias("first_file"))
+    return (ok.join(first, "fingerprint").where(F.col("file_id") == F.col("first_file")).drop("first_file")
+            .join(existing, "fingerprint", "left_anti"))
 
 
 def to_transactions(new: DataFrame, batch_id: str) -> DataFrame:
@@ -255,12 +257,12 @@ def import_counts(rows: DataFrame, new: DataFrame, snapshots_created: DataFrame
 
 
 def end_of_day_snapshots(rows: DataFrame, existing_snapshots: DataFrame) -> DataFrame:
-    """A8 + N14 + J9: per (file, date) the last balance in file order, stamped
-    23:59:59.999999, unless the account already has a snapshot that day within
-    0.01 of it."""
+    """A8 + N14 + J9: per (account, date) the last balance in the order of files and rows,
+    stamped 23:59:59.999999, unless the account already has a snapshot that day within
+    0.01 of it. `file_id` is the file it comes from."""
     eod = (rows.where((F.col("status") == "ok") & F.col("balance").isNotNull())
-           .groupBy("file_id", "account_id", "transaction_date")
-           .agg(F.max_by("balance", "pos").alias("balance"))
+           .groupBy("account_id", "transaction_date")
+           .agg(F.max_by("balance", F.struct("file_id", "pos")).alias("balance"), F.max("file_id").alias("file_id"))
            .select("file_id", "account_id", F.col("transaction_date").alias("day"), "balance",
                    end_of_day(F.col("transaction_date")).alias("snapshot_time"),
                    F.lit("csv_import").alias("source")))
@@ -272,53 +274,41 @@ def end_of_day_snapshots(rows: DataFrame, existing_snapshots: DataFrame) -> Data
     return eod.join(ex, cond, "left_anti")
 
 
+def _with_running(rows: DataFrame) -> DataFrame:
+    """ok rows in preview order (newest day first, file order reversed within a day) with
+    preview_rank, n_bal (balances in the file) and running_balance: the anchor less all
+    that came after the row, up to the anchor's date. One exchange by file serves all."""
+    newest = Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc(), F.col("pos").desc())
+    later = newest.rowsBetween(Window.unboundedPreceding, -1)
+    counted = F.col("transaction_date") <= F.col("anchor_date")
+    after = F.coalesce(F.sum(F.when(counted, F.col("amount"))).over(later), F.lit(0))
+    return (rows.where(F.col("status") == "ok")
+            .withColumn("preview_rank", F.row_number().over(newest).cast("bigint"))
+            .withColumn("n_bal", F.count("balance").over(Window.partitionBy("file_id")))
+            .withColumn("running_balance", F.when(
+                (F.col("n_bal") == 0) & counted, (F.col("anchor_balance") - after).cast("decimal(18,2)"))))
+
+
 def running_balance(rows: DataFrame) -> DataFrame:
     """Per-row balance from the file's anchor, for files with an anchor
-    and no balance column values. Rows after the anchor date get null.
-
-    Two windows keep partitions small: a day-level one per file (one row per
-    day after the aggregate) gives each day's opening balance; a row-level
-    one per (file, day) adds the day's rows in file order.
-    """
-    ok = rows.where(F.col("status") == "ok")
-    has_bal = ok.groupBy("file_id").agg(F.count("balance").alias("n_bal"))
-    eligible = (ok.join(has_bal, "file_id")
-                .where((F.col("n_bal") == 0) & F.col("anchor_balance").isNotNull()
-                       & F.col("anchor_date").isNotNull()))
-    upto = eligible.where(F.col("transaction_date") <= F.col("anchor_date"))
-    days = upto.groupBy("file_id", "transaction_date", "anchor_balance").agg(
-        F.sum("amount").alias("day_sum"))
-    w_days = (Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc())
-              .rowsBetween(Window.unboundedPreceding, 0))
-    opening = days.select(
-        "file_id", "transaction_date",
-        (F.col("anchor_balance") - F.sum("day_sum").over(w_days)).alias("opening"))
-    w_rows = (Window.partitionBy("file_id", "transaction_date").orderBy("pos")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    bal = (upto.join(opening, ["file_id", "transaction_date"])
-           .select("file_id", "pos",
-                   (F.col("opening") + F.sum("amount").over(w_rows)).cast("decimal(18,2)")
-                   .alias("running_balance")))
-    return (eligible.select("file_id", "pos", "transaction_date", "amount")
-            .join(bal, ["file_id", "pos"], "left"))
+    and no balance column values. Rows after the anchor date get null."""
+    return (_with_running(rows)
+            .where((F.col("n_bal") == 0) & F.col("anchor_balance").isNotNull() & F.col("anchor_date").isNotNull())
+            .select("file_id", "pos", "transaction_date", "amount", "running_balance"))
 
 
 def preview_order(rows: DataFrame) -> DataFrame:
     """O3: newest day first, file order reversed within a day (as a rank)."""
-    w = Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc(), F.col("pos").desc())
-    return rows.where(F.col("status") == "ok").withColumn(
-        "preview_rank", F.row_number().over(w).cast("bigint"))
+    return _with_running(rows).drop("n_bal", "running_balance")
 
 
 def preview(rows: DataFrame) -> DataFrame:
     """I1 preview: every ok row in preview order with the balance shown for it,
     the row's own balance, or - for files without any - the running balance
     from the anchor (W4)."""
-    rb = running_balance(rows).select("file_id", "pos", "running_balance")
-    return (preview_order(rows).join(rb, ["file_id", "pos"], "left")
-            .withColumn("balance", F.coalesce(F.col("balance").cast("decimal(18,2)"),
-                                              F.col("running_balance")))
-            .drop("running_balance"))
+    return (_with_running(rows)
+            .withColumn("balance", F.coalesce(F.col("balance").cast("decimal(18,2)"), F.col("running_balance")))
+            .drop("running_balance", "n_bal"))
 
 
 def _any_contains(h: Column, patterns) -> Column:

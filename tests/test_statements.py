@@ -120,3 +120,37 @@ def test_import_workflow_end_to_end(spark):
     c = again.counts.first()
     assert (c.imported, c.skipped, c.snapshots_created) == (0, 3, 0)
     assert again.transactions.count() == 3 and again.snapshots.count() == 2
+
+
+def test_stray_quotes_are_text(spark):
+    d = tempfile.mkdtemp(prefix="stmt-")
+    p = _write(d, "q.csv", 'date,amount,description\n2024-01-01,5.00,12" pipe\n2024-01-02,6.00,8" pipe\n'
+                           '2024-01-03,7.00,"a ""b"", c\nd"\n2024-01-04,99999999999999.00,big\n,1.00,"x"y\n')
+    rows = statements.parse_rows(statements.read_statement_files(spark, p), _manifest(spark, p)).collect()
+    got = sorted(((str(r.transaction_date), r.description, r.status) for r in rows))
+    assert got == [("2024-01-01", '12" pipe', "ok"), ("2024-01-02", '8" pipe', "ok"), ("2024-01-03", 'a "b", c\nd', "ok"),
+                   ("2024-01-04", "big", "bad_amount"), ("None", "xy", "bad_date")]
+
+
+def test_overlapping_files_and_unusable_files(spark):
+    from tallyframe import api
+    d = tempfile.mkdtemp(prefix="stmt-")
+    head = "date,amount,description,balance\n"
+    a = _write(d, "a.csv", head + "2024-01-01,1.00,one,10.00\n2024-01-01,1.00,one,11.00\n2024-01-02,2.00,two,13.00\n")
+    b = _write(d, "b.csv", head + "2024-01-01,1.00,one,99.00\n2024-01-02,2.00,two,13.00\n2024-01-03,3.00,three,16.00\n")
+    c = _write(d, "c.csv", "date,description\n2024-01-01,one\n")
+    e = _write(d, "e.csv", head)
+    man = _manifest(spark, a, balance_col="balance")
+    for path, extra in ((b, {"balance_col": "balance"}), (c, {}), (e, {"account_id": "nobody"})):
+        man = man.unionByName(_manifest(spark, path, **extra))
+    ledger_tx = spark.createDataFrame([], "transaction_id string, account_id string, csv_fingerprint string")
+    snaps = spark.createDataFrame([], "snapshot_id string, account_id string, balance decimal(15,2), snapshot_time timestamp_ntz, source string")
+    accounts = spark.createDataFrame([("acc-1", "A", "depository", "USD", "Bank")],
+                                     "account_id string, name string, account_type string, currency string, institution_name string")
+    out = api.import_statements(spark, [a, b, c, e], man, ledger_tx, snaps, accounts, "import_1")
+    assert sorted(r.description for r in out.new_rows.collect()) == ["one", "one", "three", "two"]
+    shots = sorted((str(r.snapshot_time)[:10], r.balance) for r in out.snapshots.collect())
+    assert shots == [("2024-01-01", Decimal("99.00")), ("2024-01-02", Decimal("13.00")), ("2024-01-03", Decimal("16.00"))]
+    assert out.snapshots.select("snapshot_id").distinct().count() == 3
+    errors = {os.path.basename(r.file_id): r.error for r in out.errors.collect()}
+    assert errors == {"c.csv": "amount column not found", "e.csv": "account not found"}

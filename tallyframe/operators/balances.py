@@ -5,12 +5,12 @@ Shape of the plan, for all accounts at once:
   transactions --partial agg--> shuffle (account, day) --final agg-- daily totals
   snapshots    --partial agg--> shuffle (account, day) --final agg-- first snapshot/day
         full outer join on (account, day)   (both sides already co-partitioned)
-        shuffle by account -> running sum window over days (newest first)
+        join with the anchors, then a running sum window over days (newest first)
 
-Every shuffle carries at most one row per (account, day) per map task, so a hot
-account that holds a third of all transactions costs one row per day after the
-map-side combine; the window's partition for it is its number of active days
-(<= 366 a year), never its transaction count.
+The rows are aggregated before they meet the anchors, so what is shuffled by account is
+days and not transactions: a hot account that holds a third of all transactions costs one
+row per day and map task, and its window has its active days (<= 366 a year). A start
+bound goes into both scans, as the sum runs from the newest day back.
 """
 
 from __future__ import annotations
@@ -32,40 +32,30 @@ def daily_totals(transactions: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_transactions")))
 
 
-def _anchored_days(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame) -> DataFrame:
-    """U1 + W3: every (account, day) on or before the anchor date that has a
-    transaction or a snapshot, with the day's total and its earliest snapshot.
-
-    Both sides group on exactly (account_id, day) - the anchor values ride
-    along as aggregates - so the full outer join reuses the aggregates' hash
-    partitioning instead of shuffling again.
-    """
-    anc = anchors.select("account_id", "known_balance", "known_date")
-    tx = (active(transactions).select("account_id", "transaction_date", "amount")
-          .join(anc, "account_id")
-          .where(F.col("transaction_date") <= F.col("known_date"))
-          .groupBy("account_id", F.col("transaction_date").alias("day"))
-          .agg(F.sum("amount").alias("daily_change"),
-               F.count(F.lit(1)).alias("n_transactions"),
-               F.max("known_balance").alias("kb_t"), F.max("known_date").alias("kd_t")))
-    sday = F.to_date(F.col("snapshot_time"))
-    snap = (snapshots.select("account_id", "snapshot_time", "snapshot_id", "balance", "source")
-            .join(anc, "account_id")
-            .where(sday <= F.col("known_date"))
-            .groupBy("account_id", sday.alias("day"))
+def _anchored_days(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame,
+                   start: str | None = None) -> DataFrame:
+    """U1 + W3: every (account, day) from `start` to the anchor date that has a
+    transaction or a snapshot, with the day's total and its earliest snapshot."""
+    tx, snaps = active(transactions), snapshots
+    if start is not None:
+        first = F.lit(start).cast("date")
+        tx = tx.where(F.col("transaction_date") >= first)
+        snaps = snaps.where(F.col("snapshot_time") >= F.lit(start).cast("timestamp_ntz"))
+    tx = (tx.groupBy("account_id", F.col("transaction_date").alias("day"))
+          .agg(F.sum("amount").alias("daily_change"), F.count(F.lit(1)).alias("n_transactions")))
+    snap = (snaps.groupBy("account_id", F.to_date("snapshot_time").alias("day"))
             .agg(F.min_by(F.struct(F.col("balance").alias("b"), F.col("source").alias("s")),
-                          F.struct("snapshot_time", "snapshot_id")).alias("first_snap"),
-                 F.max("known_balance").alias("kb_s"), F.max("known_date").alias("kd_s")))
+                          F.struct("snapshot_time", "snapshot_id")).alias("first_snap")))
     return (tx.join(snap, ["account_id", "day"], "full_outer")
-            .withColumn("known_balance", F.coalesce("kb_t", "kb_s"))
-            .withColumn("known_date", F.coalesce("kd_t", "kd_s"))
-            .drop("kb_t", "kb_s", "kd_t", "kd_s"))
+            .join(anchors.select("account_id", "known_balance", "known_date"), "account_id")
+            .where(F.col("day") <= F.col("known_date")))
 
 
-def backfill_balances(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame) -> DataFrame:
+def backfill_balances(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame,
+                      start: str | None = None) -> DataFrame:
     """End-of-day balance of every listed day, computed backwards from the
     known balance: balance(d) = known - Σ totals of the listed days after d."""
-    days = _anchored_days(transactions, snapshots, anchors)
+    days = _anchored_days(transactions, snapshots, anchors, start)
     newer = (Window.partitionBy("account_id").orderBy(F.col("day").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
     change = F.coalesce(F.col("daily_change"), F.lit(0))
@@ -81,19 +71,11 @@ def backfill_balances(transactions: DataFrame, snapshots: DataFrame, anchors: Da
     )
 
 
-def _in_range(start: str | None, end: str | None):
-    cond = F.col("day") <= F.coalesce(F.lit(end).cast("date"), F.col("known_date"))
-    if start is not None:
-        cond = cond & (F.col("day") >= F.lit(start).cast("date"))
-    return cond
-
-
 def backfill_preview(transactions: DataFrame, snapshots: DataFrame, anchors: DataFrame,
                      start: str | None = None, end: str | None = None) -> DataFrame:
-    """W1 preview: the range filter comes after the window so the running sum
-    sees the days outside the range too."""
-    return (backfill_balances(transactions, snapshots, anchors)
-            .where(_in_range(start, end)).drop("known_date"))
+    """W1 preview: days after `end` count in the running sum, so this bound comes after the window."""
+    days = backfill_balances(transactions, snapshots, anchors, start)
+    return days.where(F.col("day") <= F.coalesce(F.lit(end).cast("date"), F.col("known_date"))).drop("known_date")
 
 
 def backfill_details(transactions: DataFrame, preview: DataFrame) -> DataFrame:

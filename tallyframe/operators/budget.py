@@ -1,9 +1,9 @@
 """Budget and net worth (B1-B4), derived from the reference's budget schema.
 
-Categories and rollovers are user configuration (a few rows per month); they are
-broadcast behind a row-count check and matched to the transaction fact table by
-an equi-join on the month with the tag / sign test as the join's residual
-condition, so the fact table is scanned once and never shuffled for B1.
+Categories are user configuration (a few rows per month). They are grouped to one array
+per month and joined to the transactions on the month (Spark broadcasts the measured few
+rows), so one projection over one scan finds a transaction's categories and the fact
+table is never shuffled for B1, D6 or D7.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 from .views import active, classification, latest_balances
 
 CATEGORY_SCHEMA = ("category_id string, month string, type string, name string, "
@@ -23,25 +22,43 @@ OVERRIDE_SCHEMA = ("account_id string, classification_override string, "
                    "exclude_from_net_worth boolean")
 
 
+def with_categories(transactions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each active transaction with its month, `hits` (its categories: same month, tags any /
+    all, sign) and `budgeted` (whether the month has categories at all)."""
+    by_month = categories.groupBy("month").agg(F.collect_list(F.struct(
+        "category_id", "type", "name", F.col("tags").alias("tags"), "require_all", "amount_sign")).alias("cats"))
+    tx = (active(transactions)
+          .withColumn("tx_tags", F.coalesce(F.col("tags"), F.array().cast("array<string>")))
+          .withColumn("month", F.date_format("transaction_date", "yyyy-MM"))
+          .join(by_month, "month", "left"))
+
+    def hit(c):
+        all_tags = F.size(F.array_except(c["tags"], F.col("tx_tags"))) == 0
+        any_tag = F.coalesce(F.arrays_overlap(c["tags"], F.col("tx_tags")), F.lit(False))
+        sign = (F.when(c["amount_sign"] == "positive", F.col("amount") > 0)
+                .when(c["amount_sign"] == "negative", F.col("amount") < 0).otherwise(F.lit(True)))
+        return (F.size(c["tags"]) > 0) & F.when(c["require_all"], all_tags).otherwise(any_tag) & sign
+
+    empty = F.filter(F.col("cats"), lambda c: F.lit(False))
+    return (tx.withColumn("budgeted", F.col("cats").isNotNull())
+            .withColumn("hits", F.when(F.col("budgeted"), F.filter("cats", hit)).otherwise(empty))
+            .drop("cats", "tx_tags"))
+
+
 def category_matches(transactions: DataFrame, categories: DataFrame) -> DataFrame:
-    """B1: (transaction, category) pairs: same month, tags any / all, sign."""
-    tx = active(transactions).select(
-        "transaction_id", "account_id", "amount", "transaction_date",
-        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tx_tags"),
-        F.date_format("transaction_date", "yyyy-MM").alias("month"))
-    cat = bounded_broadcast(categories.select(
-        "category_id", "month", "type", "name", "expected",
-        F.col("tags").alias("cat_tags"), "require_all", "amount_sign"))
-    all_tags = F.size(F.array_except("cat_tags", "tx_tags")) == 0
-    any_tag = F.arrays_overlap("cat_tags", "tx_tags")
-    tag_ok = F.when(F.col("require_all"), all_tags).otherwise(F.coalesce(any_tag, F.lit(False)))
-    sign_ok = (F.when(F.col("amount_sign") == "positive", F.col("amount") > 0)
-               .when(F.col("amount_sign") == "negative", F.col("amount") < 0)
-               .otherwise(F.lit(True)))
-    cond = (tx["month"] == cat["month"]) & tag_ok & sign_ok & (F.size("cat_tags") > 0)
-    return tx.join(cat, cond, "inner").select(
-        "transaction_id", "account_id", "amount", "transaction_date", tx["month"],
-        "category_id", "name", "type")
+    """B1: (transaction, category) pairs."""
+    return (with_categories(transactions, categories).withColumn("c", F.explode("hits"))
+            .select("transaction_id", "account_id", "amount", "transaction_date", "month",
+                    "c.category_id", "c.name", "c.type"))
+
+
+# D6 and D7 (intent of the reference's stubs) over the columns of with_categories
+def in_several():
+    return F.coalesce(F.size("hits") > 1, F.lit(False))
+
+
+def uncovered():
+    return (F.col("amount") < 0) & F.col("budgeted") & (F.size("hits") == 0)
 
 
 def budget_actuals(transactions: DataFrame, categories: DataFrame) -> DataFrame:
@@ -76,8 +93,7 @@ def budget_rollovers(rollovers: DataFrame) -> DataFrame:
 
 def net_worth(accounts: DataFrame, snapshots: DataFrame, overrides: DataFrame) -> DataFrame:
     """Σ latest balances per class, excluded accounts left out."""
-    ov = bounded_broadcast(overrides)
-    acc = accounts.join(ov, "account_id", "left").where(
+    acc = accounts.join(overrides, "account_id", "left").where(
         ~F.coalesce(F.col("exclude_from_net_worth"), F.lit(False)))
     cls = classification(F.col("account_type"),
                          F.coalesce(F.col("classification_override"), F.col("classification")))
@@ -88,29 +104,15 @@ def net_worth(accounts: DataFrame, snapshots: DataFrame, overrides: DataFrame) -
                  F.count(F.lit(1)).alias("n_accounts")))
 
 
-def double_counted(transactions: DataFrame, categories: DataFrame,
-                   matches: DataFrame | None = None) -> DataFrame:
-    """D6 (intent of the reference's stub): transactions in more than one
-    category. ``matches`` (B1 output) can be passed in when already built."""
-    if matches is None:
-        matches = category_matches(transactions, categories)
-    return (matches
-            .groupBy("transaction_id", "month")
-            .agg(F.count(F.lit(1)).alias("n_categories"),
-                 F.array_join(F.array_sort(F.collect_set("category_id")), "|").alias("categories"))
-            .where(F.col("n_categories") > 1))
-
-
-def uncovered_expenses(transactions: DataFrame, categories: DataFrame,
-                       matches: DataFrame | None = None) -> DataFrame:
-    """D7 (intent of the reference's stub): expenses in a budgeted month that
-    match no category. ``matches`` (B1 output) can be passed in."""
-    months = bounded_broadcast(categories.select("month").distinct())
-    exp = (active(transactions).where(F.col("amount") < 0)
-           .withColumn("month", F.date_format("transaction_date", "yyyy-MM"))
-           .join(months, "month", "left_semi"))
-    if matches is None:
-        matches = category_matches(transactions, categories)
-    matched = matches.select("transaction_id")
-    return exp.join(matched, "transaction_id", "left_anti").select(
+def double_counted(transactions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Transactions in more than one category."""
+    ids = F.transform("hits", lambda c: c["category_id"])
+    return with_categories(transactions, categories).where(in_several()).select(
+        "transaction_id", "month", F.size("hits").cast("long").alias("n_categories"),
+        F.array_join(F.array_sort(F.array_distinct(ids)), "|").alias("categories"))
+
+
+def uncovered_expenses(transactions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Expenses in a budgeted month that match no category."""
+    return with_categories(transactions, categories).where(uncovered()).select(
         "transaction_id", "account_id", "amount", "transaction_date", "month")

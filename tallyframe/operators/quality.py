@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import budget
 from .views import active
 
 def orphan_transactions(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -33,6 +34,11 @@ def insane_dates(transactions: DataFrame, as_of: str) -> DataFrame:
                     F.coalesce(F.col("description"), F.lit("")).alias("description"), "amount"))
 
 
+def sample(details: DataFrame, n: int = 100) -> DataFrame:
+    """The n earliest rows of a check's details, as a screen shows them."""
+    return details.orderBy("transaction_date", "transaction_id").limit(n)
+
+
 def future_transactions(transactions: DataFrame, as_of: str) -> DataFrame:
     """Dated after as_of + 1 day."""
     return active(transactions).where(
@@ -82,37 +88,24 @@ def _long(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def all_checks(transactions: DataFrame, snapshots: DataFrame, accounts: DataFrame,
-               as_of: str, double_counted: DataFrame | None = None,
-               uncovered: DataFrame | None = None) -> DataFrame:
-    """D1-D7 as rows (check, status, n, message).
+               as_of: str, categories: DataFrame | None = None) -> DataFrame:
+    """D1-D7 as rows (check, status, n, message); D6 and D7 where categories are given.
 
-    The three transaction checks share one scan: the transactions are left
-    joined to the account ids once and every condition is a count_if of the
-    same aggregate.
+    All transaction checks are counts of one aggregate over one scan: the rows carry
+    their categories and whether their account is known.
     """
     d = F.col("transaction_date")
-    acc = accounts.select("account_id", F.lit(True).alias("_known"))
-    tx = active(transactions).select("account_id", "transaction_date", "tags") \
-        .join(acc, "account_id", "left")
-    tx_counts = tx.agg(
-        F.count_if(F.col("_known").isNull()).alias("orphaned_transactions"),
-        F.count_if((d > F.date_add(F.lit(as_of).cast("date"), 365)) |
-                   (d < F.lit("1970-01-01").cast("date"))).alias("date_sanity"),
-        F.count_if(untagged()).alias("untagged_transactions"))
-    frames = [
-        _long(tx_counts, ["orphaned_transactions", "date_sanity", "untagged_transactions"]),
-        _long(orphan_snapshots(snapshots, accounts).agg(
-            F.count(F.lit(1)).alias("orphaned_snapshots")), ["orphaned_snapshots"]),
-    ]
-    if double_counted is not None:
-        frames.append(_long(double_counted.agg(F.count(F.lit(1)).alias("budget_double_counting")),
-                            ["budget_double_counting"]))
-    if uncovered is not None:
-        frames.append(_long(uncovered.agg(F.count(F.lit(1)).alias("uncategorized_expenses")),
-                            ["uncategorized_expenses"]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    tx = active(transactions) if categories is None else budget.with_categories(transactions, categories)
+    known = accounts.select("account_id", F.lit(True).alias("_known"))
+    counts = {
+        "orphaned_transactions": F.col("_known").isNull(),
+        "date_sanity": (d > F.date_add(F.lit(as_of).cast("date"), 365)) | (d < F.lit("1970-01-01").cast("date")),
+        "untagged_transactions": untagged()}
+    if categories is not None:
+        counts |= {"budget_double_counting": budget.in_several(), "uncategorized_expenses": budget.uncovered()}
+    tx_counts = tx.join(known, "account_id", "left").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    out = _long(tx_counts, list(counts)).unionByName(
+        _long(orphan_snapshots(snapshots, accounts).agg(F.count(F.lit(1)).alias("orphaned_snapshots")), ["orphaned_snapshots"]))
     status = F.lit("pass")
     message = None
     for name, (fail, msg, ok) in CHECKS.items():
@@ -133,6 +126,11 @@ def check_summary(checks: DataFrame) -> DataFrame:
     )
 
 
+def status_accounts(accounts: DataFrame) -> DataFrame:
+    """A5: the account list of the status screen."""
+    return accounts.select(F.col("account_id").alias("id"), "name", "institution_name")
+
+
 def status_summary(transactions: DataFrame, snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
     """A1-A5 in one pass: the three inputs are unioned into one narrow frame
     and reduced by a single global aggregate (partial per partition)."""

@@ -2,8 +2,8 @@
 
 Each rule is either monthly on a day of the month or every N days, over the
 window of ``days`` days ending at ``as_of``; amounts cycle through a list by
-the number of days back. One ``explode(sequence(...))`` per rule row (a fixed
-window, so each rule yields at most ``days`` rows) and a filter; no driver loop.
+the number of days back. Each rule explodes a sequence of its own due dates (months, or
+every n days); no driver loop.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ def expand(rules: DataFrame, as_of: str, days: int = WINDOW_DAYS) -> DataFrame:
     """rules: schedule_id, account_id, kind ('monthly'|'every_n'), day, n,
     amounts array<decimal>, description."""
     asof = F.lit(as_of).cast("date")
-    d = rules.withColumn("date", F.explode(F.sequence(F.date_sub(asof, days - 1), asof)))
+    first = F.date_sub(asof, days - 1)
+    months = F.sequence(F.trunc(first, "MM").cast("date"), asof, F.expr("interval 1 month"))
+    monthly = F.filter(F.transform(months, lambda m: F.date_add(m, F.col("day").cast("int") - 1)),
+                       lambda x: (F.dayofmonth(x) == F.col("day")) & x.between(first, asof))
+    steps = F.sequence(F.lit(0), F.floor(F.lit(days - 1) / F.col("n")).cast("int"))
+    every_n = F.transform(steps, lambda k: F.date_sub(asof, (k * F.col("n")).cast("int")))
+    due = (F.when(F.col("kind") == "monthly", monthly)
+           .when((F.col("kind") == "every_n") & (F.col("n") > 0), every_n))
+    d = rules.withColumn("date", F.explode(due))
     ago = F.datediff(asof, F.col("date"))
-    due = (F.when(F.col("kind") == "monthly", F.dayofmonth("date") == F.col("day"))
-           .when(F.col("kind") == "every_n", F.pmod(ago, F.col("n")) == 0)
-           .otherwise(F.lit(False)))
     amount = F.element_at(F.col("amounts"), (F.pmod(ago, F.size("amounts")) + 1).cast("int"))
-    return d.where(due).select(
+    return d.select(
         "schedule_id", "account_id", "date", amount.alias("amount"), "description")
 
 

@@ -2,7 +2,7 @@
 
 Plain parquet tables have no MERGE / UPDATE / DELETE; each function returns
 the next version of a table, which the caller writes as a new version
-directory. Merges are one full outer join on the key with per-column
+directory. Merges join the touched rows with the batch and apply per-column
 precedence (no row-at-a-time upserts).
 """
 
@@ -49,9 +49,10 @@ def _resolve(col: str, rule: str, has_e: Column, has_i: Column) -> Column:
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str,
            precedence: dict[str, list[str]]) -> DataFrame:
-    """Full outer join on ``key`` and per-column precedence. Columns missing
-    on one side are taken as null there; columns in no rule keep the incoming
-    value on a match."""
+    """The next version of a table: rows without a change as they are (an anti join
+    against the keys of the batch, which Spark broadcasts where they measure small), and the
+    touched and new rows by per-column precedence. Columns missing on one side are taken
+    as null there; columns in no rule keep the incoming value on a match."""
     cols = [c for c in existing.columns if c != key]
     for c in incoming.columns:
         if c != key and c not in cols:
@@ -63,12 +64,15 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str,
             e = e.withColumn(c, F.lit(None).cast(incoming.schema[c].dataType))
         if c not in incoming.columns:
             i = i.withColumn(c, F.lit(None).cast(existing.schema[c].dataType))
-    j = e.alias("e").join(i.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "full_outer")
+    keys = incoming.select(key)
+    touched = e.join(keys.distinct(), key, "left_semi")
+    j = touched.alias("e").join(i.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "right")
     has_e, has_i = F.col("e._e").isNotNull(), F.col("i._i").isNotNull()
     rule_of = {c: r for r, cs in precedence.items() for c in cs}
     out = [F.coalesce(F.col(f"e.{key}"), F.col(f"i.{key}")).alias(key)]
     out += [_resolve(c, rule_of.get(c, "incoming"), has_e, has_i).alias(c) for c in cols]
-    return j.select(*out)
+    untouched = e.join(keys, key, "left_anti").select(key, *cols)
+    return untouched.unionByName(j.select(*out))
 
 
 def merge_accounts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -84,11 +88,10 @@ def merge_transactions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """M3: insert only rows whose key is absent (user edits are kept).
     Returns (new table, per-incoming-key 'inserted' flag)."""
-    absent = incoming.join(existing.select(key), key, "left_anti")
-    flags = incoming.select(key).join(absent.select(key).withColumn("inserted", F.lit(True)),
-                                      key, "left") \
-        .select(key, F.coalesce(F.col("inserted"), F.lit(False)).alias("inserted"))
-    return existing.unionByName(absent, allowMissingColumns=True), flags
+    known = existing.select(key).withColumn("_known", F.lit(True))
+    flagged = incoming.join(known, key, "left").withColumn("inserted", F.col("_known").isNull())
+    absent = flagged.where("inserted").select(*incoming.columns)
+    return existing.unionByName(absent, allowMissingColumns=True), flagged.select(key, "inserted")
 
 
 def delete_accounts_cascade(accounts: DataFrame, transactions: DataFrame, snapshots: DataFrame,

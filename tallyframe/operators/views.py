@@ -18,14 +18,18 @@ from ..functions.text import norm_currency
 LIABILITY_TYPES = ["credit", "loan"]
 
 
+# Source labels that stored rules and saved queries test for; the first
+# whose column is set (or true) wins, else "unknown".
+SOURCE_LABELS = {"sf_id": "simplefin", "lf_id": "lunchflow", "csv_batch_id": "csv_import",
+                 "parent_transaction_id": "split", "is_manual": "manual"}
+
+
 def source_label() -> Column:
     """V2: where a transaction came from; first match wins."""
-    return (F.when(F.col("sf_id").isNotNull(), F.lit("provider_a"))
-            .when(F.col("lf_id").isNotNull(), F.lit("provider_b"))
-            .when(F.col("csv_batch_id").isNotNull(), F.lit("csv_import"))
-            .when(F.col("parent_transaction_id").isNotNull(), F.lit("split"))
-            .when(F.col("is_manual"), F.lit("manual"))
-            .otherwise(F.lit("unknown")))
+    label = F
+    for name, value in SOURCE_LABELS.items():
+        label = label.when(F.col(name) if name == "is_manual" else F.col(name).isNotNull(), F.lit(value))
+    return label.otherwise(F.lit("unknown"))
 
 
 def active(transactions: DataFrame) -> DataFrame:
@@ -104,6 +108,12 @@ def snapshots_in_range(snapshots: DataFrame, start: str, end: str) -> DataFrame:
     return snapshots.where(d.between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def snapshots_of(snapshots: DataFrame, account_id: str) -> DataFrame:
+    """O2: one account's snapshots, newest first (id breaks ties)."""
+    return snapshots.where(F.col("account_id") == account_id).orderBy(
+        F.col("snapshot_time").desc(), F.col("snapshot_id").desc())
+
+
 def transactions_in_range(transactions: DataFrame, start: str, end: str) -> DataFrame:
     """Non-deleted transactions with start <= date <= end (pushed to the scan)."""
     return active(transactions).where(

@@ -38,6 +38,61 @@ def tx_source_counts(spark, d):
                                    F.sum("amount").cast("decimal(18,2)").alias("total"))
 
 
+SNAP_ACCOUNT = "7"
+
+
+@query("snap_by_account", with_views(f"""
+SELECT snapshot_id, balance, snapshot_time FROM balance_snapshots WHERE account_id = '{SNAP_ACCOUNT}'""", "balance_snapshots"))
+def snap_by_account(spark, d):
+    """O2: the snapshots of one account, newest first (the account is the feature)."""
+    return views.snapshots_of(ledger.balance_snapshots(spark, d), SNAP_ACCOUNT).select("snapshot_id", "balance", "snapshot_time")
+
+
+@query("parse_timestamp", """
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events""")
+def parse_timestamp(spark, d):
+    """Event times written in three layouts, and text that is no time."""
+    from ..functions.dates import parse_timestamp as parse
+    from ..sources.tables import table
+    ts, k = F.col("ts"), F.col("event_id") % 4
+    text = (F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+            .when(k == 2, F.concat(F.lit("  "), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("Z "))).otherwise(F.lit("no time")))
+    return table(spark, d, "events").select("event_id", parse(text).cast("timestamp_ntz").alias("parsed"))
+
+
+@query("split_list", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ',x|' || o_orderstatus
+  ELSE o_orderpriority || '|x|' || o_orderstatus END AS items FROM orders""")
+def split_list(spark, d):
+    """Lists typed as text, by lines where there is a line end, else by commas."""
+    from ..functions.text import split_list as split
+    from ..sources.tables import table
+    text = F.when(F.col("o_orderstatus") == "F", F.concat("o_orderpriority", F.lit(",x\n\r\n "), "o_orderstatus")).otherwise(
+        F.concat(F.lit(" ,"), "o_orderpriority", F.lit(" , x,, "), "o_orderstatus", F.lit(", ")))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(split(text), "|").alias("items"))
+
+
+@query("snap_update", with_views("""
+SELECT snapshot_id, CASE WHEN source = 'manual' THEN CAST(balance + 1 AS DECIMAL(15,2)) ELSE balance END AS balance,
+  CASE WHEN source = 'manual' AND CAST(snapshot_id AS BIGINT) % 2 = 0 THEN 'corrected' ELSE source END AS source
+FROM balance_snapshots""", "balance_snapshots"))
+def snap_update(spark, d):
+    """M8: the snapshot table after manual snapshots were corrected."""
+    from ..operators import merge
+    snaps = ledger.balance_snapshots(spark, d)
+    changes = snaps.where(F.col("source") == "manual").select(
+        "snapshot_id", (F.col("balance") + 1).cast("decimal(15,2)").alias("balance"),
+        F.when(F.col("snapshot_id").cast("long") % 2 == 0, F.lit("corrected")).alias("source"))
+    return merge.update_snapshots(snaps, changes).select("snapshot_id", "balance", "source")
+
+
+@query("status_accounts", with_views("SELECT account_id AS id, name, institution_name FROM accounts", "accounts"))
+def status_accounts(spark, d):
+    """A5: the account list of the status."""
+    from ..operators import quality
+    return quality.status_accounts(ledger.accounts(spark, d))
+
+
 @query("tx_active", with_views("""
 SELECT transaction_id, account_id, amount, transaction_date FROM transactions
 WHERE deleted_at IS NULL""", "transactions"))

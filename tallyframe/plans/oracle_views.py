@@ -115,7 +115,7 @@ VIEWS["logs"] = """
 SELECT event_id AS id, epoch_us(ts) // 1000 AS "timestamp",
   CASE WHEN event_type IN ('view', 'click') THEN 'app' ELSE 'cli' END AS entry_point,
   '1.0.0' AS app_version, 'linux' AS platform, event_type AS event,
-  CASE WHEN event_type = 'signup' THEN 'provider_a' WHEN event_type = 'error' THEN 'provider_b' END
+  CASE WHEN event_type = 'signup' THEN 'simplefin' WHEN event_type = 'error' THEN 'lunchflow' END
     AS integration,
   CASE WHEN event_type IN ('view', 'click') THEN 'page-' || json_extract_string(props, '$.k') END
     AS page,
@@ -137,7 +137,7 @@ FROM customer WHERE c_acctbal >= 0
 VIEWS["tx_view"] = """
 SELECT t.*, a.name AS account_name, a.account_type, a.currency AS account_currency,
   a.institution_name,
-  CASE WHEN t.sf_id IS NOT NULL THEN 'provider_a' WHEN t.lf_id IS NOT NULL THEN 'provider_b'
+  CASE WHEN t.sf_id IS NOT NULL THEN 'simplefin' WHEN t.lf_id IS NOT NULL THEN 'lunchflow'
        WHEN t.csv_batch_id IS NOT NULL THEN 'csv_import'
        WHEN t.parent_transaction_id IS NOT NULL THEN 'split'
        WHEN t.is_manual THEN 'manual' ELSE 'unknown' END AS source

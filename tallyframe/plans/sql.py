@@ -12,7 +12,7 @@ from ..sources import config, ledger
 
 _LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 # kinds of parsed nodes that do more than read: commands, writes, scripts
-_NOT_READING = ["Command", "ParsedStatement", "ScriptTransformation"]
+_NOT_READING = ["Command", "ParsedStatement", "InsertIntoDir", "ScriptTransformation"]
 # leaves of an analysed plan that read no table
 _NO_TABLE = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "EmptyRelation"}
 

@@ -35,12 +35,17 @@ def _mapping(spark, d):
         F.concat(F.lit("cust-"), F.col("account_id")).alias("ext_id"), "account_id")
 
 
+def _sync_mapping(spark, d):
+    """The map of this sync: known accounts and those that provider A shows first now."""
+    return sync.with_new_accounts(_mapping(spark, d), providers.a_accounts(_pa(spark, d)), "sf_id")
+
+
 def _synced_tx(spark, d):
     """Mapped provider A transactions of accounts that sync transactions."""
     tx = providers.a_transactions(_pa(spark, d))
     bo = providers.balances_only_ids(providers.fixture_settings(spark, d))
     tx = tx.join(bo.select(F.col("ext_id").alias("sf_account_id")), "sf_account_id", "left_anti")
-    return sync.map_accounts(tx, "sf_account_id", _mapping(spark, d))
+    return sync.map_accounts(tx, "sf_account_id", _sync_mapping(spark, d))
 
 
 # --------------------------------------------------------------------------- oracle helpers
@@ -68,7 +73,9 @@ pa_tx AS (
   FROM oc WHERE o_orderstatus <> 'O'),
 bo AS (SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS ext_id FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
 mapping AS (SELECT 'cust-' || account_id AS ext_id, account_id FROM accounts),
-synced AS (SELECT t.*, m.account_id FROM pa_tx t JOIN mapping m ON t.sf_account_id = m.ext_id
+sync_mapping AS (SELECT * FROM mapping UNION ALL SELECT DISTINCT sf_account_id, 'acct-' || sf_account_id FROM pa_tx
+                 WHERE sf_account_id NOT IN (SELECT ext_id FROM mapping)),
+synced AS (SELECT t.*, m.account_id FROM pa_tx t JOIN sync_mapping m ON t.sf_account_id = m.ext_id
            WHERE t.sf_account_id NOT IN (SELECT ext_id FROM bo)),
 first_tx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sf_id ORDER BY payload_id, tx_pos) AS rn
              FROM synced) WHERE rn = 1),
@@ -218,20 +225,14 @@ def _fold_sql(inner: str) -> str:
 
 @query("sync_end_to_end", _sql(", fresh AS (SELECT 'tx-' || n.sf_id AS transaction_id, n.account_id, "
                                "n.amount, n.description, n.transaction_date, n.tags, len(n.tags) AS n0, "
-                               "a.account_type, 'provider_a' AS source FROM new_tx n "
+                               "a.account_type, 'simplefin' AS source FROM new_tx n "
                                "LEFT JOIN accounts a USING (account_id))\n" + f"""
 SELECT transaction_id, account_id, amount, transaction_date, array_to_string(tags, '|') AS tags,
   len(tags) > n0 AS tags_auto_applied FROM ({_fold_sql('SELECT * FROM fresh')}) f"""))
 def sync_end_to_end(spark, d):
     """Map -> balances-only filter -> dedup -> ledger rows -> auto-tag."""
     new = sync.new_transactions(_synced_tx(spark, d), ledger.transactions(spark, d))
-    rows = new.select(
-        F.concat(F.lit("tx-"), F.col("sf_id")).alias("transaction_id"), "account_id", "amount",
-        "description", "transaction_date", "tags", "sf_id",
-        F.lit(None).cast("string").alias("lf_id"), F.lit(None).cast("string").alias("csv_batch_id"),
-        F.lit(None).cast("string").alias("parent_transaction_id"), F.lit(False).alias("is_manual"),
-        F.lit(False).alias("tags_auto_applied"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
-    view = views.transactions_view(rows, ledger.accounts(spark, d))
+    view = views.transactions_view(sync.ledger_rows(new, "sf_id"), ledger.accounts(spark, d))
     tagged = tagging.apply_rules(view, tagging.load_rules(config.rules(spark)))
     return tagged.select("transaction_id", "account_id", "amount", "transaction_date",
                          F.array_join("tags", "|").alias("tags"), "tags_auto_applied")
@@ -324,11 +325,12 @@ def merge_transactions(spark, d):
 
 
 @query("insert_if_absent", _sql("""
-SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, false AS inserted FROM oc WHERE o_orderstatus = 'O'
+SELECT transaction_id, account_id, amount, false AS inserted FROM transactions
 UNION ALL
-SELECT DISTINCT sf_id, true FROM pa_tx WHERE tx_pos = 1"""))
+SELECT sf_id, arg_min(sf_account_id, payload_id), arg_min(amount, payload_id), true FROM pa_tx WHERE tx_pos = 1
+GROUP BY sf_id"""))
 def insert_if_absent(spark, d):
-    """M3: rows inserted only when absent (user edits kept)."""
+    """M3: the new table; rows are inserted only when absent (user edits kept)."""
     tx = ledger.transactions(spark, d).select("transaction_id", "account_id", "amount")
     b = providers.b_transactions(_pb(spark, d)).select(
         F.col("payload_id").cast("string").alias("transaction_id"),
@@ -337,38 +339,37 @@ def insert_if_absent(spark, d):
         providers.a_transactions(_pa(spark, d)).where(F.col("tx_pos") == 1)
         .select(F.col("sf_id").alias("transaction_id"), F.col("sf_account_id").alias("account_id"),
                 "amount", "payload_id"), "transaction_id", ["payload_id"]).drop("payload_id")
-    _, flags = merge.insert_if_absent(tx, b.unionByName(fees), "transaction_id")
-    return flags
+    new, flags = merge.insert_if_absent(tx, b.unionByName(fees), "transaction_id")
+    return (new.join(flags.where("inserted").select("transaction_id", "inserted"), "transaction_id", "left")
+            .withColumn("inserted", F.coalesce("inserted", F.lit(False))))
 
 
 @query("delete_account_cascade", with_views("""
-SELECT 'accounts' AS table_name, (SELECT count(*) FROM accounts WHERE trim(currency) <> '') AS remaining
-UNION ALL SELECT 'transactions', (SELECT count(*) FROM transactions WHERE account_id NOT IN
-  (SELECT account_id FROM accounts WHERE trim(currency) = ''))
-UNION ALL SELECT 'balance_snapshots', (SELECT count(*) FROM balance_snapshots WHERE account_id NOT IN
-  (SELECT account_id FROM accounts WHERE trim(currency) = ''))""",
+SELECT 'accounts' AS table_name, account_id AS row_id, account_id FROM accounts WHERE trim(currency) <> ''
+UNION ALL SELECT 'transactions', transaction_id, account_id FROM transactions WHERE account_id NOT IN
+  (SELECT account_id FROM accounts WHERE trim(currency) = '')
+UNION ALL SELECT 'balance_snapshots', snapshot_id, account_id FROM balance_snapshots WHERE account_id NOT IN
+  (SELECT account_id FROM accounts WHERE trim(currency) = '')""",
                                            "accounts", "transactions", "balance_snapshots"))
 def delete_account_cascade(spark, d):
-    """M4: delete the invalid accounts with their transactions and snapshots."""
+    """M4: the rows of all three tables after the invalid accounts were deleted with theirs."""
     acc = ledger.accounts(spark, d)
     doomed = views.invalid_accounts(acc)
     a, t, s = merge.delete_accounts_cascade(acc, ledger.transactions(spark, d),
                                             ledger.balance_snapshots(spark, d), doomed)
-    return (a.select(F.lit("accounts").alias("table_name"))
-            .unionByName(t.select(F.lit("transactions").alias("table_name")))
-            .unionByName(s.select(F.lit("balance_snapshots").alias("table_name")))
-            .groupBy("table_name").agg(F.count(F.lit(1)).alias("remaining")))
+    rows = lambda name, df, key: df.select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), "account_id")
+    return (rows("accounts", a, "account_id").unionByName(rows("transactions", t, "transaction_id"))
+            .unionByName(rows("balance_snapshots", s, "snapshot_id")))
 
 
 @query("soft_delete", with_views(f"""
-SELECT transaction_id, coalesce(deleted_at, TIMESTAMP '{AS_OF_TS}') AS deleted_at FROM transactions
-WHERE transaction_date = DATE '{SOFT_DELETE_DAY}'""", "transactions"))
+SELECT transaction_id, CASE WHEN transaction_date = DATE '{SOFT_DELETE_DAY}' THEN coalesce(deleted_at, TIMESTAMP '{AS_OF_TS}')
+  ELSE deleted_at END AS deleted_at FROM transactions""", "transactions"))
 def soft_delete(spark, d):
-    """M5: soft-delete one day's transactions; rows stay for dedup."""
+    """M5: the new table after one day's transactions were soft-deleted; rows stay for dedup."""
     tx = ledger.transactions(spark, d)
     ids = tx.where(F.col("transaction_date") == F.lit(SOFT_DELETE_DAY).cast("date")).select("transaction_id")
-    out = merge.soft_delete(tx, ids, AS_OF_TS)
-    return out.join(ids, "transaction_id", "left_semi").select("transaction_id", "deleted_at")
+    return merge.soft_delete(tx, ids, AS_OF_TS).select("transaction_id", "deleted_at")
 
 
 @query("split_balance_check", with_views("""
@@ -430,18 +431,13 @@ def schedule_expand(spark, d):
 , inc AS (SELECT m.account_id, CAST(c_acctbal AS DECIMAL(15,2)) AS balance,
     CASE WHEN o_orderpriority = '5-LOW' THEN TIMESTAMP '{AS_OF_TS}' ELSE o_orderdate END AS snapshot_time,
     o_orderkey AS payload_id
-  FROM oc JOIN mapping m ON m.ext_id = 'cust-' || CAST(c_custkey AS VARCHAR)
+  FROM oc JOIN sync_mapping m ON m.ext_id = 'cust-' || CAST(c_custkey AS VARCHAR)
   WHERE o_orderstatus <> 'O' AND c_mktsegment <> 'AUTOMOBILE')
-SELECT i.payload_id, i.account_id, i.balance, i.snapshot_time FROM inc i
-WHERE NOT EXISTS (SELECT 1 FROM balance_snapshots s WHERE s.account_id = i.account_id
-  AND CAST(s.snapshot_time AS DATE) = CAST(i.snapshot_time AS DATE) AND abs(s.balance - i.balance) < 0.01)
-""", "balance_snapshots"))
+SELECT i.payload_id, i.account_id, i.balance, i.snapshot_time FROM inc i"""))
 def sync_snapshots(spark, d):
-    """S2 snapshot branch: provider balances mapped to ledger accounts (J8),
-    minus same-day snapshots within 0.01 (J9)."""
+    """S2 snapshot branch: every provider balance, mapped to its ledger account."""
     snaps = providers.a_snapshots(_pa(spark, d), AS_OF_TS)
-    mapped = sync.map_accounts(snaps, "sf_account_id", _mapping(spark, d))
-    return dedup.new_snapshots(mapped, ledger.balance_snapshots(spark, d)).select(
+    return sync.map_accounts(snaps, "sf_account_id", _sync_mapping(spark, d)).select(
         "payload_id", "account_id", "balance", "snapshot_time")
 
 
@@ -449,7 +445,8 @@ def sync_snapshots(spark, d):
 , b AS (SELECT o_orderkey AS payload_id, 0 AS tx_pos, 'lf-' || CAST(o_orderkey AS VARCHAR) AS lf_id,
     CAST(c_custkey AS VARCHAR) AS lf_account_id FROM oc
   WHERE o_orderstatus = 'O' AND c_mktsegment <> 'FURNITURE')
-SELECT b.lf_id, b.payload_id, a.account_id FROM b JOIN accounts a ON a.account_id = b.lf_account_id
+SELECT b.lf_id, b.payload_id, coalesce(a.account_id, 'acct-' || b.lf_account_id) AS account_id
+FROM b LEFT JOIN accounts a ON a.account_id = b.lf_account_id
 WHERE b.lf_id NOT IN (SELECT lf_id FROM transactions WHERE lf_id IS NOT NULL)"""))
 def sync_b_transactions(spark, d):
     """S2 for provider B: transactions of active accounts, mapped by the
@@ -457,7 +454,8 @@ def sync_b_transactions(spark, d):
     pb = _pb(spark, d)
     active_ids = providers.b_accounts(pb).select(F.col("lf_id").alias("lf_account_id"))
     tx = providers.b_transactions(pb).join(active_ids, "lf_account_id", "left_semi")
-    mapping = ledger.accounts(spark, d).select(F.col("account_id").alias("ext_id"), "account_id")
+    known = ledger.accounts(spark, d).select(F.col("account_id").alias("ext_id"), "account_id")
+    mapping = sync.with_new_accounts(known, providers.b_accounts(pb), "lf_id")
     mapped = sync.map_accounts(tx, "lf_account_id", mapping)
     new = sync.new_transactions(mapped, ledger.transactions(spark, d), id_col="lf_id",
                                 ext_col="lf_account_id")

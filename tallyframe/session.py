@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints of intermediates go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
     # local mode: the driver JVM is the executor; size it before it starts
     "spark.driver.memory": "16g",
@@ -67,9 +69,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh directory under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tallyframe/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh directory under the shared checkpoint folder for written tables; it is
+    removed when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tallyframe/{name}-{uuid.uuid4().hex[:12]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df):

@@ -49,7 +49,7 @@ OVERRIDE_ROWS = [("3", "liability", False), ("5", None, True), ("7", "asset", Fa
 RULE_ROWS = [
     ("r1", "urgent", "description ILIKE '%URGENT%'", ["priority"], True, 1),
     ("r2", "large", "amount < -300000", ["large-expense"], True, 2),
-    ("r3", "synced income", "source = 'provider_a' AND amount > 0", ["income", "synced"], True, 3),
+    ("r3", "synced income", "source = 'simplefin' AND amount > 0", ["income", "synced"], True, 3),
     ("r4", "review priority", "array_contains(tags, 'priority') AND amount < 0", ["review"], True, 4),
     ("r5", "cards", "account_type = 'credit'", ["card", "priority"], True, 5),
     ("r6", "disabled", "amount > 0", ["never"], False, 6),

@@ -30,25 +30,6 @@ SEGMENT_TYPES = {"HOUSEHOLD": "depository", "AUTOMOBILE": "loan", "FURNITURE": "
                  "MACHINERY": "investment"}
 
 
-_PLANS: dict = {}
-
-
-def _memo(fn):
-    """Build each ledger view once per session and folder.
-
-    A DataFrame is an immutable, lazy plan, so handing the same one to several
-    consumers changes nothing in what runs; it saves rebuilding (and
-    re-analysing) the view's expression tree on the driver for every use.
-    """
-    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (fn.__name__, spark._jsparkSession.hashCode(), sf_dir)
-        if key not in _PLANS:
-            _PLANS[key] = fn(spark, sf_dir)
-        return _PLANS[key]
-    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
-    return wrapper
-
-
 def ts_ntz(text: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
@@ -60,7 +41,6 @@ def _segment_type(seg: Column) -> Column:
     return expr.otherwise("other")
 
 
-@_memo
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     # nation is a fixed 25-row dimension: a proven bound for a broadcast.
@@ -165,13 +145,11 @@ def _cash_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ledger transactions, deleted ones included (they stay for dedup)."""
     return _order_transactions(spark, sf_dir).unionByName(_cash_transactions(spark, sf_dir))
 
 
-@_memo
 def balance_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
     return e.select(
@@ -186,19 +164,18 @@ def balance_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     et = F.col("event_type")
     return e.select(
-        F.col("event_id").alias("id"),
+        F.col("event_id").alias("id"), "ts",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
         F.when(et.isin("view", "click"), F.lit("app")).otherwise(F.lit("cli"))
          .alias("entry_point"),
         F.lit("1.0.0").alias("app_version"),
         F.lit("linux").alias("platform"),
         et.alias("event"),
-        F.when(et == "signup", F.lit("provider_a")).when(et == "error", F.lit("provider_b"))
+        F.when(et == "signup", F.lit("simplefin")).when(et == "error", F.lit("lunchflow"))
          .alias("integration"),
         F.when(et.isin("view", "click"),
                F.concat(F.lit("page-"), F.get_json_object(F.col("props"), "$.k")))
@@ -211,7 +188,6 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backfill anchors: each open account's known end-of-day balance."""
     c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)

@@ -166,6 +166,23 @@ def b_transactions(parsed: DataFrame) -> DataFrame:
     )
 
 
+# --- what a user should know of a payload ---------------------------------------------
+
+def a_warnings(parsed: DataFrame) -> DataFrame:
+    """(payload_id, message): the provider's own errors, and documents that could not be read."""
+    unread = parsed.where(F.col("p.accounts").isNull() & F.col("p.errors").isNull())
+    errors = parsed.select("payload_id", F.explode("p.errors").alias("message"))
+    return errors.unionByName(unread.select("payload_id", F.lit("the document could not be read").alias("message")))
+
+
+def b_warnings(parsed: DataFrame) -> DataFrame:
+    """(payload_id, message): accounts that are not active, and documents that could not be read."""
+    unread = parsed.where(F.col("p.accounts").isNull() & F.col("p.transactions").isNull())
+    off = (parsed.select("payload_id", F.explode("p.accounts").alias("a")).where(F.col("a.status") != "ACTIVE")
+           .select("payload_id", F.format_string("account %s is %s", F.coalesce("a.name", "a.id"), F.col("a.status")).alias("message")))
+    return off.unionByName(unread.select("payload_id", F.lit("the document could not be read").alias("message")))
+
+
 # --- settings -----------------------------------------------------------------
 
 def balances_only_ids(settings: DataFrame) -> DataFrame:

@@ -8,21 +8,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
 
-# Tables that grow with the data (the rest are dimensions).
-FACT_TABLES = {"orders", "lineitem", "events", "customer", "documents", "pages", "conversations"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A lazy parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    A fact table stored as fewer splits than the cluster has cores (a small
-    file with one row group) is spread round-robin so its row-level work uses
-    every core. At scale the scan has far more splits than cores and this is
-    a no-op: no extra shuffle is planned.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in FACT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    """A lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -108,12 +108,18 @@ def test_api_workflows_on_fixture(spark, sf_small):
     pv = api.backfill(tx, snaps, ledger.anchors(spark, sf_small), start="2024-01-05")
     assert pv.count() > 0
     mapping = acc.select(F.concat(F.lit("cust-"), F.col("account_id")).alias("ext_id"), "account_id")
-    out = api.sync_provider_a(providers.fixture_payloads_a(spark, sf_small), tx,
-                              acc.select("account_id", "name", "currency"), mapping,
-                              providers.fixture_settings(spark, sf_small))
-    st = out["stats"].first()
-    assert st.discovered == st.new + st.skipped and out["new_transactions"].count() == st.new
-    assert out["accounts"].count() >= acc.count()
+    payloads = providers.fixture_payloads_a(spark, sf_small)
+    out = api.sync_provider_a(payloads, tx, acc.select("account_id", "name", "currency", "account_type"), snaps, mapping,
+                              "2001-08-01 00:00:00", providers.fixture_settings(spark, sf_small), config.rules(spark))
+    st = out.stats.first()
+    assert st.discovered == st.new + st.skipped and out.new_transactions.count() == st.new
+    assert out.accounts.count() == acc.count() + st.new_accounts and st.new_accounts > 0
+    assert out.transactions.count() == tx.count() + st.new
+    assert out.snapshots.count() == snaps.count() + providers.a_snapshots(
+        providers.parse(payloads, providers.SCHEMA_A), "2001-08-01 00:00:00").count()
+    only = api.sync_provider_a(payloads, tx, acc.select("account_id", "name", "currency", "account_type"), snaps, mapping,
+                               "2001-08-01 00:00:00", balances_only=True)
+    assert only.stats.first().new == 0 and only.snapshots.count() == out.snapshots.count()
     n = api.query(spark, sf_small, "SELECT count(*) AS n FROM transactions WHERE amount < ?", [0]).first().n
     assert n > 0
 
@@ -150,3 +156,28 @@ def test_streams_keep_late_rows_of_a_folder(spark, sf_small):
     want = ids.join(known.select(F.col("transaction_id").alias("provider_id")), "provider_id", "left_anti").count()
     assert len(got) == len(set(got)) == want > 0
     assert jobs.stream_log_counts(spark, d).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_small}/events.parquet").count()
+
+
+def test_sync_keeps_rows_of_new_accounts_and_reports(spark):
+    from tallyframe import api
+    doc = {"accounts": [{"id": k, "name": k, "balance": "1.00", "balance-date": 1704067200, "transactions": [
+        {"id": f"{k}-1", "posted": 1704153600, "amount": "-4.20", "description": "B"}]} for k in ("old", "fresh")],
+        "errors": ["bank asks for a new login"]}
+    known = spark.createDataFrame([("old", "acc-1")], "ext_id string, account_id string")
+    accounts = spark.createDataFrame([("acc-1", "Old")], "account_id string, name string")
+    ledger_tx = spark.createDataFrame([], "transaction_id string, account_id string, sf_id string, lf_id string")
+    snaps = spark.createDataFrame([], "snapshot_id string, account_id string, balance decimal(15,2), snapshot_time timestamp_ntz, source string")
+    out = api.sync_provider_a(_payloads(spark, [json.dumps(doc), "{broken"]), ledger_tx, accounts, snaps, known, "2024-02-01 00:00:00")
+    assert sorted((r.transaction_id, r.account_id) for r in out.new_transactions.collect()) == [("tx-fresh-1", "acct-fresh"), ("tx-old-1", "acc-1")]
+    assert sorted(r.account_id for r in out.accounts.collect()) == ["acc-1", "acct-fresh"]
+    assert sorted(r.account_id for r in out.snapshots.collect()) == ["acc-1", "acct-fresh"]
+    st = out.stats.first()
+    assert (st.discovered, st.new, st.skipped, st.new_accounts) == (2, 2, 0, 1)
+    assert sorted(r.message for r in out.warnings.collect()) == ["bank asks for a new login", "the document could not be read"]
+    b = {"accounts": [{"id": "7", "name": "Main", "currency": "USD", "status": "ACTIVE"}, {"id": "8", "name": "Gone", "status": "ERROR"}],
+         "balance": {"amount": "10.5", "currency": "USD"},
+         "transactions": [{"id": "t1", "accountId": "7", "amount": 1, "date": "2024-01-02", "description": "x"},
+                          {"id": "t2", "accountId": "8", "amount": 1, "date": "2024-01-02", "description": "x"}]}
+    out = api.sync_provider_b(_payloads(spark, [json.dumps(b)]), ledger_tx, accounts, snaps, known.where("false"), "2024-02-01 00:00:00")
+    assert [(r.transaction_id, r.account_id) for r in out.new_transactions.collect()] == [("tx-t1", "acct-7")]
+    assert [r.message for r in out.warnings.collect()] == ["account Gone is ERROR"] and out.snapshots.count() == 1

@@ -17,8 +17,8 @@ def _eval(cond, r):
         return "urgent" in (r["description"] or "").lower()
     if cond == "amount < -300000":
         return r["amount"] < -300000
-    if cond == "source = 'provider_a' AND amount > 0":
-        return r["source"] == "provider_a" and r["amount"] > 0
+    if cond == "source = 'simplefin' AND amount > 0":
+        return r["source"] == "simplefin" and r["amount"] > 0
     if cond == "array_contains(tags, 'priority') AND amount < 0":
         return "priority" in r["tags"] and r["amount"] < 0
     if cond == "account_type = 'credit'":
@@ -117,7 +117,7 @@ def test_cascade_delete(spark):
 
 @pytest.mark.parametrize("text", [
     "SELECT * FROM transactions", "with x as (select 1) select * from x",
-    "select ' UPDATE ' as word", "SELECT 1 -- DROP TABLE x\n", "SELECT update FROM t", "SELECT '--' AS c, 1 AS \"drop\"",
+    "select ' UPDATE ' as word", "SELECT 1 -- DROP TABLE x\n", "SELECT update FROM t", "SELECT '--' AS c, 1 AS `drop`",
     "VALUES (1)", "SELECT * FROM t WHERE a IN (SELECT delete FROM u);",
 ])
 def test_readonly_accepts(spark, text):

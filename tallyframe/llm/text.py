@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of text that one vectorised step takes at a time (a longer text is taken alone)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 2
 
 # white space of the word pattern [^\x20\x09-\x0D]+ (fixed values)
 SPACE = np.zeros(256, dtype=bool)
@@ -31,11 +31,15 @@ _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def set_up(spark, rows: int = 256) -> None:
     """Small Arrow batches, as texts can be long and two Python workers share an executor;
-    and this package's folder on the workers' path, for sessions started elsewhere."""
+    workers that give freed memory back; and this package's folder on their path, for
+    sessions started elsewhere."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    here, given = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    environment = spark.sparkContext.environment
+    here, given = str(Path(__file__).resolve().parents[2]), environment.get("PYTHONPATH", "")
     if here not in given.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [given, here]))
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [given, here]))
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    environment.setdefault("MALLOC_ARENA_MAX", "1")
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

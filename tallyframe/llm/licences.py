@@ -159,23 +159,26 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
                 names=schema.names)
 
     found = files.mapInArrow(match, schema)
-    folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
     ruling = (F.col("file_score") >= whole) | (F.col("path").rlike(NAMES) & (F.col("file_score") >= named))
-    found = found.withColumn("folder", folder).withColumn("file_license", F.when(ruling, F.col("file_best")))
-    return _inherit(found).select(*files.columns, *added)
+    found = found.withColumn("folder", _folder()).withColumn("file_license", F.when(ruling, F.col("file_best")))
+    return _inherit(found, files.select(_folder().alias("folder"))).select(*files.columns, *added)
 
 
-def _inherit(found: DataFrame) -> DataFrame:
+def _folder():
+    """Of a path: all before the last slash; "" where there is none."""
+    return F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
+
+
+def _inherit(found: DataFrame, folders: DataFrame) -> DataFrame:
     """Joins on folders: each distinct folder looks for its nearest ancestor with a licence file."""
     rulers = (found.where("file_license is not null and folder is not null").groupBy("folder")
               .agg(F.min(F.struct("path", "file_license")).alias("ruler")).select(F.col("folder").alias("above"), "ruler.file_license"))
     # "a/b/c" has the ancestors "a/b/c", "a/b", "a" and ""
     parts = F.split("folder", "/")
     above = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.array(F.lit("")))
-    folders = found.where("folder is not null").select("folder").distinct()
-    nearest = (folders.withColumn("above", F.explode(F.array_distinct(above))).join(rulers, "above")
+    nearest = (folders.where("folder is not null").distinct()
+               .withColumn("above", F.explode(F.array_distinct(above))).join(rulers, "above")
                .groupBy("folder").agg(F.max(F.struct(F.length("above").alias("depth"), "file_license")).alias("near"))
                .select("folder", F.col("near.file_license").alias("inherited_license")))
     return (found.join(nearest, "folder", "left")
             .withColumn("license", F.coalesce("file_license", "notice_license", "inherited_license")))
-

@@ -55,6 +55,23 @@ def contexts(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.hstack([left, right]), np.minimum(at, AROUND), np.minimum(n - at - K, AROUND)
 
 
+def runs(head: np.ndarray, cx: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text's suffixes: the indexes of the first ones of runs, and from each the
+    distances to the second and to the last one of its run (0 if alone).
+
+    A run has equal suffixes with equal surroundings at most LENGTH words apart, as in a text
+    that repeats a few words on and on; their windows touch, so a run is one row."""
+    if len(np.unique(head)) == len(head):
+        none = np.zeros(len(head), np.int64)
+        return np.arange(len(head)), none, none
+    order = np.lexsort((at, cx, head))
+    h, c, a = head[order], cx[order], at[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (a[1:] - a[:-1] > LENGTH))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(h)) - 1
+    return order[first], a[np.minimum(first + 1, last)] - a[first], a[last] - a[first]
+
+
 def _by_text(column: pa.Array) -> Iterator[np.ndarray]:
     rows, hashes, *_ = X.words(column)
     at = X.row_starts(rows, len(column)).tolist()
@@ -220,20 +237,23 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     def all_suffixes(batches):
         for batch in X.slices(batches):
-            found = [[np.empty(0, np.int64)] for _ in range(4)]
+            found = [[np.empty(0, np.int64)] for _ in range(6)]
             for doc, part, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _by_text(batch.column(2))):
                 head, at = minimisers(words)
                 if len(at):
-                    for to, x in zip(found, [head.view(np.int64), *suffix(doc, part, words, at)[1]]):
+                    cx, docs_, place = suffix(doc, part, words, at)[1]
+                    some, second, last = runs(head, cx, at)
+                    for to, x in zip(found, (head.view(np.int64)[some], cx[some], docs_[some], place[some], second, last)):
                         to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["head", "cx", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found],
+                                             names=["head", "cx", "doc", "place", "second", "last"])
 
-    suffixes = written(docs.mapInArrow(all_suffixes, "head long, cx long, doc long, place long"), "suffixes")
-    repeated = suffixes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    suffixes = written(docs.mapInArrow(all_suffixes, "head long, cx long, doc long, place long, second long, last long"), "suffixes")
+    repeated = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.max("last").alias("run")).where("n > 1 or run > 0").select("head")
     occurrences = written(suffixes.join(repeated.hint("shuffle_hash"), "head"), "occurrences")
     # equal surroundings: one suffix stands for all, its first occurrence
     own = F.struct("doc", "place")
-    classes = written(occurrences.groupBy("head", "cx").agg(F.min(own).alias("first"), F.max(own).alias("last")), "classes")
+    classes = written(occurrences.groupBy("head", "cx").agg(F.min(own).alias("first"), F.max(own).alias("final")), "classes")
     heads = classes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
     reps = written(classes.join(heads, "head").select("head", "n", "first.*"), "reps")
     places = (reps.withColumn("part", F.shiftright("place", 43)).groupBy("doc", "part")
@@ -248,7 +268,8 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (head, cx, docs_, place)), pa.array([a.tobytes() for a in around], pa.binary())],
                                                  names=["head", "cx", "doc", "place", "around"])
 
-    around = (may_be_in(docs, "doc", reps).join(places, ["doc", "part"]).select("doc", "part", "text", "places")
+    # sort-merge also where one side is small: the bit map and the texts then take a Python worker each in turn
+    around = (may_be_in(docs, "doc", reps).join(places.hint("merge"), ["doc", "part"]).select("doc", "part", "text", "places")
               .mapInArrow(surroundings, "head long, cx long, doc long, place long, around binary"))
     crowds = heads.where(F.col("n") > crowd).select("head")
     crowded = not crowds.isEmpty()
@@ -270,16 +291,23 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     # all windows of a copy repeat; of a first occurrence those do that another suffix has, or all if it has copies
     low = F.greatest(F.lit(0), F.lit(AROUND) - F.col("place").bitwiseAND(F.lit(63))).cast("int")
     high = F.shiftright("place", 6).bitwiseAND(F.lit(63)).cast("int")
-    copied, first = F.col("first") != F.col("last"), F.col("is_first")
+    copied, first = (F.col("first") != F.col("final")) | (F.col("last") > 0), F.col("is_first")
+    # ranges of extensions to the left, from the suffix `at + skip` to `at + reach`: of a run, all
+    # but its very first suffix are copies
+    def part_of(low, high, removed, skip, reach):
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(removed).alias("removed"),
+                        skip.cast("int").alias("skip"), reach.cast("int").alias("reach"))
+
+    start, run = F.lit(0), F.col("last")
     ranges = F.array(
-        F.struct(F.when(first, F.col("cut_low")).otherwise(low).alias("low"),
-                 F.when(first, F.col("cut_high")).otherwise(high).alias("high"), F.lit(True).alias("removed")),
-        F.struct(F.when(first & copied, low).when(first, F.col("low")).alias("low"),
-                 F.when(first & copied, high).when(first, F.col("high")).alias("high"), F.lit(False).alias("removed")))
+        part_of(F.when(first, F.col("cut_low")).otherwise(low), F.when(first, F.col("cut_high")).otherwise(high), True,
+                start, F.when(first, 0).otherwise(run)),
+        part_of(F.when(first & (run > 0), low), high, True, F.col("second"), run),
+        part_of(F.when(first & copied, low).when(first, F.col("low")), F.when(copied, high).otherwise(F.col("high")), False, start, start))
     found = (each.withColumn("r", F.filter(ranges, lambda r: r["low"] <= r["high"])).where(F.size("r") > 0)
              .select("doc", F.shiftright("place", 43).alias("part"), "at", F.explode("r").alias("r"))
-             .select("doc", "part", "r.removed", (F.col("at") - F.col("r.high")).alias("start"),
-                     (F.col("at") - F.col("r.low") + LENGTH).alias("end")))
+             .select("doc", "part", "r.removed", (F.col("at") + F.col("r.skip") - F.col("r.high")).alias("start"),
+                     (F.col("at") + F.col("r.reach") - F.col("r.low") + LENGTH).alias("end")))
     return (found.repartition("doc", "part").sortWithinPartitions("doc", "part", "start")
             .mapInArrow(_settled, "doc long, part long, removed boolean, start int, end int"))
 
@@ -310,7 +338,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     schema = docs.schema
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     touched, rest = split_by(keyed, "doc", cuts)
-    own = touched.join(cuts, ["doc", "part"], "left").select("row.*", "cuts")
+    own = touched.join(cuts.hint("merge"), ["doc", "part"], "left").select("row.*", "cuts")
     at = docs.columns.index("text")
 
     def run(batches):

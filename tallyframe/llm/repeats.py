@@ -6,12 +6,15 @@ window of LENGTH words, so all copies of a passage keep suffixes at the same pla
 Suffixes whose first K words occur once are dropped; equal suffixes with equal
 surroundings become one. The rest are sorted, neighbours compared (longest common
 prefixes), and the matches extended to the right and left over the words of a window; of
-every repeated window the first occurrence by (doc_id, place) stays, and all others are to go.
+every repeated window the first occurrence by (doc_id, hash of the text, place) stays, and all
+others are to go.
 Suffixes that share their first K words with more than CROWD others are compared by hashes
 of all windows through an aggregate instead, so no group has to fit into a task.
 
 Defined cases: null, empty and short texts have no passages; rows of equal doc_id and text are
-one document; a null doc_id comes first in order; a text that repeats within itself counts.
+one document, and rows of equal doc_id (or of none) and different texts are documents of their own,
+told apart by 64 bits of the text's hash; a null doc_id comes first in order; a text that repeats
+within itself counts.
 `spans` uses doc_id and text; `remove` passes all other columns through.
 """
 
@@ -112,7 +115,7 @@ def compare(group: np.ndarray, around: np.ndarray, lefts: np.ndarray, rights: np
 
 _FOUND = "head long, cx long, low int, high int, cut_low int, cut_high int"
 _FIRST_ID = -(1 << 63)  # stands for a null doc_id
-# a place: 16 bits of the text's hash, 31 of the word number, 6 each for the context on the left and right
+# a place: the word number, and 6 bits each for the context on the left and right
 
 
 def _around(column: pa.Array) -> np.ndarray:
@@ -127,10 +130,10 @@ def _compare_sorted(batches):
 
     def run(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
-        heads, cx, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        heads, cx, doc, part, place = (batch.column(i).to_numpy() for i in range(5))
         rank = np.empty(len(heads), np.int64)
-        rank[np.lexsort((place, doc))] = np.arange(len(heads))
-        found = compare(np.cumsum(np.append(True, heads[1:] != heads[:-1])), _around(batch.column(4)),
+        rank[np.lexsort((place, part, doc))] = np.arange(len(heads))
+        found = compare(np.cumsum(np.append(True, heads[1:] != heads[:-1])), _around(batch.column(5)),
                         (place >> 6) & 63, place & 63, rank)
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f.astype(np.int32)) for f in found)],
                                          names=["head", "cx", "low", "high", "cut_low", "cut_high"])
@@ -153,7 +156,7 @@ def _compare_sorted(batches):
 def _window_hashes(batches):
     """One row for each window around a run: a hash of its words."""
     for batch in batches:
-        heads, place, around = batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), _around(batch.column(4))
+        heads, place, around = batch.column(0).to_numpy().view(np.uint64), batch.column(4).to_numpy(), _around(batch.column(5))
         for left in range(AROUND + 1):
             right = AROUND - left
             h = X.mix(heads + np.uint64(left))
@@ -162,8 +165,8 @@ def _window_hashes(batches):
             some = pa.array(np.flatnonzero(((place >> 6) & 63 >= left) & (place & 63 >= right)))
             if len(some):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)).take(some), *(batch.column(i).take(some) for i in range(4)),
-                     pa.array(np.full(len(some), left, np.int32))], names=["window", "head", "cx", "doc", "place", "left"])
+                    [pa.array(h.view(np.int64)).take(some), *(batch.column(i).take(some) for i in range(5)),
+                     pa.array(np.full(len(some), left, np.int32))], names=["window", "head", "cx", "doc", "part", "place", "left"])
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +222,7 @@ _SPAN_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
 def _keyed(docs: DataFrame) -> DataFrame:
     """With doc, the document's number in order, and part, which tells texts of one number apart."""
     return (docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)))
-            .withColumn("part", F.pmod(F.xxhash64("text"), F.lit(1 << 16))))
+            .withColumn("part", F.xxhash64("text")))
 
 
 def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -232,45 +235,45 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     def suffix(doc, part, words, at):
         around, lefts, rights = contexts(words, at)
         cx = X.mix((np.column_stack([around, lefts, rights]).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64))
-        place = (np.int64(part) << 43) | (at.astype(np.int64) << 12) | (lefts << 6) | rights
-        return around, [cx.view(np.int64), np.full(len(at), doc), place]
+        place = (at.astype(np.int64) << 12) | (lefts << 6) | rights
+        return around, [cx.view(np.int64), np.full(len(at), doc), np.full(len(at), part), place]
 
     def all_suffixes(batches):
         for batch in X.slices(batches):
-            found = [[np.empty(0, np.int64)] for _ in range(6)]
+            found = [[np.empty(0, np.int64)] for _ in range(7)]
             for doc, part, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _by_text(batch.column(2))):
                 head, at = minimisers(words)
                 if len(at):
-                    cx, docs_, place = suffix(doc, part, words, at)[1]
+                    cx, docs_, parts, place = suffix(doc, part, words, at)[1]
                     some, second, last = runs(head, cx, at)
-                    for to, x in zip(found, (head.view(np.int64)[some], cx[some], docs_[some], place[some], second, last)):
+                    for to, x in zip(found, (head.view(np.int64)[some], cx[some], docs_[some], parts[some], place[some], second, last)):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found],
-                                             names=["head", "cx", "doc", "place", "second", "last"])
+                                             names=["head", "cx", "doc", "part", "place", "second", "last"])
 
-    suffixes = written(docs.mapInArrow(all_suffixes, "head long, cx long, doc long, place long, second long, last long"), "suffixes")
+    suffixes = written(docs.mapInArrow(all_suffixes, "head long, cx long, doc long, part long, place long, second long, last long"), "suffixes")
     repeated = suffixes.groupBy("head").agg(F.count("*").alias("n"), F.max("last").alias("run")).where("n > 1 or run > 0").select("head")
     occurrences = written(suffixes.join(repeated.hint("shuffle_hash"), "head"), "occurrences")
     # equal surroundings: one suffix stands for all, its first occurrence
-    own = F.struct("doc", "place")
+    own = F.struct("doc", "part", "place")
     classes = written(occurrences.groupBy("head", "cx").agg(F.min(own).alias("first"), F.max(own).alias("final")), "classes")
     heads = classes.groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
     reps = written(classes.join(heads, "head").select("head", "n", "first.*"), "reps")
-    places = (reps.withColumn("part", F.shiftright("place", 43)).groupBy("doc", "part")
-              .agg(F.sort_array(F.collect_set("place")).alias("places")))
+    places = reps.groupBy("doc", "part").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
     def surroundings(batches):
         for batch in X.slices(batches):
             for doc, part, places, words in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), _by_text(batch.column(2))):
-                at = (np.array(places) >> 12) & ((1 << 31) - 1)
-                around, (cx, docs_, place) = suffix(doc, part, words, at)
+                at = np.array(places) >> 12
+                around, (cx, docs_, parts, place) = suffix(doc, part, words, at)
                 head = X.window_hashes(words, K)[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (head, cx, docs_, place)), pa.array([a.tobytes() for a in around], pa.binary())],
-                                                 names=["head", "cx", "doc", "place", "around"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (head, cx, docs_, parts, place)),
+                                                  pa.array([a.tobytes() for a in around], pa.binary())],
+                                                 names=["head", "cx", "doc", "part", "place", "around"])
 
     # sort-merge also where one side is small: the bit map and the texts then take a Python worker each in turn
-    around = (may_be_in(docs, "doc", reps).join(places.hint("merge"), ["doc", "part"]).select("doc", "part", "text", "places")
-              .mapInArrow(surroundings, "head long, cx long, doc long, place long, around binary"))
+    around = (may_be_in(docs, "part", reps).join(places.hint("merge"), ["doc", "part"]).select("doc", "part", "text", "places")
+              .mapInArrow(surroundings, "head long, cx long, doc long, part long, place long, around binary"))
     crowds = heads.where(F.col("n") > crowd).select("head")
     crowded = not crowds.isEmpty()
     if crowded:
@@ -279,7 +282,7 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     matches = few.repartition("head").sortWithinPartitions("head").mapInArrow(_compare_sorted, _FOUND)
     if crowded:
         windows = written(around.join(crowds, "head").mapInArrow(
-            _window_hashes, "window long, head long, cx long, doc long, place long, left int"), "windows")
+            _window_hashes, "window long, head long, cx long, doc long, part long, place long, left int"), "windows")
         firsts = windows.groupBy("window").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = F.when(own != F.col("first"), F.col("left"))
         matches = matches.union(
@@ -287,7 +290,7 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
             .agg(F.min("left").alias("low"), F.max("left").alias("high"), F.min(later).alias("cut_low"), F.max(later).alias("cut_high")))
     matches = classes.join(matches, ["head", "cx"], "left")
     each = (occurrences.join(matches, ["head", "cx"]).withColumn("is_first", own == F.col("first"))
-            .withColumn("at", F.shiftright("place", 12).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+            .withColumn("at", F.shiftright("place", 12).cast("int")))
     # all windows of a copy repeat; of a first occurrence those do that another suffix has, or all if it has copies
     low = F.greatest(F.lit(0), F.lit(AROUND) - F.col("place").bitwiseAND(F.lit(63))).cast("int")
     high = F.shiftright("place", 6).bitwiseAND(F.lit(63)).cast("int")
@@ -305,7 +308,7 @@ def spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         part_of(F.when(first & (run > 0), low), high, True, F.col("second"), run),
         part_of(F.when(first & copied, low).when(first, F.col("low")), F.when(copied, high).otherwise(F.col("high")), False, start, start))
     found = (each.withColumn("r", F.filter(ranges, lambda r: r["low"] <= r["high"])).where(F.size("r") > 0)
-             .select("doc", F.shiftright("place", 43).alias("part"), "at", F.explode("r").alias("r"))
+             .select("doc", "part", "at", F.explode("r").alias("r"))
              .select("doc", "part", "r.removed", (F.col("at") + F.col("r.skip") - F.col("r.high")).alias("start"),
                      (F.col("at") + F.col("r.reach") - F.col("r.low") + LENGTH).alias("end")))
     return (found.repartition("doc", "part").sortWithinPartitions("doc", "part", "start")
@@ -337,7 +340,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     cuts = (found.where("removed").groupBy("doc", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts")))
     schema = docs.schema
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
-    touched, rest = split_by(keyed, "doc", cuts)
+    touched, rest = split_by(keyed, "part", cuts)
     own = touched.join(cuts.hint("merge"), ["doc", "part"], "left").select("row.*", "cuts")
     at = docs.columns.index("text")
 

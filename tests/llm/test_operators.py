@@ -182,6 +182,17 @@ def test_repeats_odd_rows(odd, none, odd_rows):
     assert repeats.passages(none).count() == 0 and repeats.remove(none, repeats.spans(none)).count() == 0
 
 
+def test_repeats_of_many_texts_without_a_number(spark):
+    rnd = random.Random(21)
+    passage = sentence(rnd, 70)
+    own = [" ".join(f"u{i}x{j}" for j in range(3 + i % 40)) for i in range(3000)]
+    docs = spark.createDataFrame([(None, f"{t} {passage}") for t in own], "doc_id long, text string")
+    left = [r["text"] for r in repeats.remove(docs, repeats.spans(docs)).collect()]
+    whole = [t for t in left if t.endswith(passage)]
+    assert len(whole) == 1
+    assert sorted([t.removesuffix(" " + passage) for t in left]) == sorted(own)
+
+
 def test_cut_keeps_the_rest():
     assert repeats.cut(" a b  c\nd e ", [1], [3]) == "a\nd e"
     assert repeats.cut("a b", [0], [2]) == ""

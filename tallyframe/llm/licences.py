@@ -2,7 +2,9 @@
 
 Every line of a file (a header notice) and every whole file (a licence file) is a sparse
 vector over words: 1 + log of the count, times the inverse document frequency over all files.
-Its cosine to each template is taken, and the best over a threshold names the licence. A
+Its cosine to each template is taken, and the best over a threshold names the licence. Lines
+are compared to notices over the words of the notices; files are compared to notices and to the
+licences' whole texts (folder `licence_texts`) over the words of both. A
 licence file (of a usual name and a cosine over NAMED, or any over WHOLE) rules its
 directory and all below; a file without a notice of its own takes
 the licence of its nearest ancestor directory that has one, found by joins on path.
@@ -15,6 +17,8 @@ pass through; the result's columns replace those of the same names.
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +52,7 @@ TEMPLATES = {
 }
 _MARKS = bytes(".,;:()\"'", "ascii")
 _names = [n for n, texts in TEMPLATES.items() for _ in texts]
+_notices = [t for texts in TEMPLATES.values() for t in texts]
 
 
 def _terms(data: np.ndarray) -> np.ndarray:
@@ -64,8 +69,14 @@ def _hashes(column: pa.Array):
     return rows, X.hash_spans(clean, starts, ends), starts, data, offsets
 
 
-def _vocabulary() -> np.ndarray:
-    _, hashes, *_ = _hashes(pa.array([t for texts in TEMPLATES.values() for t in texts]))
+def whole_texts() -> dict[str, str]:
+    """The whole texts of public licences, by name."""
+    found = resources.files(__package__) / "licence_texts"
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(found.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def _vocabulary(texts: list[str]) -> np.ndarray:
+    _, hashes, *_ = _hashes(pa.array(texts))
     return np.unique(hashes)
 
 
@@ -75,6 +86,15 @@ def _lookup(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at, -1)
 
 
+def _vectors(texts: list[str], vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """One row of length 1 for each template."""
+    rows, hashes, *_ = _hashes(pa.array(texts))
+    found = np.zeros((len(texts), len(idf)))
+    np.add.at(found, (rows, _lookup(vocabulary, hashes)), 1.0)
+    found = np.where(found > 0, 1 + np.log(np.maximum(found, 1)), 0) * idf
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
 def _cosines(unit: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, templates: np.ndarray) -> np.ndarray:
     """Cosines of n units, given by (unit, term) entries, to all templates; the last weight
     of idf is that of every word outside the vocabulary, each counted as one of its own."""
@@ -96,7 +116,9 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
     spark = files.sparkSession
     added = ["notice_license", "notice_score", "file_license", "inherited_license", "license"]
     files = files.drop(*added, "file_best", "file_score", "folder")
-    vocabulary = _vocabulary()
+    of_texts = whole_texts()
+    vocabulary, line_vocabulary = _vocabulary([*_notices, *of_texts.values()]), _vocabulary(_notices)
+    file_names = [*_names, *of_texts]
 
     def count(batches):
         found = np.zeros(len(vocabulary), np.int64)
@@ -109,25 +131,26 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
             found += np.bincount(np.unique(rows[keep] * len(vocabulary) + term[keep]) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary))), pa.array(np.append(n, found))], names=["term", "n"])
 
-    # a few hundred rows, whatever the input
+    # a row for each word of the templates, whatever the input
     df = {r["term"]: r["n"] for r in files.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = df.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], float))) + 1
     idf = np.append(idf, np.log(1.0 + total) + 1)
-    texts = [t for texts in TEMPLATES.values() for t in texts]
-    rows, hashes, *_ = _hashes(pa.array(texts))
-    templates = np.zeros((len(texts), len(idf)))
-    np.add.at(templates, (rows, _lookup(vocabulary, hashes)), 1.0)
-    templates = np.where(templates > 0, 1 + np.log(np.maximum(templates, 1)), 0) * idf
-    templates /= np.linalg.norm(templates, axis=1, keepdims=True)
-    model = spark.sparkContext.broadcast((vocabulary, idf, templates))
+    in_file = np.searchsorted(vocabulary, line_vocabulary)
+    line_idf = np.append(idf[in_file], idf[-1])
+    # the place of each word among the words of the notices; the last is that of other words
+    in_line = np.full(len(vocabulary) + 1, -1)
+    in_line[in_file] = np.arange(len(in_file))
+    model = spark.sparkContext.broadcast((
+        vocabulary, idf, _vectors([*_notices, *of_texts.values()], vocabulary, idf),
+        in_line, line_idf, _vectors(_notices, line_vocabulary, line_idf)))
     schema = T.StructType([*files.schema.fields, T.StructField("notice_license", T.StringType()),
                            T.StructField("notice_score", T.DoubleType()), T.StructField("file_best", T.StringType()),
                            T.StructField("file_score", T.DoubleType())])
     at = files.columns.index("text")
 
     def match(batches):
-        vocabulary, idf, templates = model.value
+        vocabulary, idf, templates, in_line, line_idf, notices = model.value
         for part in X.slices(batches):
             n = part.num_rows
             rows, hashes, starts, data, offsets = _hashes(part.column(at))
@@ -138,14 +161,15 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
             unit = np.cumsum(new) - 1
             of = rows[new]
             size = np.bincount(unit, minlength=len(of))
-            # only short lines with a word of the vocabulary can match
-            some = (np.bincount(unit, term >= 0, len(of)) > 0) & (size <= LINE_WORDS)
+            # only short lines with a word of the notices can match
+            line_term = in_line[term]
+            some = (np.bincount(unit, line_term >= 0, len(of)) > 0) & (size <= LINE_WORDS)
             number = np.cumsum(some) - 1
             keep = some[unit] if len(unit) else new
             best_line = np.zeros(n)
             name_line = np.full(n, -1)
             if some.any():
-                cos = _cosines(number[unit[keep]], term[keep], int(some.sum()), idf, templates)
+                cos = _cosines(number[unit[keep]], line_term[keep], int(some.sum()), line_idf, notices)
                 top, best = cos.argmax(axis=1), cos.max(axis=1)
                 owner = of[some]
                 order = np.lexsort((top, -best, owner))
@@ -155,7 +179,7 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
             top, best = cos.argmax(axis=1), cos.max(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array([_names[k] if s >= notice else None for k, s in zip(name_line, best_line)], pa.string()),
-                 pa.array(np.minimum(best_line, 1.0)), pa.array([_names[k] for k in top], pa.string()), pa.array(best)],
+                 pa.array(np.minimum(best_line, 1.0)), pa.array([file_names[k] for k in top], pa.string()), pa.array(best)],
                 names=schema.names)
 
     found = files.mapInArrow(match, schema)

@@ -237,6 +237,24 @@ def test_licences_and_inheritance(spark):
     assert licences.scan(out.limit(0).select("path", "text")).count() == 0
 
 
+def test_whole_licences_rule_their_folders(spark):
+    docs = [(f"d/{r['doc_id']}.txt", r["text"], None) for r in
+            spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    rows = []
+    # an own line first, other line ends, and a few words gone: a copy as it stands in a folder
+    for name, whole in licences.whole_texts().items():
+        words = whole.split(" ")
+        copy = " ".join(w for i, w in enumerate(words) if i % 50 != 7)
+        rows += [(f"{name}/COPYING", "Copyright (c) 2019 Jane Roe and others\n\n" + copy, name), (f"{name}/src/a/b.txt", "some prose\n", name),
+                 (f"{name}-x/TERMS", whole.replace("\n", " "), name), (f"{name}-x/c", None, name)]
+    rows += [("own/LICENSE", "All rights reserved. You have bought a ticket for one ride on the ferry; keep it until you land.", None),
+             ("own/a", "prose", None)]
+    found = licences.scan(spark.createDataFrame([(p, t) for p, t, _ in rows + docs], "path string, text string")).collect()
+    got = {r["path"]: r for r in found}
+    assert {p: got[p]["file_license"] or got[p]["inherited_license"] for p, *_ in rows} == {p: want for p, _, want in rows}
+    assert all(got[p]["file_license"] is None for p, *_ in docs)
+
+
 def test_licence_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",

@@ -381,6 +381,25 @@ def test_packing_prefers_neighbours(spark):
     assert np.mean([len(x) for x in list(together.values())[:4]]) < 2.5
 
 
+def test_packing_finds_neighbours_anywhere(spark):
+    rnd = random.Random(9)
+    topics = [["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(40)] for _ in range(40)]
+    docs = [(i, " ".join(rnd.choice(topics[i % 40]) for _ in range(150))) for i in range(1600)] + [(None, "same words " * 90)] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    found = []
+    for rows in (packing.pack(frame, WORDS, shard=200), packing.pack(frame.orderBy(F.desc("doc_id")).coalesce(2), WORDS, shard=200)):
+        rows = rows.collect()
+        check_packed(rows, docs)
+        found.append(sorted((r["sequence_id"], r["offset"], r["doc_id"] or -1, r["start"], r["length"]) for r in rows))
+    # neither order nor splits of the input matter
+    assert found[0] == found[1]
+    together = {}
+    for r in found[0]:
+        together.setdefault(r[0], set()).add(r[2] % 40)
+    # three documents or more fill a window: by chance nearly all would be of different topics
+    assert np.mean([len(x) for x in together.values()]) < 2.2
+
+
 # 8 embeddings
 
 def test_vectors_equal_brute_force(spark):

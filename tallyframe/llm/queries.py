@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, katz, language, licences, packing, quality, repeats, tokens, vectors
+from . import chat, codes, fingerprints, jaccard, katz, language, licences, manifest, packing, quality, repeats, tokens, vectors
+from .query_sql import CHAT, CODES, MANIFEST
+from .tables import written
 from .text import set_up
 
 
@@ -84,6 +86,36 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    coded = written(coded.select("vec_id", "label", "code", "error"), "codes")
+    return codes.with_group_error(coded, "label").select(
+        "vec_id", "code", "error", F.col("group_error").alias("label_error"), F.sha2(F.lit(codes.numbers(books)).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit(r"\### Assistant: </turn> ok")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    found = chat.format_conversations(rows.unionByName(planted))
+    found = found.select("conv_id", F.char_length("formatted").alias("formatted_chars"), chat.read_turns(F.col("formatted")).alias("turns"),
+                         chat.read_loss(F.col("segments")).alias("loss"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+                        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                        F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    tampered = F.when((remainder("doc_id", 3) == 0) & F.col("text").isNotNull(), manifest.leaf(manifest.lowered())).otherwise(manifest.leaf())
+    found = manifest.manifest(docs, tampered)
+    found = found.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"),
+                         manifest.folded(F.col("other"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -95,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_format": op12_chat_format,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op8_embedding_near_dedup": """
@@ -121,4 +156,7 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op11_vector_codes": CODES,
+    "op12_chat_format": CHAT,
+    "op13_merkle_manifest": MANIFEST,
 }

@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from .tables import written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-SPLITS = 12  # split points of a node
+SPLITS = 16  # split points of a node
 LEAF = 24  # entries that are compared without splitting
-BLOCK = 2_048  # queries that go down the tree together
+BLOCK, BLOCK_BYTES = 8_192, 1 << 24  # queries that go down the tree together
 
 
 def largest(width: int) -> int:
@@ -121,16 +121,29 @@ class Gnat:
         # the largest lower bound that any split point gives a child, rounded down
         bound = np.stack([np.maximum(lows[:, j] - up, down - highs[:, j]).max(axis=1) for j in range(len(children))], axis=1)
         bound -= 1e-15 * np.abs(up).max(axis=1)[:, None] + 1e-15 * highs.max(axis=0)
-        order = np.argsort(bound, axis=1, kind="stable")
-        # each query goes first where its bound is least
-        for turn in range(len(children)):
+        # each query goes to its likeliest child first, then to those that can still hold a nearer entry
+        first = bound.argmin(axis=1)
+        for again in (False, True):
             for j, (_, child) in enumerate(children):
-                now = np.flatnonzero(order[:, turn] == j)
+                now = np.flatnonzero((first != j) if again else (first == j))
                 now = now[bound[now, j] <= high(best[rows[now]])]
                 if len(now):
                     self._visit(child, x, rows[now], index, best)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BLOCK rows or BLOCK_BYTES, as one step down the tree takes many."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= BLOCK or size >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def usable(column: str = "embedding") -> Column:
     """Whether a vector is there and all its components are finite numbers."""
     bad = F.exists(column, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
@@ -158,7 +171,7 @@ def fit(rows: DataFrame, dimension: int) -> list[np.ndarray]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros((PARTS, ENTRIES), np.int64)
             total = np.zeros((PARTS, ENTRIES, width), np.int64)
-            for batch in batches:
+            for batch in blocks(batches):
                 x = _matrix(batch.column(0), dimension)
                 for p, tree in enumerate(trees.value):
                     part = x[:, p * width:(p + 1) * width]
@@ -189,7 +202,7 @@ def encode(rows: DataFrame, books: list[np.ndarray], dimension: int) -> DataFram
     names = rows.columns
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             column = batch.column(names.index("whole"))
             there = np.asarray(column.is_valid())
             code, error = np.full(len(there), None, object), np.zeros(len(there), np.int64)

@@ -276,7 +276,7 @@ def _rules_sql_fold() -> str:
           "coalesce(tags, CAST([] AS VARCHAR[])) AS tags, " \
           "len(coalesce(tags, CAST([] AS VARCHAR[]))) AS n0 FROM tx_view"
     for rid, _name, cond, tags, enabled, _order in sorted(config.RULE_ROWS, key=lambda r: r[5]):
-        if not enabled or not tags or "no_such_column" in cond:
+        if not enabled or not tags or rid in config.BROKEN_RULES:
             continue
         arr = "[" + ", ".join(f"'{t}'" for t in tags) + "]"
         sql = (f"SELECT * REPLACE (CASE WHEN coalesce(({cond}), false) THEN tags || "
@@ -312,7 +312,7 @@ def _rule_stats_sql() -> str:
     for rid, _name, cond, tags, enabled, order in sorted(config.RULE_ROWS, key=lambda r: r[5]):
         if not enabled:
             continue
-        if "no_such_column" in cond:
+        if rid in config.BROKEN_RULES:
             invalid.append((rid, order))
             continue
         valid.append((rid, order))
@@ -377,7 +377,7 @@ MATCH_RANGE = ("1996-06-01", "1996-06-30")
 def _rules_match_sql() -> str:
     parts = []
     for rid, _name, cond, _tags, enabled, _order in config.RULE_ROWS:
-        if not enabled or "no_such_column" in cond:
+        if not enabled or rid in config.BROKEN_RULES:
             continue
         parts.append(f"SELECT transaction_id, '{rid}' AS rule_id FROM ids WHERE coalesce(({cond}), false)")
     body = "\nUNION ALL\n".join(parts)

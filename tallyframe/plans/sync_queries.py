@@ -214,7 +214,7 @@ def sync_window(spark, d):
 def _fold_sql(inner: str) -> str:
     sql = inner
     for rid, _name, cond, tags, enabled, _order in sorted(config.RULE_ROWS, key=lambda r: r[5]):
-        if not enabled or not tags or "no_such_column" in cond:
+        if not enabled or not tags or rid in config.BROKEN_RULES:
             continue
         arr = "[" + ", ".join(f"'{t}'" for t in tags) + "]"
         sql = (f"SELECT * REPLACE (CASE WHEN coalesce(({cond}), false) THEN tags || "

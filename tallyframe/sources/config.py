@@ -55,8 +55,15 @@ RULE_ROWS = [
     ("r6", "disabled", "amount > 0", ["never"], False, 6),
     ("r7", "no tags", "amount > 0", [], True, 7),
     ("r8", "broken", "no_such_column > 1", ["broken"], True, 8),
+    ("r10", "bad cast", "CAST(description AS INT) > 5", ["broken"], True, 10),
+    ("r11", "aggregate", "count(*) > 0", ["broken"], True, 11),
+    ("r12", "other aggregate", "max(amount) > 0", ["broken"], True, 12),
+    ("r13", "own error", "amount > 0 AND raise_error('no') IS NULL", ["broken"], True, 13),
+    ("r14", "other code", "java_method('java.lang.Math', 'abs', 1) = '1'", ["broken"], True, 14),
     ("r9", "cash", "description LIKE 'SIGNUP%' OR description LIKE 'PURCHASE%'", ["cash"], True, 9),
 ]
+# those that are skipped whole (known for the oracle's sake)
+BROKEN_RULES = {"r8", "r10", "r11", "r12", "r13", "r14"}
 RULE_SCHEMA = ("rule_id string, name string, sql_condition string, tags array<string>, "
                "enabled boolean, sort_order int")
 

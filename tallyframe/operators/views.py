@@ -1,10 +1,10 @@
 """Enriched views and lookups.
 
 The accounts table is the dimension: one row per account, orders of magnitude
-smaller than the transaction fact table. It is joined with a plain join and left
-to AQE, which turns it into a broadcast at run time when its measured size is
-under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps a shuffled
-join otherwise; no unchecked broadcast hint on a table that grows with the data.
+smaller than the transaction fact table. It is joined without a hint: Spark broadcasts
+it where its measured size is under the threshold. Where it is not, rows are dealt by
+account and a salt (each account stands once for each salt), so a hot account's
+rows are spread over SALTS tasks, in the join and in an aggregate above it.
 """
 
 from __future__ import annotations
@@ -37,6 +37,16 @@ def active(transactions: DataFrame) -> DataFrame:
     return transactions.where(F.col("deleted_at").isNull())
 
 
+SALTS = 8
+
+
+def with_accounts(rows: DataFrame, accounts: DataFrame, row_id: str) -> DataFrame:
+    """The rows with the columns of their account (null where there is none)."""
+    salted = accounts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.hash(row_id), F.lit(SALTS))
+    return rows.withColumn("_salt", salt).join(salted, ["account_id", "_salt"], "left").drop("_salt")
+
+
 def transactions_view(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Non-deleted transactions + account columns + source."""
     acc = accounts.select(
@@ -46,7 +56,7 @@ def transactions_view(transactions: DataFrame, accounts: DataFrame) -> DataFrame
         F.col("currency").alias("account_currency"),
         "institution_name",
     )
-    return active(transactions).join(acc, "account_id", "left").withColumn("source", source_label())
+    return with_accounts(active(transactions), acc, "transaction_id").withColumn("source", source_label())
 
 
 def classification(account_type: Column, override: Column | None = None) -> Column:

@@ -317,3 +317,31 @@ def test_every_type_has_json(spark):
 
 def test_parameters_as_values():
     assert [sql.parameter(v) for v in (["a", 1, None, True], {"a": [1]}, "x", 2.5, None)] == ["a,1,null,true", '{"a":[1]}', "x", 2.5, None]
+
+
+
+@pytest.mark.parametrize("text", ["SELECT account_id, count(*) AS n FROM transactions GROUP BY account_id HAVING count(*) > 12",
+                                  "SELECT account_id, sum(amount) AS n FROM transactions GROUP BY account_id"])
+def test_a_hot_account_is_split_under_an_aggregate(spark, sf_small, text):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    session.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    acc = ledger.accounts(session, sf_small)
+    views.transactions_view(ledger.transactions(session, sf_small), acc).createOrReplaceTempView("transactions")
+    # the account's name is used, so the join stays
+    text = text.replace("account_id,", "account_id, max(account_name) AS name,")
+    plan = session.sql(text)._jdf.queryExecution().executedPlan().toString()
+    kinds = [k for line in plan.split("\n") for k in ("HashAggregate", "SortAggregate", "Exchange hashpartitioning", "SortMergeJoin") if k in line]
+    # from the top: the final aggregate, an exchange, the partial one, and only then the join
+    assert kinds[:4] == ["SortAggregate", "Exchange hashpartitioning", "SortAggregate", "SortMergeJoin"] or \
+        kinds[:4] == ["HashAggregate", "Exchange hashpartitioning", "HashAggregate", "SortMergeJoin"], plan
+    assert "_salt" in plan
+
+
+def test_salted_join_equals_a_plain_one(spark, sf_small):
+    tx, acc = ledger.transactions(spark, sf_small), ledger.accounts(spark, sf_small)
+    named = acc.select("account_id", F.col("name").alias("account_name"))
+    got = views.transactions_view(tx, acc).select("transaction_id", "account_id", "account_name")
+    want = views.active(tx).join(named, "account_id", "left").select("transaction_id", "account_id", "account_name")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)

@@ -2,14 +2,18 @@
 
 Plain parquet tables have no MERGE / UPDATE / DELETE; each function returns
 the next version of a table, which the caller writes as a new version
-directory. Merges join the touched rows with the batch and apply per-column
-precedence (no row-at-a-time upserts).
+directory, or the parts it touches of a table stored by key. Merges join the table with
+one row per key of the batch and apply per-column precedence (no row-at-a-time upserts).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import materialize
+from .known import may_be_in
 
 # Per-column precedence of the account upsert (M1).
 ACCOUNT_PRECEDENCE = {
@@ -47,42 +51,78 @@ def _resolve(col: str, rule: str, has_e: Column, has_i: Column) -> Column:
     return F.when(has_e, e).otherwise(i)  # "existing": never overwritten
 
 
+def one_per_key(incoming: DataFrame, key: str, precedence: dict[str, list[str]], order: list[str] | None = None) -> DataFrame:
+    """A batch with one row per key, as if its rows were merged one after the other in the order
+    of ``order`` (``updated_at`` if there, then all columns): by precedence the last value,
+    the last or first one that isn't null, or the first one."""
+    order = order or sorted((c for c in incoming.columns if c != key), key=lambda c: c != "updated_at")
+    at = F.struct(*order)
+    rule_of = {c: r for r, cs in precedence.items() for c in cs}
+
+    def value(c: str) -> Column:
+        rule, given = rule_of.get(c, "incoming"), F.when(F.col(c).isNotNull(), at)
+        return {"incoming": F.max_by(c, at), "incoming_first": F.max_by(c, given),
+                "existing_first": F.min_by(c, given), "existing": F.min_by(c, at)}[rule].alias(c)
+    return incoming.groupBy(key).agg(*[value(c) for c in incoming.columns if c != key])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str,
-           precedence: dict[str, list[str]]) -> DataFrame:
-    """The next version of a table: rows without a change as they are (an anti join
-    against the keys of the batch, which Spark broadcasts where they measure small), and the
-    touched and new rows by per-column precedence. Columns missing on one side are taken
-    as null there; columns in no rule keep the incoming value on a match."""
+           precedence: dict[str, list[str]], order: list[str] | None = None) -> DataFrame:
+    """The next version of a table: its rows, those with a row in the batch by per-column
+    precedence, and the new rows. A key that the batch has twice counts as merged twice.
+    Columns missing on one side are taken as null there; columns in no rule keep the incoming
+    value on a match.
+
+    The table is joined once, with one row per key of the batch (broadcast where that measures
+    small); new rows are told by the few keys of the table that may be in the batch."""
     cols = [c for c in existing.columns if c != key]
-    for c in incoming.columns:
-        if c != key and c not in cols:
-            cols.append(c)
-    e = existing.withColumn("_e", F.lit(True))
-    i = incoming.withColumn("_i", F.lit(True))
-    for c in cols:
-        if c not in existing.columns:
-            e = e.withColumn(c, F.lit(None).cast(incoming.schema[c].dataType))
-        if c not in incoming.columns:
-            i = i.withColumn(c, F.lit(None).cast(existing.schema[c].dataType))
-    keys = incoming.select(key)
-    touched = e.join(keys.distinct(), key, "left_semi")
-    j = touched.alias("e").join(i.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "right")
-    has_e, has_i = F.col("e._e").isNotNull(), F.col("i._i").isNotNull()
+    cols += [c for c in incoming.columns if c != key and c not in cols]
+    batch = materialize(one_per_key(incoming, key, precedence, order))
+    e = existing.select(key, *[F.col(c) if c in existing.columns else F.lit(None).cast(incoming.schema[c].dataType).alias(c) for c in cols])
+    i = batch.select(key, F.lit(True).alias("_i"), *[F.col(c) if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in cols])
     rule_of = {c: r for r, cs in precedence.items() for c in cs}
-    out = [F.coalesce(F.col(f"e.{key}"), F.col(f"i.{key}")).alias(key)]
-    out += [_resolve(c, rule_of.get(c, "incoming"), has_e, has_i).alias(c) for c in cols]
-    untouched = e.join(keys, key, "left_anti").select(key, *cols)
-    return untouched.unionByName(j.select(*out))
+    merged = e.alias("e").join(i.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "left").select(
+        F.col(f"e.{key}").alias(key), *[_resolve(c, rule_of.get(c, "incoming"), F.lit(True), F.col("i._i").isNotNull()).alias(c) for c in cols])
+    new = i.drop("_i").join(may_be_in(existing.select(key), key, batch), key, "left_anti")
+    return merged.unionByName(new)
 
 
-def merge_accounts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_accounts(existing: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
     """M1."""
-    return upsert(existing, incoming, "account_id", ACCOUNT_PRECEDENCE)
+    return upsert(existing, incoming, "account_id", ACCOUNT_PRECEDENCE, order)
 
 
-def merge_transactions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_transactions(existing: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:
     """M2."""
-    return upsert(existing, incoming, "transaction_id", TRANSACTION_PRECEDENCE)
+    return upsert(existing, incoming, "transaction_id", TRANSACTION_PRECEDENCE, order)
+
+
+def store(table: DataFrame, path: str, key: str, parts: int) -> None:
+    """The table as Parquet in ``parts`` folders by a hash of its key (a null key in one of its own).
+    Choose parts for some 256 MB each."""
+    (table.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartition("part")
+     .write.mode("overwrite").partitionBy("part").parquet(path))
+
+
+def merge_stored(spark: SparkSession, path: str, parts: int, schema: T.StructType, incoming: DataFrame, key: str,
+                 precedence: dict[str, list[str]], order: list[str] | None = None) -> list[int]:
+    """An upsert into a stored table: only the parts that the batch's keys fall into are read
+    and written again (a part is replaced when the new one is whole). Returns these parts.
+    ``schema`` is that of the table without ``part``; ``parts`` as in ``store``."""
+    batch = incoming.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most `parts` numbers
+    if touched:
+        new = upsert(stored(spark, path, schema, touched).select(*schema.names), incoming, key, precedence, order)
+        new = new.select(*schema.names).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        (new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("part").parquet(path))
+    return touched
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType, parts: list[int] | None = None) -> DataFrame:
+    """A stored table, or some of its parts (pruned before files are read)."""
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(path)
+    return df if parts is None else df.where(F.col("part").isin(parts))
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -159,8 +159,7 @@ def dedup_fingerprint(spark, d):
     """Rows of this import already in the ledger by fingerprint."""
     rows = _rows(spark, d, shared=True)
     existing, _ = _existing(spark, d, rows)
-    fps = existing.where(F.col("csv_fingerprint").isNotNull()).select(
-        F.col("csv_fingerprint").alias("fingerprint"))
+    fps = statements.known_fingerprints(rows, existing)
     return (rows.where(F.col("status") == "ok").join(fps, "fingerprint", "left_semi")
             .select("file_id", "pos", "fingerprint"))
 

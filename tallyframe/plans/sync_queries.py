@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, merge, sync, tagging, views
+from ..session import scratch_path
 from ..sources import config, ledger, providers, schedule
 from .oracle_views import with_views, with_views_ctes
-from .registry import query
+from .registry import ORACLES, query
 
 AS_OF = ledger.AS_OF
 AS_OF_TS = AS_OF + " 00:00:00"
@@ -278,7 +279,9 @@ FROM accounts e FULL OUTER JOIN inc i ON e.account_id = i.account_id"""))
 def merge_accounts(spark, d):
     """M1: ledger accounts upserted with the provider's view of them."""
     existing = ledger.accounts(spark, d).select(*_ACC_COLS)
-    merged = merge.merge_accounts(existing, _incoming_accounts(spark, d))
+    inc = _incoming_accounts(spark, d)
+    older = inc.withColumn("name", F.lit("older")).withColumn("updated_at", F.expr(f"TIMESTAMP_NTZ '{AS_OF_TS}' - INTERVAL 1 DAY"))
+    merged = merge.merge_accounts(existing, inc.unionByName(older), ["updated_at"])
     return merged.select("account_id", "name", "nickname", "account_type", "classification",
                          "currency", "institution_name", "institution_url", "sf_id", "is_manual",
                          "created_at", "updated_at")
@@ -310,20 +313,49 @@ def merge_transactions(spark, d):
     """M2: the provider batch upserted into the ledger; known provider ids
     refresh their ledger row (user flags and deleted_at kept), new ones insert."""
     tx = ledger.transactions(spark, d)
+    inc = _batch(spark, d, tx)
+    return _shown(merge.merge_transactions(tx.select(*_TX_COLS), _sent_twice(inc), ["updated_at", "amount"]))
+
+
+def _batch(spark, d, tx):
+    """The provider's first row per id under its ledger id, or a new one."""
     first = dedup.first_per_key(_synced_tx(spark, d), "sf_id", ["payload_id", "tx_pos"])
     known = tx.where(F.col("sf_id").isNotNull()).select("transaction_id", "sf_id")
-    inc = first.join(known, "sf_id", "left").select(
+    return first.join(known, "sf_id", "left").select(
         F.coalesce(F.col("transaction_id"), F.concat(F.lit("tx-"), F.col("sf_id"))).alias("transaction_id"),
         "account_id", "amount", "description", "transaction_date", "tags", "sf_id",
         F.lit(False).alias("is_manual"), F.lit(False).alias("tags_auto_applied"),
         F.expr(f"TIMESTAMP_NTZ '{AS_OF_TS}'").alias("created_at"),
         F.expr(f"TIMESTAMP_NTZ '{AS_OF_TS}'").alias("updated_at"))
-    merged = merge.merge_transactions(tx.select(*_TX_COLS), inc)
+
+
+def _sent_twice(batch):
+    """The batch, with an older and wrong version of every row before it."""
+    older = batch.withColumn("amount", F.lit(0).cast("decimal(15,2)")).withColumn("description", F.lit("older")) \
+        .withColumn("updated_at", F.expr(f"TIMESTAMP_NTZ '{AS_OF_TS}' - INTERVAL 1 DAY"))
+    return batch.unionByName(older)
+
+
+def _shown(merged):
     return merged.select("transaction_id", "account_id", "amount", "description", "transaction_date",
                          F.array_join("tags", "|").alias("tags"), "is_manual", "tags_auto_applied",
                          "deleted_at", "sf_id")
 
 
+STORED_PARTS = 16
+
+
+@query("merge_stored", ORACLES["merge_transactions"])
+def merge_stored(spark, d):
+    """M2 on a table stored by key: only the parts that the batch falls into are written again."""
+    tx = ledger.transactions(spark, d).select(*_TX_COLS)
+    path = scratch_path(spark, "ledger")
+    merge.store(tx, path, "transaction_id", STORED_PARTS)
+    merge.merge_stored(spark, path, STORED_PARTS, tx.schema, _sent_twice(_batch(spark, d, tx)), "transaction_id",
+                       merge.TRANSACTION_PRECEDENCE, ["updated_at", "amount"])
+    return _shown(merge.stored(spark, path, tx.schema))
+
+
 @query("insert_if_absent", _sql("""
 SELECT transaction_id, account_id, amount, false AS inserted FROM transactions
 UNION ALL

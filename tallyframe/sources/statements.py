@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import flip_sign, parse_amount, resolve_debit_credit
 from ..functions.dates import end_of_day, parse_date
 from ..functions.text import fingerprint
+from ..operators.known import may_be_in
 from .tables import table
 
 # Header patterns for column auto-detection (lower-case
@@ -214,12 +215,17 @@ def file_errors(lines: DataFrame, manifest: DataFrame, accounts: DataFrame) -> D
             .select("file_id", "account_id", error.alias("error")).where("error is not null"))
 
 
+def known_fingerprints(rows: DataFrame, ledger_transactions: DataFrame) -> DataFrame:
+    """The ledger's fingerprints that may be among those of the rows; only these are shuffled."""
+    known = ledger_transactions.where(F.col("csv_fingerprint").isNotNull()).select(F.col("csv_fingerprint").alias("fingerprint"))
+    return may_be_in(known, "fingerprint", rows.where(F.col("status") == "ok")).distinct()
+
+
 def new_rows(rows: DataFrame, ledger_transactions: DataFrame) -> DataFrame:
     """Ok rows whose fingerprint is not yet in the ledger (any batch,
     deleted rows included) nor in an earlier file of this import, in file order.
     Duplicates inside the same file are all kept."""
-    existing = ledger_transactions.where(F.col("csv_fingerprint").isNotNull()) \
-        .select(F.col("csv_fingerprint").alias("fingerprint")).distinct()
+    existing = known_fingerprints(rows, ledger_transactions)
     ok = rows.where(F.col("status") == "ok")
     first = ok.groupBy("fingerprint").agg(F.min("file_id").alias("first_file"))
     return (ok.join(first, "fingerprint").where(F.col("file_id") == F.col("first_file")).drop("first_file")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, text
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources import ledger, statements
 from .oracle_views import sql_fingerprint, sql_norm_description, with_views_ctes
 from .registry import query
@@ -189,6 +189,23 @@ def stmt_eod_snapshots(spark, d):
         "file_id", "account_id", "day", "balance", "snapshot_time")
 
 
+@query("stmt_files", _stmt_sql("""
+SELECT file_id, transaction_date, amount, description, CAST(balance AS DECIMAL(15,2)) AS balance, status FROM ex"""))
+def stmt_files(spark, d):
+    """I1, I2, I5 over files: the statements written as files (line ends LF, CR LF or CR, some with a byte
+    order mark) and read by the file reader."""
+    lines, man = _stmt(spark, d)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    kind = F.pmod(F.hash("file_id"), F.lit(4))
+    end = F.when(kind == 0, "\r").when(kind == 1, "\r\n").otherwise("\n")
+    files = lines.groupBy("file_id").agg(text.alias("value")).select("file_id", F.concat(
+        F.when(kind >= 2, "").otherwise("\ufeff"), F.replace(F.col("value"), F.lit("\n"), end)).alias("value"))
+    path = scratch_path(spark, "statements")
+    files.write.partitionBy("file_id").text(path)
+    read = statements.read_statement_files(spark, path, "file_id")
+    return statements.parse_rows(read, man).select("file_id", "transaction_date", "amount", "description", "balance", "status")
+
+
 @query("stmt_counts", _stmt_sql("""
 SELECT e.file_id, count(*) FILTER (WHERE status = 'ok') AS discovered,
   coalesce(max(n.imported), 0) AS imported,

@@ -83,7 +83,10 @@ def materialize(df):
     A reliable checkpoint: the rows are written once under the cluster's
     shared ``spark.checkpoint.dir`` and read back, so later stages neither
     recompute the upstream work nor depend on the executors that produced it
-    (never a local checkpoint, which dies with its executor).
+    (never a local checkpoint, which dies with its executor). Rows that are cut already
+    are returned as they are.
     """
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRDD":
+        return df
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -22,6 +22,7 @@ from ..functions.amounts import flip_sign, parse_amount, resolve_debit_credit
 from ..functions.dates import end_of_day, parse_date
 from ..functions.text import fingerprint
 from ..operators.known import may_be_in
+from ..session import materialize
 from .tables import table
 
 # Header patterns for column auto-detection (lower-case
@@ -86,20 +87,21 @@ def clean_header(fields: Column) -> Column:
     return F.transform(fields, lambda h: F.regexp_replace(F.trim(h), "^#+", ""))
 
 
-# One CSV record: fields up to a line break or the end of the file. A quote opens a quoted
+# One CSV record: fields up to a line break (CR LF, CR or LF) or the end of the file. A quote opens a quoted
 # field (which may span lines) only where a field starts; elsewhere it is ordinary text.
 _FILE_FIELD = r'(?:"(?:[^"]++|"")*+"[^,;\t\r\n]*+|[^,;\t\r\n]*+)'
-RECORD = rf'({_FILE_FIELD}(?:[,;\t]{_FILE_FIELD})*+)(?:\r?\n|$)'
+RECORD = rf'({_FILE_FIELD}(?:[,;\t]{_FILE_FIELD})*+)(?:\r\n|\r|\n|$)'
 
 
-def read_statement_files(spark: SparkSession, paths) -> DataFrame:
-    """I1 source: statement files -> (file_id, pos, line).
+def read_statement_files(spark: SparkSession, paths, file_id: str = "_metadata.file_path") -> DataFrame:
+    """I1 source: statement files -> (file_id, pos, line); ``file_id`` may be a column that the
+    folders name. A byte order mark at the start of a file is no text.
 
     Records are cut with a CSV record pattern rather than at every line break,
     so a quoted field with an embedded newline stays one record.
     """
     raw = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file_id"), "value")
+        F.col(file_id).alias("file_id"), F.regexp_replace("value", "^\\x{feff}", "").alias("value"))
     return raw.select("file_id", F.posexplode(
         F.regexp_extract_all("value", F.lit(RECORD), 1)).alias("pos", "line"))
 
@@ -225,8 +227,8 @@ def new_rows(rows: DataFrame, ledger_transactions: DataFrame) -> DataFrame:
     """Ok rows whose fingerprint is not yet in the ledger (any batch,
     deleted rows included) nor in an earlier file of this import, in file order.
     Duplicates inside the same file are all kept."""
-    existing = known_fingerprints(rows, ledger_transactions)
-    ok = rows.where(F.col("status") == "ok")
+    ok = materialize(rows).where(F.col("status") == "ok")  # read three times
+    existing = known_fingerprints(ok, ledger_transactions)
     first = ok.groupBy("fingerprint").agg(F.min("file_id").alias("first_file"))
     return (ok.join(first, "fingerprint").where(F.col("file_id") == F.col("first_file")).drop("first_file")
             .join(existing, "fingerprint", "left_anti"))
@@ -283,16 +285,27 @@ def end_of_day_snapshots(rows: DataFrame, existing_snapshots: DataFrame) -> Data
 def _with_running(rows: DataFrame) -> DataFrame:
     """ok rows in preview order (newest day first, file order reversed within a day) with
     preview_rank, n_bal (balances in the file) and running_balance: the anchor less all
-    that came after the row, up to the anchor's date. One exchange by file serves all."""
-    newest = Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc(), F.col("pos").desc())
-    later = newest.rowsBetween(Window.unboundedPreceding, -1)
+    that came after the row, up to the anchor's date.
+
+    Two levels: counts and sums per (file, day) give each day's offsets by a window over the
+    days of a file; rows are ordered inside one day alone."""
+    ok = materialize(rows).where(F.col("status") == "ok")
     counted = F.col("transaction_date") <= F.col("anchor_date")
-    after = F.coalesce(F.sum(F.when(counted, F.col("amount"))).over(later), F.lit(0))
-    return (rows.where(F.col("status") == "ok")
-            .withColumn("preview_rank", F.row_number().over(newest).cast("bigint"))
-            .withColumn("n_bal", F.count("balance").over(Window.partitionBy("file_id")))
-            .withColumn("running_balance", F.when(
-                (F.col("n_bal") == 0) & counted, (F.col("anchor_balance") - after).cast("decimal(18,2)"))))
+    amount = F.when(counted, F.col("amount"))
+    days = ok.groupBy("file_id", "transaction_date").agg(
+        F.count("*").alias("n"), F.count("balance").alias("n_day_bal"), F.sum(amount).alias("day_amount"))
+    newer = Window.partitionBy("file_id").orderBy(F.col("transaction_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("file_id", "transaction_date", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("rank_before"),
+                       F.coalesce(F.sum("day_amount").over(newer), F.lit(0)).alias("amount_after"),
+                       F.sum("n_day_bal").over(Window.partitionBy("file_id")).alias("n_bal"))
+    day = Window.partitionBy("file_id", "transaction_date").orderBy(F.col("pos").desc())
+    after = F.coalesce(F.sum(amount).over(day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (ok.withColumn("day_rank", F.row_number().over(day)).withColumn("day_after", after)
+            .join(days, ["file_id", "transaction_date"])
+            .withColumn("preview_rank", (F.col("rank_before") + F.col("day_rank")).cast("bigint"))
+            .withColumn("running_balance", F.when((F.col("n_bal") == 0) & counted, (
+                F.col("anchor_balance") - F.col("amount_after") - F.col("day_after")).cast("decimal(18,2)")))
+            .select(*rows.columns, "preview_rank", "n_bal", "running_balance"))
 
 
 def running_balance(rows: DataFrame) -> DataFrame:

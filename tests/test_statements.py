@@ -154,3 +154,34 @@ def test_overlapping_files_and_unusable_files(spark):
     assert out.snapshots.select("snapshot_id").distinct().count() == 3
     errors = {os.path.basename(r.file_id): r.error for r in out.errors.collect()}
     assert errors == {"c.csv": "amount column not found", "e.csv": "account not found"}
+
+
+def test_line_ends_and_byte_order_mark(spark, tmp_path):
+    rows = ["Date,amount,description", "2024-01-01,5.00,Tea", '2024-01-02,6.00,"two\rlines"', "2024-01-03,7.00,Milk"]
+    for name, end, mark in [("cr", "\r", ""), ("crlf", "\r\n", "﻿"), ("lf", "\n", "﻿"), ("mixed", None, "")]:
+        path = tmp_path / f"{name}.csv"
+        text = end.join(rows) if end else rows[0] + "\r\n" + rows[1] + "\r" + rows[2] + "\n" + rows[3]
+        path.write_bytes((mark + text).encode())
+        lines = statements.read_statement_files(spark, str(path))
+        man = _manifest(spark, str(path), date_col="Date")
+        got = sorted((str(r.transaction_date), str(r.amount), r.description, r.status) for r in statements.parse_rows(lines, man).collect())
+        assert got == [("2024-01-01", "5.00", "Tea", "ok"), ("2024-01-02", "6.00", "two\rlines", "ok"), ("2024-01-03", "7.00", "Milk", "ok")], name
+        assert statements.ragged_counts(lines, man).count() == 0
+
+
+def test_running_balance_orders_no_whole_file(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text("date,amount,description\n" + "".join(f"2024-01-{1 + i % 9:02},{i}.50,d{i}\n" for i in range(60)))
+    man = _manifest(spark, str(path), anchor_balance=Decimal("1000.00"), anchor_date=__import__("datetime").date(2024, 1, 7))
+    rows = statements.parse_rows(statements.read_statement_files(spark, str(path)), man)
+    got = {r.pos: (r.preview_rank, r.balance) for r in statements.preview(rows).collect()}
+    order = sorted(range(60), key=lambda i: (1 + i % 9, i), reverse=True)
+    left, want = Decimal("1000.00"), {}
+    for rank, i in enumerate(order, 1):
+        counted = 1 + i % 9 <= 7
+        want[i + 1] = (rank, left if counted else None)
+        left -= Decimal(f"{i}.50") if counted else 0
+    assert got == want
+    plan = statements.running_balance(rows)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert len(windows) >= 2 and all("[file_id" not in w or "transaction_date" in w or "sum(n" in w or "day_amount" in w for w in windows)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from . import text as X
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000  # words a worker remembers, some 36 bytes each
 SPECIAL = b"<|"
 _kind = np.zeros(256, np.uint8)  # 1 ASCII letters, 2 ASCII marks but the apostrophe, 0 the rest
 _kind[[*range(65, 91), *range(97, 123)]] = 1
@@ -77,11 +77,12 @@ class WordIds:
         flat = np.concatenate([x for x, _ in found])
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, flat])
-        hashes = np.concatenate([self.hashes, hashes])
+        # the known words stay sorted: the new ones are put in place
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.at = np.insert(self.at, place, at[order])
+        self.size = np.insert(self.size, place, size[order])
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):

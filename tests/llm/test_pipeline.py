@@ -1,9 +1,13 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import random
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 from tallyframe.llm import jaccard, repeats
 
+
+from .conftest import sentence
 from .test_operators import brute_jaccard, brute_repeats, check_packed
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +56,20 @@ def test_stages_on_odd_rows(spark, odd):
     for _, stage in P.STAGES:
         assert stage(spark, none, SF).count() == 0
     assert jaccard.WORDS == 5 and repeats.LENGTH == 50
+
+
+def test_near_copies_keep_every_other_text(spark):
+    rnd = random.Random(9)
+    a, b, c = (sentence(rnd, 80) for _ in range(3))
+    near = " ".join([*a.split()[:70], "end", *a.split()[70:]])
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, c), (None, c), (5, c), (None, near), (7, None), (8, ""), (None, None), (3, sentence(rnd, 80)), (None, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in P.keep_first_of_near_copies(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (5, c), (7, None), (8, ""), (None, None), rows[12], rows[13]], key=str)
+
+
+def test_copies_without_a_number_leave_one(spark):
+    rnd = random.Random(10)
+    texts = [sentence(rnd, 60) for _ in range(40)]
+    docs = spark.createDataFrame([(None, t, "en", "s", 1) for t in texts for _ in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in P.keep_first_of_near_copies(spark, docs, SF).collect()) == sorted(texts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import jaccard, language, packing, quality, repeats
 from tallyframe.llm.queries import remainder
-from tallyframe.llm.tables import split_by, written
+from tallyframe.llm.tables import may_be_in, split_by, written
 from tallyframe.llm.text import set_up
 
 # packing has no SQL form; the tests hold the stages against brute force
@@ -41,16 +41,26 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest number of each group of near copies. Rows with a null
-    number stay; of rows equal in number and text one stays."""
+    """The document of the smallest number of each group of near copies, rows without a number
+    after all others. A row is known by its number and the hash of its text, so of two texts under
+    one number only the copy goes; of rows equal in number and text one stays. Texts without
+    words (null ones too) are copies of nothing."""
     set_up(spark)
-    found = written(jaccard.join(docs), "near_copies")
-    copies = found.where("doc_id != component_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    found = written(jaccard.join(docs.select(row.alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "near_copies")
+    linked = found.where("row != component_id").distinct()
+    # the rows of all groups of two or more, with their numbers
+    grouped = linked.union(linked.select(F.col("component_id").alias("row"), "component_id").distinct())
+    numbers = may_be_in(docs.select(row.alias("row"), "doc_id"), "row", grouped.select("row")).distinct()
+    grouped = written(grouped.join(numbers, "row"), "near_groups")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"))
+    copies = grouped.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("row")
+    again = found.groupBy("row").count().where("count > 1").select("row")
     # only rows that may be copies are shuffled to the joins that decide
-    perhaps, kept = split_by(docs, "doc_id", copies.union(again))
-    perhaps = perhaps.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    return perhaps.dropDuplicates(["doc_id", "text"]).union(kept)
+    marked = docs.select(F.struct(*docs.columns).alias("own"), row.alias("row"))
+    perhaps, kept = split_by(marked, "row", copies.union(again))
+    perhaps = perhaps.join(copies, "row", "left_anti").dropDuplicates(["row"])
+    return perhaps.select("own.*").union(kept.select("own.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ block size; likeness is 1 - distance / length of the longer, and 0 at other bloc
 Defined cases: a null text counts as empty; an empty text has empty signatures and two
 of them have likeness 1; equal texts have equal fingerprints; the last of SIGNATURE
 characters stands for all the rest of a text, so texts of any length are hashed whole. The
-next document is the one that follows by (doc_id, text), nulls first; after the last
-comes the first, so one row alone is its own next. Of the input doc_id and text are used.
+next document is the one that follows by (doc_id, hash of the text, text), nulls first; after the
+last comes the first, so one row alone is its own next. Of the input doc_id and text are used.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _chained(batches):
-    """Rows sorted by (range, ahead, key, text); a row ahead is the first of the next range."""
+    """Rows sorted by (range, ahead, key, hash, text); rows ahead are the first of the next range."""
     rows: list[tuple] = []
     size, last = 0, None  # last: (range, doc_id, text) of the row whose next isn't known yet
     for batch in batches:
@@ -227,28 +227,38 @@ def _chained(batches):
 def fingerprint(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited (the text), both fingerprints and their likenesses.
 
-    Documents go to ranges of doc_id, cut at approximate quantiles; the first document of
+    Documents go to ranges of doc_id, cut at approximate quantiles; a doc_id (or the rows without
+    one) that fills several ranges is cut again by the hash of its texts. The first document of
     each range also goes, marked ahead, to the range before it. Only ids and one row for
     each range pass through the driver."""
     spark = docs.sparkSession
     ranges = ranges or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"))
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"), F.xxhash64("text").alias("hash"))
     cuts = docs.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []))
-    edges = np.array(cuts, np.int64)
+    edge_keys, parts = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+    # the number of ranges below a key, and the width in hashes of each range of a key
+    below = np.concatenate([[0], np.cumsum(parts)])
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32))
-
-    docs = docs.withColumn("range", range_of("key"))
-    firsts = [(r["range"], r["key"]) for r in docs.groupBy("range").agg(F.min("key").alias("key")).orderBy("range").collect()]
-    before = spark.createDataFrame([(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)], "key long, ahead_of int")
-    spread = (docs.join(F.broadcast(before), "key", "left")
+    def range_of(key: pd.Series, hashed: pd.Series) -> pd.Series:
+        key = key.to_numpy()
+        at = np.searchsorted(edge_keys, key, side="left")
+        own = np.append(edge_keys, 0)[at] == key
+        own &= at < len(edge_keys)
+        n = np.append(parts, 1)[at]
+        # a key of m cuts begins m ranges; those beyond its first split its hashes evenly
+        share = ((hashed.to_numpy() >> 32) + (1 << 31)) * n >> 32
+        return pd.Series((below[at] + np.where(own, 1 + share, 0)).astype(np.int32))
+
+    docs = docs.withColumn("range", range_of("key", "hash"))
+    firsts = [(r["range"], r["first"]["key"], r["first"]["hash"]) for r in
+              docs.groupBy("range").agg(F.min(F.struct("key", "hash")).alias("first")).orderBy("range").collect()]
+    before = spark.createDataFrame([(key, h, firsts[i - 1][0]) for i, (_, key, h) in enumerate(firsts)], "key long, hash long, ahead_of int")
+    spread = (docs.join(F.broadcast(before), ["key", "hash"], "left")
               .withColumn("to", F.explode(F.when(F.col("ahead_of").isNull(), F.array(F.struct("range", F.lit(False).alias("ahead"))))
                                           .otherwise(F.array(F.struct("range", F.lit(False).alias("ahead")),
                                                              F.struct(F.col("ahead_of").alias("range"), F.lit(True).alias("ahead"))))))
-              .select("to.range", "to.ahead", "key", "doc_id", "text"))
-    return (spread.repartition("range").sortWithinPartitions("range", "ahead", "key", "text")
+              .select("to.range", "to.ahead", "key", "hash", "doc_id", "text"))
+    return (spread.repartition("range").sortWithinPartitions("range", "ahead", "key", "hash", "text")
             .select("range", "ahead", "doc_id", "text").mapInArrow(_chained, SCHEMA))

@@ -23,7 +23,8 @@ MIN_LANGUAGE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls good; it learns from the labels of its training rows."""
+    """Documents that the classifier calls good; it learns from the labels of its training rows.
+    Null and empty texts are scored as others are."""
     set_up(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     train = docs.where(F.coalesce(remainder("doc_id", 3) != 1, F.lit(True)))
@@ -32,12 +33,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows: not undetermined, and more likely than not."""
+    """Documents in a language that the model knows: not undetermined (null and empty texts and
+    those without letters are), more likely than not, and not less probable than texts of that
+    language are. Three folds of documents teach the model, a fourth one its bounds."""
     set_up(spark)
-    train = docs.where(F.coalesce(remainder("doc_id", 5) != 0, F.lit(True)))
-    model = language.fit(train.select("doc_id", "text", "lang"))
+    fold = F.coalesce(remainder("doc_id", 5), F.lit(2))
+    labelled = docs.select("doc_id", "text", "lang")
+    model = language.with_bounds(language.fit(labelled.where(fold >= 2)), labelled.where(fold == 1))
     found = language.predict(_renamed(docs), model)
-    return _own(docs, found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE)))
+    return _own(docs, found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE) & F.col("familiar")))
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +75,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    """Pieces of sequences of 2048 ids: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    Null and empty texts are the end id alone; an empty table gives no pieces."""
     set_up(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 

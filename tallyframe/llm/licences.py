@@ -1,17 +1,20 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance from the nearest directory.
 
-Every line of a file (a header notice) and every whole file (a licence file) is a sparse
-vector over words: 1 + log of the count, times the inverse document frequency over all files.
-Its cosine to each template is taken, and the best over a threshold names the licence. Lines
-are compared to notices over the words of the notices; files are compared to notices and to the
-licences' whole texts (folder `licence_texts`) over the words of both. A
+Units of a file are sparse vectors over words: 1 + log of the count, times the inverse document
+frequency over all files. Its cosine to each template is taken, and the best over a threshold
+names the licence. Lines, and windows in the text of each notice's length around its rarest word
+(a notice may wrap over lines or stand inside a long one), are compared to notices over the words
+of the notices. A unit names a licence only if it has the words that tell its notice from the nearest
+notice of another licence (OWN of their weight), so an unknown version or sibling names none. Whole files are
+compared to notices and to the licences' whole texts (folder `licence_texts`) over the words of both. A
 licence file (of a usual name and a cosine over NAMED, or any over WHOLE) rules its
 directory and all below; a file without a notice of its own takes
 the licence of its nearest ancestor directory that has one, found by joins on path.
 
 Defined cases: null, empty and blank texts match nothing but can inherit; a null path has no
-directory; of several licence files in a directory the one of the smallest path rules; ties of
-cosine go to the template named first; equal rows are files of their own. Extra columns
+directory; of several licence files in a directory the one of the smallest path rules; equal
+rows are files of their own; notice_score is that of the best unit, those over the threshold that
+name none left out. Extra columns
 pass through; the result's columns replace those of the same names.
 """
 
@@ -29,7 +32,9 @@ from . import text as X
 
 NOTICE, WHOLE, NAMED = 0.6, 0.8, 0.35
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"  # names of licence files
-LINE_WORDS = 64  # a longer line is prose and is compared as a part of its whole file only
+OWN = 0.5  # share of the weight of a notice's own words that a unit needs
+LINE_WORDS = 64  # a longer line is far from every notice as a whole; its windows are compared
+BLOCK = 16_384  # units compared at once
 # notices and opening sentences of public licences (fixed values)
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
@@ -38,21 +43,49 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
-                "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+                "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+                "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+                "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+                "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                 "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+                 "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"],
+    "LGPL-2.0": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+                 "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+                 "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Released under the BSD License.",
+                     "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
                      "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": ["Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, Version 2.0.",
+                "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0.", "Mozilla Public License Version 2.0",
                 "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.",
+                        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-_MARKS = bytes(".,;:()\"'", "ascii")
-_names = [n for n, texts in TEMPLATES.items() for _ in texts]
-_notices = [t for texts in TEMPLATES.values() for t in texts]
+_MARKS = bytes(".,;:()\"'*#/", "ascii")
+# a name as it stands in a tag line; the GNU licences are followed by -only or -or-later
+_TAGS = [f"SPDX-License-Identifier: {n}{x}" for n in TEMPLATES for x in (["", "-only", "-or-later"] if "GPL" in n else [""])]
+_tags_of = lambda n: [t for t in _TAGS if t.split(": ")[1].removesuffix("-only").removesuffix("-or-later") == n]
+_names = [n for n, texts in TEMPLATES.items() for _ in [*texts, *_tags_of(n)]]
+_notices = [t for n, texts in TEMPLATES.items() for t in [*texts, *_tags_of(n)]]
+_licence_of = np.array([list(TEMPLATES).index(n) for n in _names])
 
 
 def _terms(data: np.ndarray) -> np.ndarray:
@@ -110,6 +143,48 @@ def _cosines(unit: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, templa
     return dot / np.sqrt(np.maximum(norm, 1e-12))[:, None]
 
 
+def _anchors(vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """For each notice its rarest word (place in the vocabulary), where it stands in it, and its
+    length in words; distinct rows."""
+    rows, hashes, *_ = _hashes(pa.array(_notices))
+    term = _lookup(vocabulary, hashes)
+    at = X.row_starts(rows, len(_notices))
+    own = [(int(term[a + k]), k, int(b - a)) for a, b in zip(at, at[1:]) for k in [int(idf[term[a:b]].argmax())]]
+    return np.array(sorted(set(own)))
+
+
+def _windows(rows: np.ndarray, line_term: np.ndarray, n: int, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows around rare words start and end; they do not leave their text."""
+    at = X.row_starts(rows, n)
+    rare = np.flatnonzero(np.isin(line_term, anchors[:, 0]))
+    of = line_term[rare]
+    starts, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for term, place, length in anchors.tolist():
+        found = rare[of == term]
+        starts.append(np.maximum(found - place, at[rows[found]]))
+        ends.append(np.minimum(found - place + length, at[rows[found] + 1]))
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _nearest(cos: np.ndarray, unit: np.ndarray, term: np.ndarray, idf: np.ndarray, notices: np.ndarray,
+             notice: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest notice of each unit and its cosine, 0 where it is over the threshold but the unit
+    lacks the words that the nearest notice of another licence lacks too."""
+    top = cos.argmax(axis=1)
+    best = cos[np.arange(len(cos)), top]
+    high = np.flatnonzero(best >= notice)
+    others = np.where(_licence_of == _licence_of[top[high], None], -1.0, cos[high])
+    number = np.full(len(cos), -1)
+    number[high] = np.arange(len(high))
+    has, weight = notices > 0, idf[:notices.shape[1]] ** 2
+    own = has[top[high]] & ~has[others.argmax(axis=1)]
+    here = np.zeros(own.shape, bool)
+    entry = (number[unit] >= 0) & (term >= 0)
+    here[number[unit[entry]], term[entry]] = True
+    best[high[(own & here) @ weight < OWN * (own @ weight)]] = 0.0
+    return top, best
+
+
 def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named: float = NAMED) -> DataFrame:
     """Adds notice_license, notice_score, file_license, inherited_license and license to files
     of columns path and text."""
@@ -143,38 +218,39 @@ def scan(files: DataFrame, notice: float = NOTICE, whole: float = WHOLE, named:
     in_line[in_file] = np.arange(len(in_file))
     model = spark.sparkContext.broadcast((
         vocabulary, idf, _vectors([*_notices, *of_texts.values()], vocabulary, idf),
-        in_line, line_idf, _vectors(_notices, line_vocabulary, line_idf)))
+        in_line, line_idf, _vectors(_notices, line_vocabulary, line_idf), _anchors(line_vocabulary, line_idf)))
     schema = T.StructType([*files.schema.fields, T.StructField("notice_license", T.StringType()),
                            T.StructField("notice_score", T.DoubleType()), T.StructField("file_best", T.StringType()),
                            T.StructField("file_score", T.DoubleType())])
     at = files.columns.index("text")
 
     def match(batches):
-        vocabulary, idf, templates, in_line, line_idf, notices = model.value
+        vocabulary, idf, templates, in_line, line_idf, notices, anchors = model.value
         for part in X.slices(batches):
             n = part.num_rows
             rows, hashes, starts, data, offsets = _hashes(part.column(at))
             term = _lookup(vocabulary, hashes)
-            # lines: an end of line or of a text ends one
+            line_term = in_line[term]
+            # lines: an end of line or of a text ends one; only those with a word of the notices can match
             line = np.cumsum(data == 10)[starts] if len(starts) else starts
             new = np.append(True, (rows[1:] != rows[:-1]) | (line[1:] != line[:-1])) if len(rows) else np.empty(0, bool)
-            unit = np.cumsum(new) - 1
-            of = rows[new]
-            size = np.bincount(unit, minlength=len(of))
-            # only short lines with a word of the notices can match
-            line_term = in_line[term]
-            some = (np.bincount(unit, line_term >= 0, len(of)) > 0) & (size <= LINE_WORDS)
-            number = np.cumsum(some) - 1
-            keep = some[unit] if len(unit) else new
-            best_line = np.zeros(n)
-            name_line = np.full(n, -1)
-            if some.any():
-                cos = _cosines(number[unit[keep]], line_term[keep], int(some.sum()), line_idf, notices)
-                top, best = cos.argmax(axis=1), cos.max(axis=1)
-                owner = of[some]
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(rows)))
+            some = (np.add.reduceat(line_term >= 0, first, dtype=np.int64) > 0) & (size <= LINE_WORDS) if len(first) else first > 0
+            begin, end = _windows(rows, line_term, n, anchors)
+            begin, end = np.concatenate([first[some], begin]), np.concatenate([(first + size)[some], end])
+            best_line, name_line = np.zeros(n), np.full(n, -1)
+            for k in range(0, len(begin), BLOCK):
+                a, length = begin[k:k + BLOCK], (end - begin)[k:k + BLOCK]
+                unit = np.repeat(np.arange(len(a)), length)
+                word = np.arange(len(unit)) + np.repeat(a - (np.cumsum(length) - length), length)
+                top, best = _nearest(_cosines(unit, line_term[word], len(a), line_idf, notices), unit, line_term[word], line_idf, notices, notice)
+                owner = rows[a]
                 order = np.lexsort((top, -best, owner))
-                first = order[np.append(True, owner[order][1:] != owner[order][:-1])]
-                best_line[owner[first]], name_line[owner[first]] = best[first], top[first]
+                order = order[np.append(True, owner[order][1:] != owner[order][:-1])]
+                owner, top, best = owner[order], top[order], best[order]
+                nearer = best > best_line[owner]
+                best_line[owner[nearer]], name_line[owner[nearer]] = best[nearer], top[nearer]
             cos = _cosines(rows, term, n, idf, templates)
             top, best = cos.argmax(axis=1), cos.max(axis=1)
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from tallyframe.llm import fingerprints, language, text
+from tallyframe.llm import fingerprints, language, licences, text
 
 from .conftest import sentence
 
@@ -158,3 +158,87 @@ def test_fingerprints_spread_a_hot_number(spark):
     assert len(out) == 700 and sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == sorted(i for i, _ in rows if i is not None)
     one = Counter(r["edited"] for r in fingerprints.fingerprint(docs, ranges=1).collect())
     assert edited == one
+
+
+# licences
+
+HEADERS = {
+    "Apache-2.0": ["/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */",
+                   "// SPDX-License-Identifier: Apache-2.0"],
+    "MIT": ["# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the \"Software\")",
+            "// SPDX-License-Identifier: MIT"],
+    "GPL-3.0": ["# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+                "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\n"
+                "as published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.",
+                "/* SPDX-License-Identifier: GPL-2.0-or-later */"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as "
+                 "published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or any later"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."],
+    "BSD-3-Clause": ["// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"],
+    "EPL-2.0": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0 which is available at"],
+    None: ["// SPDX-License-Identifier: Beerware", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 7 of the License",
+           "He was granted a driving license under the old law, released in June."],
+}
+
+
+def test_headers_of_source_files(spark):
+    docs = [(f"d/{r['doc_id']}.txt", r["text"], None) for r in
+            spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect() if "icense" not in r["text"] and "CC" not in r["text"]]
+    rnd = random.Random(11)
+    rows = []
+    for name, texts in HEADERS.items():
+        for i, t in enumerate(texts):
+            before, after = sentence(rnd, 70), sentence(rnd, 70)
+            rows += [(f"a/{name}{i}", t, name), (f"b/{name}{i}", f"#!/bin/sh\n{t}\n\n{after}", name),
+                     (f"c/{name}{i}", f"{before} {t} {after}".replace("\n", " "), name), (f"e/{name}{i}", f"{before}\r\n{t}\r\n", name)]
+    got = {r["path"]: r for r in licences.scan(spark.createDataFrame([r[:2] for r in rows + docs], "path string, text string")).collect()}
+    assert {p: got[p]["notice_license"] for p, _, _ in rows} == {p: want for p, _, want in rows}
+    assert all(got[p]["notice_license"] is None for p, *_ in docs)
+
+
+def plain_words(t):
+    return "".join(" " if c in ".,;:()\"'*#/" else c for c in t.lower()).split()
+
+
+def test_licence_scores_equal_plain_cosines(spark):
+    rnd = random.Random(12)
+    texts = [f"{sentence(rnd, 6)}\n{notice}\n{sentence(rnd, 9)}" if i % 2 else f"{sentence(rnd, 80)} {notice} {sentence(rnd, 80)}"
+             for i, notice in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)] + ["", sentence(rnd, 30)]
+    notices = [(n, plain_words(t)) for n, t in zip(licences._names, licences._notices)]
+    known = {w for _, t in notices for w in t}
+    df = Counter(w for t in texts for w in set(plain_words(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    strange = math.log(1 + len(texts)) + 1
+
+    def vector(words):
+        return {w: (1 + math.log(k)) * idf(w) for w, k in Counter(w for w in words if w in known).items()}, sum(w not in known for w in words)
+
+    of_notices = [(n, vector(t)[0]) for n, t in notices]
+
+    def nearest(words):
+        v, others = vector(words)
+        norm = math.sqrt(sum(x * x for x in v.values()) + others * strange ** 2)
+        found = []
+        for n, t in of_notices:
+            dot = sum(x * v.get(w, 0) for w, x in t.items())
+            found.append((dot / norm / math.sqrt(sum(x * x for x in t.values())) if norm else 0, n, t))
+        score, name, t = max(found, key=lambda x: x[0])
+        rival = max((x for x in found if x[1] != name), key=lambda x: x[0])[2]
+        own = {w: idf(w) ** 2 for w in t if w not in rival}
+        if score >= licences.NOTICE and sum(x for w, x in own.items() if w in v) < licences.OWN * sum(own.values()):
+            return 0.0, None
+        return score, name
+
+    got = licences.scan(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).collect()
+    for r in got:
+        words = plain_words(r["text"])
+        units = [u for u in map(plain_words, r["text"].split("\n")) if u and len(u) <= licences.LINE_WORDS]
+        for _, t in notices:
+            rare = max(t, key=idf)
+            units += [words[max(0, i - t.index(rare)):i - t.index(rare) + len(t)] for i, w in enumerate(words) if w == rare]
+        score, name = max(map(nearest, units), key=lambda x: x[0], default=(0.0, None))
+        assert r["notice_score"] == pytest.approx(min(score, 1.0), abs=1e-9)
+        assert r["notice_license"] == (name if score >= licences.NOTICE else None)

@@ -1,25 +1,28 @@
 r"""Katz backoff language model of words: training and scoring as exchanges of packed blocks.
 
-P(w | v) is r*(c(v w)) / c(v) for a bigram seen in training, else alpha(v) P(w); P(w) is
-r*(c(w)) / N, and what is left is the probability of one unknown word. r* is the Good-Turing
-count from a line fitted to the counts of counts (simple Good-Turing), so every seen count
-is discounted and something is always left; alpha(v) makes P(. | v) sum to exactly 1 over all
-training words and the unknown one. After an unknown word P(w) is used. A text starts after a
-start mark and ends with the end token.
-
-Documents are cut into blocks of BLOCK words. A block sends its distinct words to word
-buckets and gets back ids and counts; it then sends its distinct bigrams, with training
-counts and the documents they occur in, to bigram buckets by their first word (that of a very
-frequent one is split by the second). Each bigram bucket is a row of a partitioned table,
-from which counts of counts and weights are computed, and every block's bigrams are
-scored to sums by document. What moves are compressed arrays, in proportion to the words;
-the driver gets counts of counts and the sums of split first words alone.
-
-Words are `[^\x20\x09-\x0D]+` with A-Z lower-cased, as 64-bit hashes. Defined cases: a null
-or empty text has the end token alone; with no training rows every word is unknown and every
-score 0; equal texts get equal scores, repeated rows are documents of their own. Of the
-input, doc_id, text and held_out are used. `docs` must give the same rows in the same
-partitions whenever it is read, as files do.
+P(w | h) is r*(c(h w)) / c(h) for an n-gram seen in training, else alpha(h) P(w | h'), where h'
+is h without its first word; P(w) is r*(c(w)) / N, and what is left is the probability of one
+unknown word. r* is the Good-Turing count of each order from a line fitted to the counts of
+counts (simple Good-Turing), so every seen count is discounted and something is always left;
+alpha(h) makes P(. | h) sum to exactly 1 over all training words and the unknown one. A context
+that training does not have is shortened. A text starts after one start mark, which stands in
+contexts as a word, and ends with the end token. `order` is the longest n-gram.
+
+Documents are cut once into blocks of BLOCK words, kept as a table. A block sends its distinct
+words to word buckets and gets back ids and counts. Then the orders follow, lowest first: a block
+sends its distinct n-grams, with training counts and the probability of the last word in the
+shorter context, to buckets by the context's id (that of a very frequent context is split by the
+last word). Each bucket is a row of a partitioned table, from which counts of counts and weights
+are computed. Below the longest order, blocks get back the ids, counts and probabilities of
+their n-grams, which are the contexts and the lower probabilities of the next order; of the
+longest order, the n-grams are scored to sums by document. What moves are compressed arrays, in
+proportion to the words; the driver gets counts of counts alone. The sums of a split context go
+to its buckets by a join.
+
+Words are `[^\x20\x09-\x0D]+` with A-Z lower-cased, as 64-bit hashes; ids of words and n-grams
+have 64 bits. Defined cases: a null or empty text has the end token alone; with no training rows
+every word is unknown and every score 0; equal texts get equal scores, repeated rows are documents
+of their own. Of the input, doc_id, text and held_out are used.
 """
 
 from __future__ import annotations
@@ -37,10 +40,12 @@ from pyspark.sql import functions as F
 from . import text as X
 from .tables import written
 
+ORDER = 2
 BLOCK = 2_000_000  # words
-BUCKET = 1_000_000  # words of a bigram bucket to aim at
-SPLIT = 500_000  # a first word with so many occurrences is split
-UNKNOWN, START = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
+BUCKET = 1_000_000  # words of an n-gram bucket to aim at
+SPLIT = 500_000  # a context with so many occurrences is split
+UNKNOWN, START = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFE)
+NOWHERE = np.uint32(0xFFFFFFFF)  # in place of an n-gram: the word is scored already
 END_HASH = np.uint64(0xC0FFEE0000000001)
 
 
@@ -134,191 +139,72 @@ def _hist(table: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     return found["r"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def score(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row;
     the model learns from the rows with held_out false."""
-    spark = docs.sparkSession
+    if order < 2:
+        raise ValueError("an order of 2 at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(size / 6 / bucket))
-    word_bits = max(2, (buckets // 4).bit_length())
-
-    def send_words(batches):
-        for number, _, held, lengths, hashes in _blocks(batches, block):
-            learn = np.repeat(~held, lengths)
-            words, back = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(back, learn, len(words)).astype(np.uint32)
-            cuts = np.searchsorted(words >> np.uint64(64 - word_bits), np.arange((1 << word_bits) + 1, dtype=np.uint64))
-            some = [i for i in range(1 << word_bits) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()),
-                 pa.array([pack_sorted(words[cuts[i]:cuts[i + 1]]) for i in some], pa.binary()),
-                 pa.array([pack(counts[cuts[i]:cuts[i + 1]]) for i in some], pa.binary())], names=["block", "part", "words", "counts"])
-
-    def count_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sent = [unpack_sorted(b) for b in pdf["words"]]
-        words, back = np.unique(np.concatenate(sent), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([unpack(b) for b in pdf["counts"]]), len(words)).astype(np.uint32)
-        order = np.argsort(-counts.astype(np.int64), kind="stable")
-        ids = np.empty(len(words), np.uint32)
-        ids[order] = np.arange(len(words), dtype=np.uint32) * np.uint32(1 << word_bits) + np.uint32(key[0])
-        ids[counts == 0] = UNKNOWN
-        at = np.cumsum([0, *map(len, sent)])
-        found = [back[a:b] for a, b in zip(at, at[1:])]
-        return pd.DataFrame({"block": [*pdf["block"], -1], "part": key[0], "ids": [*(pack(ids[f]) for f in found), None],
-                             "counts": [*(pack(counts[f]) for f in found), None], "model": [*[None] * len(found), pack(counts)]})
+    blocks = written(docs.mapInArrow(lambda batches: _cut(batches, block), _BLOCKS), "blocks")
+    words, unigrams = _words(blocks, max(2, (buckets // 4).bit_length()))
+    base_scale = np.log10(unigrams.total + unigrams.distinct + 1)
 
-    sent = docs.mapInArrow(send_words, "block long, part int, words binary, counts binary")
-    words = written(sent.groupBy("part").applyInPandas(count_words, "block long, part int, ids binary, counts binary, model binary"), "words")
-    r, n = _hist(words, "model")
-    total, distinct = int((r * n).sum()), int(n.sum())
-    discount = Discount.fit(r, n)
-    unknown = 1 - float((discount(r) * n).sum()) / total if total else 1.0
-    unigrams = Unigrams(total, distinct, discount, unknown)
-    base_scale = np.log10(total + distinct + 1)
-
-    def send_state(batches):
-        for number, ids, held, lengths, hashes in _blocks(batches, block):
-            _, back = np.unique(hashes, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                 pa.array([pack(lengths.astype(np.uint32))], pa.binary()), pa.array([pack(back.astype(np.uint32))], pa.binary())],
-                names=["block", "doc_ids", "held_out", "lengths", "tokens"])
-
-    def send_bigrams(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def first_sent(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         replies = replies.sort_values("part")
-        word_id = np.concatenate([unpack(b) for b in replies["ids"]])
-        word_count = np.concatenate([unpack(b) for b in replies["counts"]])
+        word_ids, local = np.unique(np.concatenate([unpack(b) for b in replies["ids"]]), return_inverse=True)
         row = state.iloc[0]
-        lengths, tokens, held = unpack(row["lengths"]).astype(np.int64), unpack(row["tokens"]), np.array(row["held_out"], bool)
-        if int(tokens.max()) + 1 != len(word_id):
-            raise ValueError("the documents came in other partitions when they were read again")
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        second, count = word_id[tokens], word_count[tokens]
+        lengths, tokens = unpack(row["lengths"]).astype(np.int64), unpack(row["tokens"])
+        count, at = np.concatenate([unpack(b) for b in replies["counts"]])[tokens], local[tokens]
         end = np.cumsum(lengths) - 1
-        first, first_count = np.empty_like(second), np.empty_like(count)
-        first[1:], first_count[1:] = second[:-1], count[:-1]
         starts = end - lengths + 1
-        first[starts], first_count[starts] = START, count[end[0]]  # as many starts as ends in training
-        if not count[end[0]]:
-            first[starts] = UNKNOWN
-        known = np.bincount(doc, count > 0, len(lengths))
-        base = np.bincount(doc, np.log10(count.astype(float) + 1) - base_scale, len(lengths))
-        alone = first == UNKNOWN
+        context, context_count = np.empty_like(at), np.empty_like(count)
+        context[1:], context_count[1:] = at[:-1], count[:-1]
+        context[starts], context_count[starts] = len(word_ids), count[end[0]]  # as many starts as ends in training
+        context[context_count == 0] = -1
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        alone = context < 0
+        about = {"block": row["block"], "doc_ids": row["doc_ids"], "held_out": row["held_out"], "lengths": row["lengths"],
+                 "known": pack(np.bincount(doc, count > 0, len(lengths))),
+                 "base": pack(np.bincount(doc, np.log10(count.astype(float) + 1) - base_scale, len(lengths)))}
         direct = np.bincount(doc[alone], np.log10(unigrams.probability(count[alone])), len(lengths)).astype(float)
-        keep = ~alone
-        key = first[keep].astype(np.uint64) << np.uint64(32) | second[keep]
-        doc, count, first_count = doc[keep], count[keep], first_count[keep]
-        order = np.argsort(key, kind="stable")
-        key, doc, count, first_count = key[order], doc[order], count[order], first_count[order]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(new, len(key)))
-        learned = np.add.reduceat(~held[doc], new, dtype=np.int64) if len(new) else new
-        pair, second_count, splits = key[new], count[new], first_count[new] // split + 1
-        salt = X.mix(pair & np.uint64(0xFFFFFFFF)) % splits.astype(np.uint64)
-        to = (X.mix((pair >> np.uint64(32)) + (salt << np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(to, kind="stable")
-        # the occurrences of each pair follow it
-        ends = np.cumsum(times[by])
-        place = np.arange(len(key)) + np.repeat(new[by] - (ends - times[by]), times[by])
-        doc = doc[place].astype(np.uint16 if len(lengths) < 1 << 16 else np.uint32)
-        cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-        ends = np.append(0, ends)
-        rows = []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            s = by[cuts[b]:cuts[b + 1]]
-            rows.append((row["block"], b, pack_sorted(pair[s] >> np.uint64(32)), pack((pair[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)),
-                         pack(second_count[s]), pack(learned[s].astype(np.uint32)), pack(times[s].astype(np.uint32)),
-                         pack(doc[ends[cuts[b]]:ends[cuts[b + 1]]]), pack_sorted(np.unique(pair[s][splits[s] > 1] >> np.uint64(32)))))
-        out = pd.DataFrame(rows, columns=["block", "bucket", "first", "second", "second_count", "learned", "times", "docs", "divided"])
-        info = pd.DataFrame({"block": [row["block"]], "bucket": [int(X.mix(np.array([row["block"]], np.uint64))[0] % np.uint64(buckets))],
-                             "doc_ids": [row["doc_ids"]], "held_out": [row["held_out"]], "times": [row["lengths"]],
-                             "known": [pack(known)], "base": [pack(base)], "direct": [pack(direct)]})
-        return pd.concat([out, info], ignore_index=True)
-
-    sent_schema = ("block long, bucket int, first binary, second binary, second_count binary, learned binary, times binary, docs binary, divided binary, "
-                   "doc_ids array<long>, held_out array<boolean>, known binary, base binary, direct binary")
-
-    def send_all(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = send_bigrams(state, replies)
-        return out.astype(object).where(out.notna(), None)[[c.split()[0] for c in sent_schema.split(", ")]]
-
-    state = docs.mapInArrow(send_state, "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, tokens binary")
-    sent = (state.groupBy("block").cogroup(words.where("block >= 0").select("block", "part", "ids", "counts").groupBy("block"))
-            .applyInPandas(send_all, sent_schema))
-    asked = "block long, at binary, times binary, docs binary"
-    about = "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, known binary, base binary, direct binary"
-    bigram_schema = (f"bucket int, first binary, second binary, second_count binary, counts binary, divided binary, "
-                     f"asked array<struct<{asked.replace(' ', ':', ).replace(',:', ',')}>>, about array<struct<{about.replace(' ', ':').replace(',:', ',')}>>")
-
-    def count_bigrams(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        info = pdf["first"].isna()
-        mine, rest = pdf[~info], pdf[info]
-        pairs = [(unpack_sorted(f) << np.uint64(32)) | unpack(s) for f, s in zip(mine["first"], mine["second"])]
-        every = np.concatenate(pairs) if pairs else np.empty(0, np.uint64)
-        pair, at, back = np.unique(every, return_index=True, return_inverse=True)
-        second_count = (np.concatenate([unpack(b) for b in mine["second_count"]]) if pairs else np.empty(0, np.uint32))[at]
-        learned = np.concatenate([unpack(b) for b in mine["learned"]]) if pairs else np.empty(0, np.uint32)
-        counts = np.bincount(back, learned, len(pair)).astype(np.uint32)
-        divided = np.unique(np.concatenate([np.empty(0, np.uint64), *map(unpack_sorted, mine["divided"])]))
-        cuts = np.cumsum([0, *map(len, pairs)])
-        asked = [{"block": int(b), "at": pack(back[i:j].astype(np.uint32)), "times": t, "docs": d}
-                 for b, i, j, t, d in zip(mine["block"], cuts, cuts[1:], mine["times"], mine["docs"])]
-        about = [{"block": int(r.block), "doc_ids": r.doc_ids, "held_out": r.held_out, "lengths": r.times, "known": r.known,
-                  "base": r.base, "direct": r.direct} for r in rest.itertuples()]
-        return pd.DataFrame({"bucket": [key[0]], "first": [pack_sorted(pair >> np.uint64(32))],
-                             "second": [pack((pair & np.uint64(0xFFFFFFFF)).astype(np.uint32))], "second_count": [pack(second_count)],
-                             "counts": [pack(counts)], "divided": [pack_sorted(divided)], "asked": [asked], "about": [about]})
-
-    bigrams = written(sent.groupBy("bucket").applyInPandas(count_bigrams, bigram_schema), "bigrams")
-    discount2 = Discount.fit(*_hist(bigrams, "counts"))
-
-    def sums(first, second_count, counts):
-        """By first word: training count, discounted mass of its bigrams, unigram mass of their second words."""
-        ids, back = np.unique(first, return_inverse=True)
-        seen = counts > 0
-        total_of = lambda at, x: np.bincount(at, x, len(ids)).astype(float)
-        return ids, back, total_of(back, counts), total_of(back, discount2(counts)), total_of(back[seen], unigrams.probability(second_count[seen]))
-
-    def divided_sums(batches):
-        for batch in batches:
-            for first, second_count, counts, divided in zip(*(c.to_pylist() for c in batch.columns)):
-                divided = unpack_sorted(divided)
-                ids, _, c, mass, low = sums(unpack_sorted(first), unpack(second_count), unpack(counts))
-                some = np.isin(ids, divided)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some].astype(np.int64)), *(pa.array(x[some]) for x in (c, mass, low))],
-                                                 names=["first", "c", "mass", "low"])
-
-    # first words that were split have at least SPLIT occurrences each, so there are at most N / SPLIT
-    shared = (bigrams.select("first", "second_count", "counts", "divided").mapInArrow(divided_sums, "first long, c double, mass double, low double")
-              .groupBy("first").agg(F.sum("c").alias("c"), F.sum("mass").alias("mass"), F.sum("low").alias("low")).orderBy("first").toPandas())
-    whole = spark.sparkContext.broadcast([shared[c].to_numpy() for c in ("first", "c", "mass", "low")])
-
-    def evaluate(batches):
-        ids_, c_, mass_, low_ = whole.value
-        for batch in batches:
-            for first, second_count, counts, asked, about in zip(*(c.to_pylist() for c in batch.columns)):
-                second_count, counts = unpack(second_count), unpack(counts)
-                ids, back, c, mass, low = sums(unpack_sorted(first), second_count, counts)
-                if len(ids_) and len(ids):
-                    at = np.minimum(np.searchsorted(ids_, ids.astype(np.int64)), len(ids_) - 1)
-                    hit = ids_[at] == ids.astype(np.int64)
-                    c, mass, low = (np.where(hit, y[at], x) for x, y in ((c, c_), (mass, mass_), (low, low_)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    # a first word without bigrams in training has no counts here: its words back off whole
-                    alpha = np.where(c > 0, (1 - mass / c) / (1 - low), 1.0)
-                    value = np.log10(np.where(counts > 0, discount2(counts) / c[back], alpha[back] * unigrams.probability(second_count)))
-                for r in asked:
-                    doc = unpack(r["docs"])
-                    found = np.bincount(doc, np.repeat(value[unpack(r["at"])], unpack(r["times"])))
-                    some = np.unique(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([pack_sorted(some)], pa.binary()),
-                                                      pa.array([pack(found[some])], pa.binary()), pa.nulls(1, pa.struct(_ABOUT))],
-                                                     names=["block", "docs", "sums", "about"])
-                for r in about:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
-                                                      pa.array([{k: v for k, v in r.items() if k != "block"}], pa.struct(_ABOUT))],
-                                                     names=["block", "docs", "sums", "about"])
+        return _messages(about, doc, direct, context, np.append(word_ids, START), context_count, at, word_ids, count, buckets, split, order > 2)
+
+    def next_sent(k: int):
+        def send(pdf: pd.DataFrame) -> pd.DataFrame:
+            row = next(r for r in pdf["about"] if r is not None)
+            replies = pdf[pdf["ids"].notna()].sort_values("bucket")
+            ids = np.concatenate([np.empty(0, np.uint64), *map(unpack, replies["ids"])])
+            counts = np.concatenate([np.empty(0, np.uint32), *map(unpack, replies["counts"])])
+            p = np.concatenate([np.empty(0, np.float64), *map(unpack, replies["p"])])
+            gram, at = unpack(row["grams"]), unpack(row["words"])
+            lengths = unpack(row["lengths"]).astype(np.int64)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            here = gram != NOWHERE
+            low = np.zeros(len(gram))
+            low[here] = p[gram[here]]
+            # the n-gram that ends one word before is the context, if training has it
+            context, context_count = np.full(len(gram), -1), np.zeros(len(gram), np.uint32)
+            before = np.flatnonzero(here[:-1] & (doc[1:] == doc[:-1]))
+            before = before[counts[gram[before]] > 0]
+            context[before + 1], context_count[before + 1] = gram[before], counts[gram[before]]
+            alone = here & (context < 0)
+            direct = unpack(row["direct"]) + np.bincount(doc[alone], np.log10(low[alone]), len(lengths))
+            return _messages(row, doc, direct, context, ids, context_count, at, unpack(row["word_ids"]), low, buckets, split, k < order)
+        return send
+
+    sent = (blocks.drop("words", "counts").groupBy("block").cogroup(words.where("block >= 0").select("block", "part", "ids", "counts").groupBy("block"))
+            .applyInPandas(first_sent, _SENT))
+    for k in range(2, order + 1):
+        grams = written(sent.groupBy("bucket").applyInPandas(_count, _GRAMS), f"grams-{k}")
+        weigh = Weights(Discount.fit(*_hist(grams, "counts")), unigrams.probability if k == 2 else None)
+        known = grams.join(_shared(grams, weigh), "bucket", "left")
+        if k < order:
+            replies = known.select("bucket", "first", "low", "counts", "shared", "asked", "about").mapInArrow(weigh.replies, _REPLIES)
+            sent = replies.groupBy("block").applyInPandas(next_sent(k + 1), _SENT)
+    partial = known.select("bucket", "first", "low", "counts", "shared", "asked", "about").mapInArrow(
+        weigh.document_sums, f"block long, docs binary, sums binary, about struct<{_ABOUT}>")
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         info = next(r for r in pdf["about"] if r is not None)
@@ -327,14 +213,212 @@ def score(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, split: int
             if docs_ is not None:
                 out[unpack_sorted(docs_)] += unpack(sums_)
         return pd.DataFrame({"doc_id": pd.array(list(info["doc_ids"]), "Int64"), "held_out": list(info["held_out"]), "n_tokens": unpack(info["lengths"]).astype(np.int64),
-                             "n_known": unpack(info["known"]).astype(np.int64), "train_tokens": total, "base_score": unpack(info["base"]), "score": out})
+                             "n_known": unpack(info["known"]).astype(np.int64), "train_tokens": unigrams.total, "base_score": unpack(info["base"]), "score": out})
 
-    partial = bigrams.select("first", "second_count", "counts", "asked", "about").mapInArrow(
-        evaluate, "block long, docs binary, sums binary, about struct<doc_ids:array<long>,held_out:array<boolean>,lengths:binary,"
-                  "known:binary,base:binary,direct:binary>")
     return partial.groupBy("block").applyInPandas(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-_ABOUT = [("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("known", pa.binary()),
-          ("base", pa.binary()), ("direct", pa.binary())]
+_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, tokens binary, words binary, counts binary"
+# `words`, `word_ids` and `grams` are there as long as an order follows
+_ABOUT = ("block:long,doc_ids:array<long>,held_out:array<boolean>,lengths:binary,known:binary,base:binary,direct:binary,"
+          "words:binary,word_ids:binary,grams:binary")
+_SENT = f"block long, bucket int, first binary, second binary, low binary, learned binary, times binary, docs binary, divided binary, about struct<{_ABOUT}>"
+_GRAMS = (f"bucket int, first binary, low binary, counts binary, divided binary, "
+          f"asked array<struct<block:long,at:binary,times:binary,docs:binary>>, about array<struct<{_ABOUT}>>")
+_REPLIES = f"block long, bucket int, ids binary, counts binary, p binary, about struct<{_ABOUT}>"
+_ABOUT_TYPE = pa.struct([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                         *((n, pa.binary()) for n in ("lengths", "known", "base", "direct", "words", "word_ids", "grams"))])
+
+
+def _cut(batches, block: int):
+    """Blocks of documents: their distinct words with training counts, and the words as places among them."""
+    for number, ids, held, lengths, hashes in _blocks(batches, block):
+        words, back = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(back, np.repeat(~held, lengths), len(words)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
+             *(pa.array([b], pa.binary()) for b in (pack(lengths.astype(np.uint32)), pack(back.astype(np.uint32)), pack_sorted(words), pack(counts)))],
+            names=["block", "doc_ids", "held_out", "lengths", "tokens", "words", "counts"])
+
+
+def _words(blocks: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
+    """Ids and counts of each block's words, by buckets of the first bits of their hashes."""
+
+    def send(batches):
+        for batch in batches:
+            for number, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                words, counts = unpack_sorted(words), unpack(counts)
+                cuts = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                some = [i for i in range(1 << bits) if cuts[i] < cuts[i + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()),
+                     pa.array([pack_sorted(words[cuts[i]:cuts[i + 1]]) for i in some], pa.binary()),
+                     pa.array([pack(counts[cuts[i]:cuts[i + 1]]) for i in some], pa.binary())], names=["block", "part", "words", "counts"])
+
+    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sent = [unpack_sorted(b) for b in pdf["words"]]
+        words, back = np.unique(np.concatenate(sent), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([unpack(b) for b in pdf["counts"]]), len(words)).astype(np.uint32)
+        order = np.argsort(-counts.astype(np.int64), kind="stable")
+        ids = np.empty(len(words), np.uint64)
+        ids[order] = np.arange(len(words), dtype=np.uint64) << np.uint64(bits) | np.uint64(key[0])
+        ids[counts == 0] = UNKNOWN
+        at = np.cumsum([0, *map(len, sent)])
+        found = [back[a:b] for a, b in zip(at, at[1:])]
+        return pd.DataFrame({"block": [*pdf["block"], -1], "part": key[0], "ids": [*(pack(ids[f]) for f in found), None],
+                             "counts": [*(pack(counts[f]) for f in found), None], "model": [*[None] * len(found), pack(counts)]})
+
+    sent = blocks.select("block", "words", "counts").mapInArrow(send, "block long, part int, words binary, counts binary")
+    words = written(sent.groupBy("part").applyInPandas(count, "block long, part int, ids binary, counts binary, model binary"), "words")
+    r, n = _hist(words, "model")
+    total, discount = int((r * n).sum()), Discount.fit(r, n)
+    return words, Unigrams(total, int(n.sum()), discount, 1 - float((discount(r) * n).sum()) / total if total else 1.0)
+
+
+def _messages(about: dict, doc, direct, context, context_ids, context_count, word, word_ids, low, buckets: int, split: int, follows: bool) -> pd.DataFrame:
+    """A block's distinct n-grams by buckets, and the block's own row; `context` (-1: none) and `word` of
+    each place are places in `context_ids` and `word_ids`."""
+    held = np.array(about["held_out"], bool)
+    keep = np.flatnonzero(context >= 0)
+    key = context[keep].astype(np.uint64) << np.uint64(32) | word[keep].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, keep = key[order], keep[order]
+    fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.empty(0, bool)
+    new = np.flatnonzero(fresh)
+    times = np.diff(np.append(new, len(key)))
+    learned = np.add.reduceat(~held[doc[keep]], new, dtype=np.int64) if len(new) else new
+    at = keep[new]
+    first, second, splits = context_ids[context[at]], word_ids[word[at]], context_count[at] // split + 1
+    salt = X.mix(second) % splits.astype(np.uint64)
+    to = (X.mix(first ^ X.mix(salt)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(buckets + 1))
+    # the occurrences of each n-gram follow it
+    ends = np.cumsum(times[by])
+    place = np.arange(len(key)) + np.repeat(new[by] - (ends - times[by]), times[by])
+    docs, ends = doc[keep][place].astype(np.uint16 if len(held) < 1 << 16 else np.uint32), np.append(0, ends)
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        s = by[cuts[b]:cuts[b + 1]]
+        rows.append((about["block"], b, pack_sorted(first[s]), pack(second[s]), pack(low[at[s]]), pack(learned[s].astype(np.uint32)),
+                     None if follows else pack(times[s].astype(np.uint32)), None if follows else pack(docs[ends[cuts[b]]:ends[cuts[b + 1]]]),
+                     pack_sorted(np.unique(first[s][splits[s] > 1])), None))
+    own = {**about, "direct": pack(direct), "words": None, "word_ids": None, "grams": None}
+    if follows:
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        grams = np.full(len(doc), NOWHERE)
+        grams[keep] = rank[np.cumsum(fresh) - 1]
+        own |= {"words": pack(word.astype(np.uint32)), "word_ids": pack(word_ids), "grams": pack(grams)}
+    rows.append((about["block"], int(X.mix(np.array([about["block"]], np.uint64))[0] % np.uint64(buckets)), *[None] * 7, own))
+    return pd.DataFrame(rows, columns=["block", "bucket", "first", "second", "low", "learned", "times", "docs", "divided", "about"])
+
+
+def _count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's n-grams with training counts and ids, and which of them each block asks for."""
+    info = pdf["first"].isna()
+    mine, about = pdf[~info], [r for r in pdf["about"] if r is not None]
+    firsts, none = [unpack_sorted(b) for b in mine["first"]], np.empty(0, np.uint64)
+    first = np.concatenate([none, *firsts])
+    second = np.concatenate([none, *map(unpack, mine["second"])])
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])) if len(first) else np.empty(0, bool)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    low = np.concatenate([unpack(b) for b in mine["low"]])[order[fresh]] if len(order) else np.empty(0, np.uint32)
+    learned = np.concatenate([unpack(b) for b in mine["learned"]]) if len(order) else np.empty(0, np.uint32)
+    counts = np.bincount(back, learned, int(fresh.sum())).astype(np.uint32)
+    cuts = np.cumsum([0, *map(len, firsts)])
+    asked = [{"block": int(b), "at": pack(back[i:j].astype(np.uint32)), "times": t, "docs": d}
+             for b, i, j, t, d in zip(mine["block"], cuts, cuts[1:], mine["times"], mine["docs"])]
+    divided = np.unique(np.concatenate([none, *map(unpack_sorted, mine["divided"])]))
+    return pd.DataFrame({"bucket": [key[0]], "first": [pack_sorted(first[fresh])], "low": [pack(low)], "counts": [pack(counts)],
+                         "divided": [pack_sorted(divided)], "asked": [asked], "about": [about]})
+
+
+@dataclass
+class Weights:
+    """Probabilities of one order; `lower` makes what was sent as `low` the probability in the shorter context."""
+
+    discount: Discount
+    lower: object = None
+
+    def sums(self, first, low, counts):
+        """By context: training count, discounted mass of its n-grams, their last words' mass in the shorter context."""
+        ids, back = np.unique(first, return_inverse=True)
+        seen = counts > 0
+        total = lambda at, x: np.bincount(at, x, len(ids)).astype(float)
+        return ids, back, total(back, counts), total(back, self.discount(counts)), total(back[seen], self._low(low)[seen])
+
+    def _low(self, low):
+        return self.lower(low) if self.lower else low
+
+    def probability(self, first, low, counts, shared):
+        ids, back, c, mass, under = self.sums(first, low, counts)
+        if shared:
+            at = np.searchsorted(ids, np.array([r["first"] for r in shared], np.int64).view(np.uint64))
+            c[at], mass[at], under[at] = ([r[n] for r in shared] for n in ("c", "mass", "low"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # a context without n-grams in training has no counts here: its words back off whole
+            alpha = np.where(c > 0, (1 - mass / c) / (1 - under), 1.0)
+            return np.where(counts > 0, self.discount(counts) / c[back], alpha[back] * self._low(low))
+
+    def _rows(self, batches):
+        for batch in batches:
+            for bucket, first, low, counts, shared, asked, about in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = unpack(counts)
+                yield bucket, counts, self.probability(unpack_sorted(first), unpack(low), counts, shared), asked, about
+
+    def replies(self, batches):
+        """To each block the ids, counts and probabilities of its n-grams, and its own row."""
+        names = ["block", "bucket", "ids", "counts", "p", "about"]
+        for bucket, counts, p, asked, about in self._rows(batches):
+            # numbers that no other n-gram of this order has; those that training lacks are never contexts
+            for r in asked:
+                at = unpack(r["at"])
+                ids = at.astype(np.uint64) << np.uint64(31) | np.uint64(bucket)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([pack(ids)], pa.binary()),
+                                                  pa.array([pack(counts[at])], pa.binary()), pa.array([pack(p[at])], pa.binary()), pa.nulls(1, _ABOUT_TYPE)], names=names)
+            for r in about:
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)),
+                                                  pa.array([r], _ABOUT_TYPE)], names=names)
+
+    def document_sums(self, batches):
+        names = ["block", "docs", "sums", "about"]
+        for _, _, p, asked, about in self._rows(batches):
+            value = np.log10(p)
+            for r in asked:
+                doc = unpack(r["docs"])
+                found = np.bincount(doc, np.repeat(value[unpack(r["at"])], unpack(r["times"])))
+                some = np.unique(doc)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([pack_sorted(some)], pa.binary()),
+                                                  pa.array([pack(found[some])], pa.binary()), pa.nulls(1, _ABOUT_TYPE)], names=names)
+            for r in about:
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                                                  pa.array([r], _ABOUT_TYPE)], names=names)
+
+
+def _shared(grams: DataFrame, weigh: Weights) -> DataFrame:
+    """bucket, shared: the sums over all buckets of the split contexts that a bucket has."""
+
+    def partial(batches):
+        for batch in batches:
+            for bucket, first, low, counts, divided in zip(*(c.to_pylist() for c in batch.columns)):
+                divided = unpack_sorted(divided)
+                if not len(divided):
+                    continue
+                ids, _, c, mass, under = weigh.sums(unpack_sorted(first), unpack(low), unpack(counts))
+                some = np.isin(ids, divided)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), bucket, np.int32)), pa.array(ids[some].view(np.int64)),
+                                                  *(pa.array(x[some]) for x in (c, mass, under))], names=["bucket", "first", "c", "mass", "low"])
+
+    parts = written(grams.select("bucket", "first", "low", "counts", "divided").mapInArrow(
+        partial, "bucket int, first long, c double, mass double, low double"), "split-contexts")
+    # in one order, so that sums of doubles do not depend on the shuffle
+    whole = parts.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("bucket", "c", "mass", "low"))).alias("parts"))
+    add = [F.aggregate(F.col("parts")[n], F.lit(0.0), lambda x, y: x + y).alias(n) for n in ("c", "mass", "low")]
+    whole = (whole.select("first", F.col("parts.bucket").alias("in"), *add)
+             .select(F.explode("in").alias("bucket"), F.struct("first", "c", "mass", "low").alias("s")))
+    return written(whole.groupBy("bucket").agg(F.collect_list("s").alias("shared")), "split-sums")

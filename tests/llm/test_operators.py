@@ -266,52 +266,62 @@ def test_licence_lines_of_documents(spark):
 
 # 6 Katz
 
-def brute_katz(rows):
+def brute_katz(rows, order):
     end, start = b"\0end", b"\0start"
     seqs = [(r[0], r[2], [*word_list(r[1]), end]) for r in rows]
-    uni, pairs = {}, {}
+    uni, grams = {}, [{} for _ in range(order + 1)]  # grams[k]: context of k - 1 words -> next word -> count
+
+    def contexts(seq, i, k):
+        return tuple([start, *seq][i + 2 - k:i + 1]) if i + 2 >= k else None
+
     for _, held, seq in seqs:
         if not held:
-            for w in seq:
+            for i, w in enumerate(seq):
                 uni[w] = uni.get(w, 0) + 1
-            for v, w in zip([start, *seq], seq):
-                pairs.setdefault(v, {})
-                pairs[v][w] = pairs[v].get(w, 0) + 1
+                for k in range(2, order + 1):
+                    if (h := contexts(seq, i, k)) is not None:
+                        row = grams[k].setdefault(h, {})
+                        row[w] = row.get(w, 0) + 1
     total = sum(uni.values())
     hist = lambda counts: tuple(np.array(x) for x in zip(*sorted(pd.Series(list(counts)).value_counts().items())))
     if not total:
         return None
     d1 = katz.Discount.fit(*hist(uni.values()))
-    d2 = katz.Discount.fit(*hist(c for row in pairs.values() for c in row.values()))
+    more = [None, None, *(katz.Discount.fit(*hist(c for row in grams[k].values() for c in row.values())) for k in range(2, order + 1))]
     unknown = 1 - sum(float(d1(c)) for c in uni.values()) / total
-    p1 = lambda w: float(d1(uni[w])) / total if w in uni else unknown
 
-    def p2(v, w):
-        if v not in pairs:
-            return p1(w)
-        row = pairs[v]
+    def p(h, w):
+        if not h:
+            return float(d1(uni[w])) / total if w in uni else unknown
+        k = len(h) + 1
+        if h not in grams[k]:
+            return p(h[1:], w)
+        row = grams[k][h]
         c = sum(row.values())
         if w in row:
-            return float(d2(row[w])) / c
-        left = 1 - sum(float(d2(x)) for x in row.values()) / c
-        return left / (1 - sum(p1(x) for x in row)) * p1(w)
+            return float(more[k](row[w])) / c
+        left = 1 - sum(float(more[k](x)) for x in row.values()) / c
+        return left / (1 - sum(p(h[1:], x) for x in row)) * p(h[1:], w)
 
-    for v in [start, b"never seen", *list(pairs)[:5]]:
-        assert abs(sum(p2(v, w) for w in uni) + p2(v, b"never seen") - 1) < 1e-9
+    for k in range(2, order + 1):
+        for h in [(b"never seen",) * (k - 1), *list(grams[k])[:5]]:
+            assert abs(sum(p(h, w) for w in uni) + p(h, b"never seen") - 1) < 1e-9
     v_size = len(uni)
     return [(i, len(seq), sum(w in uni for w in seq), total, sum(np.log10((uni.get(w, 0) + 1) / (total + v_size + 1)) for w in seq),
-             sum(np.log10(p2(v, w)) for v, w in zip([start, *seq], seq))) for i, _, seq in seqs]
+             sum(np.log10(p(next(h for k in range(order, 1, -1) if (h := contexts(seq, at, k)) is not None), w)) for at, w in enumerate(seq)))
+            for i, _, seq in seqs]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 40, "bucket": 30, "split": 5}])
-def test_katz_equals_brute_force(spark, sizes):
+@pytest.mark.parametrize("order, sizes", [(2, {}), (2, {"block": 40, "bucket": 30, "split": 5}), (3, {}),
+                                          (3, {"block": 40, "bucket": 30, "split": 3}), (4, {"block": 100, "split": 2})])
+def test_katz_equals_brute_force(spark, order, sizes):
     rnd = random.Random(4)
     rows = [(i, " ".join(["the"] * rnd.randint(0, 3) + [sentence(rnd, rnd.randint(0, 20), 15), "The end"]), i % 7 == 2) for i in range(60)]
     rows += [(60, None, False), (61, "", True), (62, "unknown words only", True), (62, "unknown words only", True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(2)
     got = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
-                 for r in katz.score(docs, **sizes).collect())
-    want = sorted(brute_katz(rows))
+                 for r in katz.score(docs, order=order, **sizes).collect())
+    want = sorted(brute_katz(rows, order))
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9, abs=1e-9)

@@ -155,15 +155,15 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, bucket: int =
         replies = replies.sort_values("part")
         word_ids, local = np.unique(np.concatenate([unpack(b) for b in replies["ids"]]), return_inverse=True)
         row = state.iloc[0]
-        lengths, tokens = unpack(row["lengths"]).astype(np.int64), unpack(row["tokens"])
-        count, at = np.concatenate([unpack(b) for b in replies["counts"]])[tokens], local[tokens]
+        lengths, tokens = unpack(row["lengths"]).astype(np.int64), unpack(row["places"])[unpack(row["tokens"])]
+        count, at = np.concatenate([unpack(b) for b in replies["counts"]])[tokens], local.astype(np.int32)[tokens]
         end = np.cumsum(lengths) - 1
         starts = end - lengths + 1
         context, context_count = np.empty_like(at), np.empty_like(count)
         context[1:], context_count[1:] = at[:-1], count[:-1]
         context[starts], context_count[starts] = len(word_ids), count[end[0]]  # as many starts as ends in training
         context[context_count == 0] = -1
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         alone = context < 0
         about = {"block": row["block"], "doc_ids": row["doc_ids"], "held_out": row["held_out"], "lengths": row["lengths"],
                  "known": pack(np.bincount(doc, count > 0, len(lengths))),
@@ -180,12 +180,12 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, bucket: int =
             p = np.concatenate([np.empty(0, np.float64), *map(unpack, replies["p"])])
             gram, at = unpack(row["grams"]), unpack(row["words"])
             lengths = unpack(row["lengths"]).astype(np.int64)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             here = gram != NOWHERE
             low = np.zeros(len(gram))
             low[here] = p[gram[here]]
             # the n-gram that ends one word before is the context, if training has it
-            context, context_count = np.full(len(gram), -1), np.zeros(len(gram), np.uint32)
+            context, context_count = np.full(len(gram), -1, np.int32), np.zeros(len(gram), np.uint32)
             before = np.flatnonzero(here[:-1] & (doc[1:] == doc[:-1]))
             before = before[counts[gram[before]] > 0]
             context[before + 1], context_count[before + 1] = gram[before], counts[gram[before]]
@@ -219,7 +219,7 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, bucket: int =
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, tokens binary, words binary, counts binary"
+_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, lengths binary, tokens binary, places binary, words binary, counts binary"
 # `words`, `word_ids` and `grams` are there as long as an order follows
 _ABOUT = ("block:long,doc_ids:array<long>,held_out:array<boolean>,lengths:binary,known:binary,base:binary,direct:binary,"
           "words:binary,word_ids:binary,grams:binary")
@@ -234,12 +234,16 @@ _ABOUT_TYPE = pa.struct([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())
 def _cut(batches, block: int):
     """Blocks of documents: their distinct words with training counts, and the words as places among them."""
     for number, ids, held, lengths, hashes in _blocks(batches, block):
-        words, back = np.unique(hashes, return_inverse=True)
+        words, back, often = np.unique(hashes, return_inverse=True, return_counts=True)
         counts = np.bincount(back, np.repeat(~held, lengths), len(words)).astype(np.uint32)
+        # commonest words first: small numbers are packed best
+        order = np.argsort(-often, kind="stable").astype(np.uint32)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
-             *(pa.array([b], pa.binary()) for b in (pack(lengths.astype(np.uint32)), pack(back.astype(np.uint32)), pack_sorted(words), pack(counts)))],
-            names=["block", "doc_ids", "held_out", "lengths", "tokens", "words", "counts"])
+             *(pa.array([b], pa.binary()) for b in (pack(lengths.astype(np.uint32)), pack(rank[back]), pack(order), pack_sorted(words), pack(counts)))],
+            names=["block", "doc_ids", "held_out", "lengths", "tokens", "places", "words", "counts"])
 
 
 def _words(blocks: DataFrame, bits: int) -> tuple[DataFrame, Unigrams]:
@@ -280,23 +284,25 @@ def _messages(about: dict, doc, direct, context, context_ids, context_count, wor
     """A block's distinct n-grams by buckets, and the block's own row; `context` (-1: none) and `word` of
     each place are places in `context_ids` and `word_ids`."""
     held = np.array(about["held_out"], bool)
-    keep = np.flatnonzero(context >= 0)
+    keep = np.flatnonzero(context >= 0).astype(np.int32)
     key = context[keep].astype(np.uint64) << np.uint64(32) | word[keep].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key, keep = key[order], keep[order]
-    fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.empty(0, bool)
-    new = np.flatnonzero(fresh)
-    times = np.diff(np.append(new, len(key)))
+    del order
+    fresh = np.append(True, key[1:] != key[:-1]) if len(keep) else np.empty(0, bool)
+    new = np.flatnonzero(fresh).astype(np.int32)
+    times = np.diff(np.append(new, np.int32(len(key))))
+    del key
     learned = np.add.reduceat(~held[doc[keep]], new, dtype=np.int64) if len(new) else new
     at = keep[new]
     first, second, splits = context_ids[context[at]], word_ids[word[at]], context_count[at] // split + 1
     salt = X.mix(second) % splits.astype(np.uint64)
-    to = (X.mix(first ^ X.mix(salt)) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
+    to = (X.mix(first ^ X.mix(salt)) % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(to, kind="stable").astype(np.int32)
     cuts = np.searchsorted(to[by], np.arange(buckets + 1))
     # the occurrences of each n-gram follow it
-    ends = np.cumsum(times[by])
-    place = np.arange(len(key)) + np.repeat(new[by] - (ends - times[by]), times[by])
+    ends = np.cumsum(times[by], dtype=np.int32)
+    place = np.arange(len(keep), dtype=np.int32) + np.repeat(new[by] - (ends - times[by]), times[by])
     docs, ends = doc[keep][place].astype(np.uint16 if len(held) < 1 << 16 else np.uint32), np.append(0, ends)
     rows = []
     for b in np.flatnonzero(np.diff(cuts)).tolist():

@@ -30,6 +30,7 @@ from . import text as X
 LONG_WORD = 256  # bytes
 CACHED_WORDS = 250_000  # each of two generations of known words
 SLICE_BYTES = 1 << 20
+KEPT_ROWS = 1 << 24  # rows that one recursive query may keep: half the sum of the words' squared bytes at most
 MAX_TOKEN_BYTES = 255  # the packed key below has 8 bits for a length
 
 # key: rank (17 bits) | place (30) | length of the left (8) and right token (8)
@@ -89,7 +90,7 @@ class BytePairs:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.db = duckdb.connect()
+        self.db = duckdb.connect(config={"temp_directory": ""})  # nothing is spilled into the worker's folder
         self.db.execute("SET threads = 1")
         pairs = [(a * 65536 + b, rank) for token, rank in self.ranks.items() for i in range(1, len(token))
                  if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
@@ -158,7 +159,13 @@ class BytePairs:
         short = [w for w in new if len(w) <= LONG_WORD // 4]
         long = [w for w in new if len(w) > LONG_WORD // 4]
         if short:
-            found.update(zip(short, self._contract([w.encode() for w in short])))
+            coded = [w.encode() for w in short]
+            kept = np.cumsum([len(w) ** 2 // 2 for w in coded])
+            i = 0
+            while i < len(short):  # each call takes what it may keep, one word at least
+                j = max(i + 1, int(np.searchsorted(kept, (kept[i - 1] if i else 0) + KEPT_ROWS, side="right")))
+                found.update(zip(short[i:j], self._contract(coded[i:j])))
+                i = j
         if long:
             found.update(zip(long, self._contract_long([w.encode() for w in long])))
         self.known.update((w, found[w]) for w in short)

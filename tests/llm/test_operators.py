@@ -264,6 +264,17 @@ def test_licence_lines_of_documents(spark):
     assert all(got[k] in v if v else got[k] is None for k, v in want.items())
 
 
+def test_contraction_in_several_calls_gives_the_same_ids(monkeypatch):
+    words = ["語" * n + w for n in (1, 5, 20) for w in ("a", "tion", " wörter", "ぁぃ")]
+    want = tokens.BytePairs(BYTES, public_tokenizers.PATTERN).encode(words)
+    calls = []
+    plain = tokens.BytePairs._contract
+    monkeypatch.setattr(tokens, "KEPT_ROWS", 500)
+    monkeypatch.setattr(tokens.BytePairs, "_contract", lambda self, w: (calls.append(len(w)), plain(self, w))[1])
+    assert tokens.BytePairs(BYTES, public_tokenizers.PATTERN).encode(words) == want
+    assert len(calls) > 3
+
+
 # 6 Katz
 
 def brute_katz(rows, order):

@@ -75,11 +75,14 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str,
 
     The table is joined once, with one row per key of the batch (broadcast where that measures
     small); new rows are told by the few keys of the table that may be in the batch."""
+    return _merged(existing, materialize(one_per_key(incoming, key, precedence, order)), key, precedence)
+
+
+def _merged(existing: DataFrame, batch: DataFrame, key: str, precedence: dict[str, list[str]]) -> DataFrame:
     cols = [c for c in existing.columns if c != key]
-    cols += [c for c in incoming.columns if c != key and c not in cols]
-    batch = materialize(one_per_key(incoming, key, precedence, order))
-    e = existing.select(key, *[F.col(c) if c in existing.columns else F.lit(None).cast(incoming.schema[c].dataType).alias(c) for c in cols])
-    i = batch.select(key, F.lit(True).alias("_i"), *[F.col(c) if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in cols])
+    cols += [c for c in batch.columns if c != key and c not in cols]
+    e = existing.select(key, *[F.col(c) if c in existing.columns else F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in cols])
+    i = batch.select(key, F.lit(True).alias("_i"), *[F.col(c) if c in batch.columns else F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in cols])
     rule_of = {c: r for r, cs in precedence.items() for c in cs}
     merged = e.alias("e").join(i.alias("i"), F.col(f"e.{key}") == F.col(f"i.{key}"), "left").select(
         F.col(f"e.{key}").alias(key), *[_resolve(c, rule_of.get(c, "incoming"), F.lit(True), F.col("i._i").isNotNull()).alias(c) for c in cols])
@@ -109,10 +112,11 @@ def merge_stored(spark: SparkSession, path: str, parts: int, schema: T.StructTyp
     """An upsert into a stored table: only the parts that the batch's keys fall into are read
     and written again (a part is replaced when the new one is whole). Returns these parts.
     ``schema`` is that of the table without ``part``; ``parts`` as in ``store``."""
-    batch = incoming.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # at most `parts` numbers
+    batch = materialize(one_per_key(incoming, key, precedence, order))  # made once: for its parts and for the merge
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    touched = sorted(r["part"] for r in batch.select(part).distinct().collect())  # at most `parts` numbers
     if touched:
-        new = upsert(stored(spark, path, schema, touched).select(*schema.names), incoming, key, precedence, order)
+        new = _merged(stored(spark, path, schema, touched).select(*schema.names), batch, key, precedence)
         new = new.select(*schema.names).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
         (new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("part").parquet(path))

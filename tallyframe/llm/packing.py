@@ -81,10 +81,14 @@ class Model:
         """A row of length 1 for each piece (0 for one without terms)."""
         of, ids, count, size = _counts(pieces, end_id)
         out = np.zeros((len(pieces), WIDTH))
-        if len(of):
-            weight = self.weights(of, ids, count, size)
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            out[of[first]] = np.add.reduceat(base[ids] * weight[:, None], first, axis=0)
+        weight = self.weights(of, ids, count, size)[:, None]
+        at = np.searchsorted(of, np.arange(len(pieces) + 1)).tolist()
+        for piece, (a, b) in enumerate(zip(at, at[1:])):
+            # a piece at a time, so that its rows of `base` stay in the cache
+            if a < b:
+                rows = base[ids[a:b]]
+                rows *= weight[a:b]
+                np.add.reduceat(rows, [0], axis=0, out=out[piece:piece + 1])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -194,27 +198,27 @@ def pack_shard(pieces: list[Piece], window: int, end_id: int, model: Model | Non
         unused[seed] = False
         members, room = [pieces[seed]], window - len(pieces[seed].ids)
         rest = np.flatnonzero(unused)
-        if room and len(rest):
-            ranked = rest[np.argsort(-scored[seed][rest], kind="stable")]
-            size = sizes[ranked]
-            too_long, at = -1, 0
-            while room and at < len(ranked):
-                # the next one that fits
-                fits = size[at:] <= room
-                step = int(fits.argmax())
-                if too_long < 0 and (step or not fits[0]):
-                    too_long = int(ranked[at])
-                if not fits[step]:
-                    break
-                i = int(ranked[at + step])
-                unused[i] = False
-                members.append(pieces[i])
-                room -= int(sizes[i])
-                at += step + 1
-            if room and too_long >= 0:
-                members.append(pieces[too_long].take(room))
-                sizes[too_long] -= room
-                room = 0
+        score, size, too_long = scored[seed][rest], sizes[rest], -1
+        while room and len(rest):
+            # the best one that is left; of equal ones the first
+            best = int(score.argmax())
+            if score[best] < 0:
+                break
+            if size[best] > room:
+                if too_long < 0:
+                    too_long = int(rest[best])
+                fits = size <= room
+                rest, score, size = rest[fits], score[fits], size[fits]
+                continue
+            i = int(rest[best])
+            unused[i] = False
+            members.append(pieces[i])
+            room -= int(size[best])
+            score[best] = -1  # scores are sums of weights, so none is below 0
+        if room and too_long >= 0:
+            members.append(pieces[too_long].take(room))
+            sizes[too_long] -= room
+            room = 0
         if room:
             return windows, members
         windows.append(members)

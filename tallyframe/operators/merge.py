@@ -126,7 +126,8 @@ def merge_stored(spark: SparkSession, path: str, parts: int, schema: T.StructTyp
 def stored(spark: SparkSession, path: str, schema: T.StructType, parts: list[int] | None = None) -> DataFrame:
     """A stored table, or some of its parts (pruned before files are read)."""
     df = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])).parquet(path)
-    return df if parts is None else df.where(F.col("part").isin(parts))
+    # the null matches nothing; with it one part is a list in the plan too, as several are
+    return df if parts is None else df.where(F.col("part").isin([*parts, None]))
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

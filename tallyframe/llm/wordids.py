@@ -9,16 +9,15 @@ at white space only and keeps its case.
 
 from __future__ import annotations
 
-import json
 import re
 
 import numpy as np
 import pyarrow as pa
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import text as X
 
-CACHED_WORDS = 1_500_000  # words a worker remembers, 50 to 100 bytes each
+CACHED_WORDS = 1_500_000  # words a worker remembers, 30 to 40 bytes each
 SPECIAL = b"<|"
 # 0 white space, 1 ASCII letters, 2 ASCII marks but the apostrophe, 4 the rest
 _kind = np.where(X.SPACE, 0, 4).astype(np.uint8)
@@ -54,24 +53,28 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return coded.dictionary.to_numpy(), first, word
 
 
-def _bare(path: str) -> Tokenizer:
-    """The model alone, for PLAIN words with a space between."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    split = [{"type": "CharDelimiterSplit", "delimiter": " "},
-             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-    spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": split}, "post_processor": None, "added_tokens": []}
-    return Tokenizer.from_str(json.dumps(spec))
+def _bare(whole: Tokenizer) -> Tokenizer:
+    """The same model alone, for PLAIN words with a space between."""
+    bare = Tokenizer(whole.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "),
+                                                  pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return bare
 
 
 def _longer(x: np.ndarray, n: int) -> np.ndarray:
-    """With room for n values at least, twice as many as before, so that each is copied seldom."""
-    return x if n <= len(x) else np.concatenate([x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)])
+    """With room for n values at least, twice as many as before, so that each is copied seldom;
+    room that is not written takes no memory."""
+    if n <= len(x):
+        return x
+    out = np.empty(max(n, 2 * len(x)), x.dtype)
+    out[:len(x)] = x
+    return out
 
 
 class WordIds:
     def __init__(self, path: str):
-        self.tokenizer, self.bare = Tokenizer.from_file(path), _bare(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bare = _bare(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         # ids that end a pre-token
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -83,9 +86,9 @@ class WordIds:
         a hash table of the numbers (-1: free). All have room to spare."""
         self.known = self.end = 0
         self.hashes = np.empty(1024, np.uint64)
-        self.at = np.empty(1024, np.int64)
+        self.at = np.empty(1024, np.int32)
         self.size = np.empty(1024, np.int32)
-        self.flat = np.empty(4096, np.int32)
+        self.flat = np.empty(4096, np.uint16 if len(self.is_end) <= 1 << 16 else np.int32)
         self._set_slots(12)
 
     def _set_slots(self, bits: int) -> None:
@@ -148,7 +151,7 @@ class WordIds:
         new = np.arange(self.known, n, dtype=np.int32)
         self.known, self.end = n, end
         if 2 * n > len(self.slots):
-            self._set_slots((4 * n - 1).bit_length())
+            self._set_slots((2 * n).bit_length())
         else:
             self._put(new)
 
@@ -177,7 +180,7 @@ class WordIds:
         counts = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         place = np.repeat(self.at[i] - counts[:-1], size)
         place += np.arange(len(place))
-        return self.flat[place], counts[np.searchsorted(starts, offsets)]
+        return self.flat[place].astype(np.int32), counts[np.searchsorted(starts, offsets)]
 
 
 _loaded: dict[str, WordIds] = {}

@@ -46,7 +46,7 @@ def test_plain_words_need_the_model_alone():
     words = letters + [a + b for a in letters for b in letters] + made_up(3000, 5, "".join(letters))
     whole = Tokenizer.from_file(WORDS)
     text = " ".join(words)
-    assert wordids._bare(WORDS).encode(text, add_special_tokens=False).ids == whole.encode(text, add_special_tokens=False).ids
+    assert wordids.WordIds(WORDS).bare.encode(text, add_special_tokens=False).ids == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_projected_pieces_take_little_memory():

@@ -13,11 +13,18 @@ a signature in it: a single rare token, or a pair of frequent tokens of one toke
   whose sizes allow a link have a class in common.
 
 Signatures with up to MANY sets give pairs; what two sets share of their prefixes bounds
-their overlap, and most pairs go by that. The pairs left, and the sets of larger signatures,
-make clusters; the texts of a cluster meet in one task, or in one for each pair of its blocks
-of BLOCK sets, and all its pairs are verified on the whole sets as bit sets. A task returns
-a spanning forest of its links, never all pairs. So no link is missed, but for equal hashes
-of different shingles (64 bits).
+their overlap, and most pairs go by that. A set has a parity of about one bit for each token:
+bit i tells whether an odd number of its tokens fall on i. Bits that differ in two parities
+are no more than tokens that only one of the sets has, so they bound the overlap too. Pairs
+that pass both bounds, and those of sets of a larger signature (a crowd) that pass the second
+one, make clusters, whose pairs are all verified on the whole sets as bit sets. A task returns
+a spanning forest of such pairs or links, never all.
+
+  A large crowd or cluster is dealt into blocks, and some of its sets (hubs) to every block. What
+  that leaves apart meets in a second round: sets of the commonest component with all others,
+  and those with each other. So where sets are near to each other, each goes to few tasks.
+
+No link is missed, but for equal hashes of different shingles (64 bits).
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; fewer
 than k words make one shingle of the whole sequence; equal sets link; repeated rows are
@@ -43,7 +50,10 @@ from .vectors import _forest
 WORDS = 5
 SKETCH_BITS, CHUNK_BITS = 22, 12
 MANY = 96  # sets of a signature that are paired one by one
-BLOCK = 512  # sets on each side of a block pair
+BLOCK = 512  # sets of a block, where whole sets are compared
+CROWD = 2048  # the same where parities stand for the sets
+HUBS = 32  # sets that go to every block, as expected
+PARITY_BITS = 256  # of small sets
 GROUP = 3  # frequent tokens of a group, as expected
 MIXED = np.uint64(0)
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -111,6 +121,98 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.nd
     return np.append(np.unique(np.concatenate(found)), MIXED)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each place of a table as large as the set, whether an odd number of its tokens fall
+    there. Twice the bits, folded in two halves, give half the bits."""
+    bits = max(PARITY_BITS, 1 << max(0, len(s) - 1).bit_length())
+    count = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int, percent: int) -> bool:
+    """False only for sets (by parity and size) that can't be over the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    both = (n + m - (x ^ y).bit_count()) // 2
+    return 100 * both >= percent * (n + m - both)
+
+
+def _folded(parities: list[bytes], size: int) -> np.ndarray:
+    """Parities of ascending sizes, all folded to the smallest one, as rows of words."""
+    out, i = [], 0
+    while i < len(parities):
+        own = len(parities[i])
+        j = i
+        while j < len(parities) and len(parities[j]) == own:
+            j += 1
+        rows = np.frombuffer(b"".join(parities[i:j]), np.uint64).reshape(j - i, own // 8)
+        while own > size:
+            own //= 2
+            rows = rows[:, :own // 8] ^ rows[:, own // 8:]
+        out.append(rows)
+        i = j
+    return np.concatenate(out)
+
+
+def near_forest(n: np.ndarray, parities: list[bytes], own: np.ndarray, root: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that may link, as few as make the same components; root has those known
+    before. Of sets in two blocks, only pairs of one of each are compared."""
+    order = np.argsort(n, kind="stable")
+    n, own, root, parities = n[order], own[order], root[order], [parities[i] for i in order.tolist()]
+    cross = bool((own != own[:1]).any())
+    end = np.searchsorted(n, 100 * n // percent, side="right")
+    width = np.fromiter(map(len, parities), np.int64, len(parities))
+    one, other = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in np.unique(width).tolist():
+        low, high = np.searchsorted(width, size), np.searchsorted(width, size, side="right")
+        rows = _folded(parities[low:int(end[high - 1])], size)
+        for p in range(low, high):
+            q = np.arange(p + 1, end[p])
+            q = q[(root[q] != root[p]) & (own[q] != own[p] if cross else True)]
+            if not len(q):
+                continue
+            both = (n[p] + n[q] - np.bitwise_count(rows[q - low] ^ rows[p - low]).sum(axis=1, dtype=np.int64)) // 2
+            q = q[100 * both >= percent * (n[p] + n[q] - both)]
+            if len(q):
+                roots, first = np.unique(root[q], return_index=True)
+                one.append(np.full(len(first), p))
+                other.append(q[first])
+                root[np.isin(root, roots)] = root[p]
+                if (root == root[0]).all():
+                    return order[np.concatenate(one)], order[np.concatenate(other)]
+    return order[np.concatenate(one)], order[np.concatenate(other)]
+
+
+def dealt(rows: DataFrame, count: str, size: int, hubs: int) -> DataFrame:
+    """Rows with the block `left` (and `right`, `own`) of the set `key` in its group of `count`
+    sets; those of hubs once for each block."""
+    blocks = F.ceil(F.col(count) / size).cast("int")
+    hub = (blocks > 1) & (F.pmod(F.xxhash64("key", F.lit(1)), F.col(count)) < hubs)
+    at = F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), blocks).cast("int")))
+    return rows.withColumn("left", F.explode(at)).withColumns({"right": F.col("left"), "own": F.col("left")})
+
+
+def apart(rows: DataFrame, group: str, labels: DataFrame, size: int) -> DataFrame:
+    """Rows (one for each set of a group) dealt to pairs of blocks, so that all pairs of different
+    components meet. Sets of a group's commonest component make blocks of their own, which
+    meet only those of the others."""
+    rows = (rows.join(labels.select(F.col("id").alias("key"), "component"), "key", "left")
+            .withColumn("component", F.coalesce("component", "key")))
+    counts = rows.groupBy(group, "component").agg(F.count("*").alias("c"))
+    main = (counts.groupBy(group).agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
+            .select(group, F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / size).cast("int").alias("others"),
+                    F.ceil(F.col("main.c") / size).cast("int").alias("mains")).where("others > 0"))
+    rows = rows.join(main, group).withColumn("other", F.col("component") != F.col("main"))
+    own = F.when(F.col("other"), F.pmod(F.xxhash64("key"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("key"), F.col("mains")))
+    reach = F.when(F.col("other"), F.col("others") + F.col("mains")).otherwise(F.col("others"))
+    return (rows.withColumns({"own": own.cast("int"), "at": F.explode(F.sequence(F.lit(0), reach - 1))})
+            .withColumns({"left": F.least("own", "at"), "right": F.greatest("own", "at")}).drop("main", "others", "mains", "other", "at"))
+
+
 def _bits(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bit sets over the tokens that at least two of the sets have, and the sizes."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -134,12 +236,14 @@ def _linked(bits: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, p
     return out
 
 
-def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, block: int = BLOCK, crowd: int = CROWD,
+         hubs: int = HUBS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = _size_classes(percent)
     chunk = 1 << CHUNK_BITS
+    names = ["doc_id", "key", "n", "parity", "chunk", "cells"]
 
     def first_pass(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -149,15 +253,15 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "key", "n", "chunk", "cells"])
+                 pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if cells.any():
             parts = cells.reshape(-1, chunk)
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
-                 pa.array([pack(p) for p in parts], pa.binary())], names=["doc_id", "key", "n", "chunk", "cells"])
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+                 pa.array(np.arange(n, dtype=np.int32)), pa.array([pack(p) for p in parts], pa.binary())], names=names)
 
-    first = written(docs.mapInArrow(first_pass, "doc_id long, key long, n long, chunk int, cells binary"), "sets")
+    first = written(docs.mapInArrow(first_pass, "doc_id long, key long, n long, parity binary, chunk int, cells binary"), "sets")
     members = first.where("chunk is null").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     mean = total / (1 << SKETCH_BITS)
@@ -193,33 +297,74 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     sets = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     hits = written(may_be_in(rows, "sig", shared).join(shared.hint("shuffle_hash"), "sig").distinct().join(sets.where("rep is not null"), "key")
                    .select("sig", "key", "n"), "hits")
-    counts = hits.groupBy("sig").agg(F.count("*").alias("sets"))
-    hits = hits.join(counts.where("sets > 1"), "sig")
-    lists = (hits.where(F.col("sets") <= many).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("of"))
+    # equal sets have equal parities
+    parities = written(first.where("n > 0").select("key", "parity").dropDuplicates(["key"]), "parities")
+    counts = hits.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("who"))
+    # of signatures that the same sets have, one will do for a crowd
+    crowded = counts.where(F.col("sets") > many).groupBy("sets", "who").agg(F.min("sig").alias("sig"))
+    crowds = written(hits.join(crowded.select("sig", "sets"), "sig").select("sig", "key", "n", "sets"), "crowds")
+    in_crowds = hits.join(counts.where(F.col("sets") > many).select("sig"), "sig").select("key")
+    hits = hits.join(counts.where((F.col("sets") > 1) & (F.col("sets") <= many)).select("sig"), "sig")
+    lists = (hits.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("of"))
              .groupBy("of").agg(F.count("*").alias("shared")))
     # the smaller set first; sizes must allow a link
     pairs = F.expr(f"""flatten(transform(of, (x, i) -> transform(
         filter(slice(of, i + 2, size(of)), y -> 100 * x.n >= {percent} * y.n), y -> struct(x.key AS a, x.n AS n, y.key AS b, y.n AS m))))""")
     pairs = (lists.select("shared", F.explode(pairs).alias("p")).groupBy("p.a", "p.n", "p.b", "p.m").agg(F.sum("shared").alias("shared")))
-    crowds = hits.where(F.col("sets") > many).select("sig", "key")
     # two prefixes of single rare tokens hold all that the sets share up to the end of one of
     # them, so this and what lies beyond bounds the overlap; crowds and pairs of tokens
     # give no such bound
     least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     beyond = F.greatest(*[F.expr(f"cast(ceil({percent} * {c} / 100) as bigint) - 1") for c in ("n", "m")])
-    unbound = written(crowds.select("key").union(rows.where(F.col("sig") == int(MIXED)).select("key")).distinct(), "unbound")
+    unbound = written(in_crowds.union(rows.where(F.col("sig") == int(MIXED)).select("key")).distinct(), "unbound")
     free = lambda c: unbound.select(F.col("key").alias(c), F.lit(True).alias(f"free_{c}"))
     pairs = (pairs.join(free("a"), "a", "left").join(free("b"), "b", "left")
-             .where(F.coalesce("free_a", "free_b", F.col("shared") + beyond >= least)).select("a", "b"))
-    ties = crowds.join(crowds.groupBy("sig").agg(F.min("key").alias("low")), "sig").select(F.col("key").alias("a"), F.col("low").alias("b"))
-    clusters = components(pairs.union(ties)).withColumnsRenamed({"id": "key", "component": "cluster"})
-    size = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = written(clusters.join(size, "cluster").join(sets, "key")
-                     .select("key", F.col("rep").alias("doc_id"), "cluster",
-                             F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"), "blocks"), "wanted")
-    tasks = (may_be_in(docs, "doc_id", wanted).join(wanted, "doc_id")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("cluster", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "key", "doc_id", "text"))
+             .where(F.coalesce("free_a", "free_b", F.col("shared") + beyond >= least)).select("a", "n", "b", "m"))
+    has = lambda c: parities.select(F.col("key").alias(c), F.col("parity").alias(f"{c}_parity"))
+
+    def near(batches):
+        for part in batches:
+            a, n, x, b, m, y = (c.to_pylist() for c in part.columns)
+            ok = pa.array([may_link(*z, percent) for z in zip(x, n, y, m)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3)], names=["a", "b"]).filter(ok)
+
+    pairs = pairs.join(has("a"), "a").join(has("b"), "b").select("a", "n", "a_parity", "b", "m", "b_parity").mapInArrow(near, "a long, b long")
+
+    def crowd_forest(batches):
+        """Rows sorted by (sig, left, right)."""
+        at, held = None, []
+
+        def found():
+            key, n, own, root = (np.array(x, np.int64) for x in list(zip(*held))[:4])
+            i, j = near_forest(n, [x[4] for x in held], own, root, percent)
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], names=["a", "b"])
+
+        for part in batches:
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[:3] != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, held = row[:3], []
+                held.append(row[3:])
+        if len(held) > 1:
+            yield found()
+
+    def compared(rows):
+        by = ["sig", "left", "right"]
+        return (rows.select(*by, "key", "n", "own", "component", "parity").repartition(*by).sortWithinPartitions(*by)
+                .mapInArrow(crowd_forest, "a long, b long"))
+
+    near_pairs = written(pairs.union(compared(dealt(crowds.join(parities, "key").withColumn("component", F.col("key")), "sets", crowd, hubs))), "near")
+    clusters = components(near_pairs)
+    large = crowds.where(F.col("sets") > crowd)
+    if not large.isEmpty():
+        # parities go along only with the crowds that are not yet one component
+        more = written(compared(apart(large, "sig", clusters, crowd).join(parities, "key")), "near")
+        if not more.isEmpty():
+            clusters = components(near_pairs.union(more))
+    clusters = clusters.withColumnsRenamed({"id": "key", "component": "cluster"})
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("sets"))
+    wanted = written(clusters.join(size, "cluster").join(sets, "key").select("key", F.col("rep").alias("doc_id"), "cluster", "sets"), "wanted")
 
     def linked(left: int, right: int, own: np.ndarray, docs_: np.ndarray, sets_: list[np.ndarray]) -> pa.RecordBatch:
         """Forest of the links between two blocks of a cluster (or within one)."""
@@ -256,9 +401,20 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
         if len(held[0]) > 1:
             yield linked(at[1], at[2], *map(np.array, held[:2]), held[2])
 
-    by = ["cluster", "left", "right"]
-    links = tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    def verified(rows):
+        by = ["cluster", "left", "right"]
+        tasks = may_be_in(docs, "doc_id", rows).join(rows, "doc_id").select(*by, "own", "key", "doc_id", "text")
+        return written(tasks.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long"), "verified")
+
+    links = verified(dealt(wanted, "sets", block, hubs))
     groups = components(links)
+    large = wanted.where(F.col("sets") > block)
+    if not large.isEmpty():
+        names_ = sets.select("rep", F.col("key").alias("id"))
+        labels = groups.withColumnRenamed("id", "rep").join(names_, "rep").select("id", "component")
+        more = written(apart(large, "cluster", labels, block).select("cluster", "left", "right", "own", "key", "doc_id"), "apart")
+        if not more.isEmpty():
+            groups = components(links.union(verified(more)))
     named = (sets.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
              .select("key", F.coalesce("component", "rep").alias("component_id")))
     out = members.join(named, "key", "left")

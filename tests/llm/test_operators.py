@@ -519,6 +519,75 @@ def test_prefixes_of_linked_sets_share_a_signature(seed, share):
         assert a & b
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 1500))
+def test_parities_keep_every_link(seed, n):
+    rng = np.random.default_rng(seed)
+    x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.random() * 0.25],
+                                  rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)]))
+    both = len(np.intersect1d(x, y))
+    if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+        assert jaccard.may_link(jaccard.parity(x), len(x), jaccard.parity(y), len(y), 80)
+        assert jaccard.may_link(jaccard.parity(y), len(y), jaccard.parity(x), len(x), 80)
+
+
+def test_near_forest_makes_the_components_of_all_pairs():
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3, 40, 250, 260, 500, 520, 2100)]
+    sets = []
+    for i in range(120):
+        base = bases[i % len(bases)]
+        sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0.0, 0.02, 0.1, 0.4])],
+                                              rng.integers(0, 1 << 63, 1 + len(base) // 30, dtype=np.uint64)])))
+    n, parities = np.array([len(s) for s in sets]), [jaccard.parity(s) for s in sets]
+    for blocks, known in ((1, 0), (2, 0), (2, 30)):
+        own = np.arange(len(sets)) % blocks
+        root = np.where(np.arange(len(sets)) < known, 0, np.arange(len(sets)))
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (blocks == 1 or own[i] != own[j])
+                 and 80 * max(n[i], n[j]) <= 100 * min(n[i], n[j]) and jaccard.may_link(parities[i], n[i], parities[j], n[j], 80)]
+        i, j = jaccard.near_forest(n, parities, own, root, 80)
+        assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} <= {tuple(sorted(p)) for p in pairs} and len(i) < len(sets)
+        known_pairs = [(int(k), 0) for k in range(known)]
+        both = [jaccard._forest(len(sets), *np.array(p + known_pairs).T) for p in (pairs, list(zip(i, j)))]
+        assert (both[0] == both[1]).all()
+
+
+def test_jaccard_of_large_crowds_and_clusters(spark):
+    rows = near_copies(random.Random(3), 260)
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), many=2, block=8, crowd=4, hubs=2)
+    assert sorted(map(tuple, found.collect())) == brute_jaccard(rows)
+
+
+def test_texts_that_share_a_common_passage_are_not_compared_in_full(spark, monkeypatch):
+    rnd, rows, counts = random.Random(12), [], {}
+    for i in range(300):
+        rows.append((i, sentence(rnd, 30, 10**6) + " words that all of them have " + sentence(rnd, 30, 10**6)))
+    rows += [(300 + i, t + " more") for i, t in rows[:5]]
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: counts.setdefault(name, kept(df, name)))
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), many=20)
+    assert sorted(map(tuple, found.collect())) == brute_jaccard(rows)
+    assert counts["wanted"].count() == 10
+
+
+def test_sets_of_one_component_go_to_few_blocks(spark):
+    keys = spark.range(400).select(F.lit(1).alias("g"), F.col("id").alias("key"), F.lit(400).cast("long").alias("sets"))
+    blocks = 400 // 8
+    assert 400 <= jaccard.dealt(keys, "sets", 8, 2).count() < 400 + 8 * blocks
+    # all of one component but a few: the others go to all blocks, the rest to one each
+    of = lambda k: 0 if k >= 5 else k
+    labels = spark.createDataFrame([(k, of(k)) for k in range(400)], "id long, component long")
+    tasks = jaccard.apart(keys, "g", labels, 8).collect()
+    assert len(tasks) <= 400 + 5 * (blocks + 1)
+    held = {}
+    for r in tasks:
+        held.setdefault((r["left"], r["right"]), []).append((r["key"], r["own"]))
+    met = {(a, b) for at, x in held.items() for a, p in x for b, q in x if a < b and (p != q or at[0] == at[1])}
+    assert {(a, b) for a in range(400) for b in range(a + 1, 400) if of(a) != of(b)} <= met
+    assert jaccard.apart(keys, "g", labels.withColumn("component", F.lit(0).cast("long")), 8).count() == 0
+
+
 def test_jaccard_odd_rows(odd, none, odd_rows):
     found = jaccard.join(odd).collect()
     assert len(found) == odd.count()

@@ -39,7 +39,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -295,17 +295,18 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     shared = written(rows.where(F.col("sig") != int(MIXED)).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "shared")
     # one class for equal sets, named by its smallest doc_id; its size and the bound its prefix gives
     sets = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    hits = written(may_be_in(rows, "sig", shared).join(shared.hint("shuffle_hash"), "sig").distinct().join(sets.where("rep is not null"), "key")
-                   .select("sig", "key", "n"), "hits")
+    # signatures that came twice with equal sets alone go before the next shuffle
+    several = (may_be_in(rows, "sig", shared).join(shared.hint("shuffle_hash"), "sig").distinct()
+               .withColumn("sets", F.count("*").over(Window.partitionBy("sig"))).where("sets > 1"))
+    hits = written(several.join(sets.where("rep is not null"), "key").select("sig", "key", "n", "sets"), "hits")
     # equal sets have equal parities
     parities = written(first.where("n > 0").select("key", "parity").dropDuplicates(["key"]), "parities")
-    counts = hits.groupBy("sig").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("who"))
+    crowded = hits.where(F.col("sets") > many)
     # of signatures that the same sets have, one will do for a crowd
-    crowded = counts.where(F.col("sets") > many).groupBy("sets", "who").agg(F.min("sig").alias("sig"))
-    crowds = written(hits.join(crowded.select("sig", "sets"), "sig").select("sig", "key", "n", "sets"), "crowds")
-    in_crowds = hits.join(counts.where(F.col("sets") > many).select("sig"), "sig").select("key")
-    hits = hits.join(counts.where((F.col("sets") > 1) & (F.col("sets") <= many)).select("sig"), "sig")
-    lists = (hits.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("of"))
+    enough = (crowded.groupBy("sig", "sets").agg(F.bit_xor(F.xxhash64("key")).alias("who"))
+              .groupBy("sets", "who").agg(F.min("sig").alias("sig")).select("sig"))
+    crowds = written(crowded.join(enough, "sig").select("sig", "key", "n", "sets"), "crowds")
+    lists = (hits.where(F.col("sets") <= many).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("of"))
              .groupBy("of").agg(F.count("*").alias("shared")))
     # the smaller set first; sizes must allow a link
     pairs = F.expr(f"""flatten(transform(of, (x, i) -> transform(
@@ -316,7 +317,7 @@ def join(docs: DataFrame, percent: int = 80, k: int = WORDS, many: int = MANY, b
     # give no such bound
     least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     beyond = F.greatest(*[F.expr(f"cast(ceil({percent} * {c} / 100) as bigint) - 1") for c in ("n", "m")])
-    unbound = written(in_crowds.union(rows.where(F.col("sig") == int(MIXED)).select("key")).distinct(), "unbound")
+    unbound = written(crowded.select("key").union(rows.where(F.col("sig") == int(MIXED)).select("key")).distinct(), "unbound")
     free = lambda c: unbound.select(F.col("key").alias(c), F.lit(True).alias(f"free_{c}"))
     pairs = (pairs.join(free("a"), "a", "left").join(free("b"), "b", "left")
              .where(F.coalesce("free_a", "free_b", F.col("shared") + beyond >= least)).select("a", "n", "b", "m"))

@@ -571,6 +571,18 @@ def test_texts_that_share_a_common_passage_are_not_compared_in_full(spark, monke
     assert counts["wanted"].count() == 10
 
 
+def test_signatures_of_equal_sets_alone_are_left_out(spark, monkeypatch):
+    rnd, counts = random.Random(13), {}
+    texts = [sentence(rnd, 40, 10**6) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(None, texts[0] + " more"), (200, texts[1] + " more")]
+    kept = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: counts.setdefault(name, kept(df, name)))
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect() if r["doc_id"] is not None) == brute_jaccard(rows)
+    # of the sets, the two of texts[1] share signatures, and that of texts[0] with one that has no number
+    assert counts["hits"].select("key").distinct().count() == 3 and counts["hits"].where("sets > 2").count() == 0
+
+
 def test_sets_of_one_component_go_to_few_blocks(spark):
     keys = spark.range(400).select(F.lit(1).alias("g"), F.col("id").alias("key"), F.lit(400).cast("long").alias("sets"))
     blocks = 400 // 8
